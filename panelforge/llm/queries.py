@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
-from .common import table
+from . import bpe, mixing, quality, simhash, vectors
+from .common import is_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    net = quality.train(documents, table(spark, sf_dir, "labels"), usable="crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
+    scored = quality.classify_documents(documents, net)
+    return scored.select("doc_id", is_fold(scored.doc_id, 5, 0).alias("held_out"), "score", "predicted")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,6 +31,19 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken, _ = mixing.mix(table(spark, sf_dir, "documents"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def queries() -> dict[str, Query]:
     return {name: function for name, function in globals().items() if name.startswith("op") and callable(function)}
 
