@@ -29,10 +29,10 @@ BITS = 64
 ROWS = 256
 
 
-def matrix_runs(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def matrix_runs(column: pa.Array, zeros: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers and double-precision rows of the usable vectors of a list column, by length.
 
-    Null, empty and zero vectors and those with a null or non-finite component are not usable.
+    Null, empty and (unless ``zeros``) zero vectors and those with a null or non-finite component are not usable.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -45,7 +45,7 @@ def matrix_runs(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             continue
         rows = np.flatnonzero(lengths == length)
         vectors = values[(ends[rows] - length)[:, None] + np.arange(length)]
-        good = np.isfinite(vectors).all(axis=1) & (vectors != 0).any(axis=1)
+        good = np.isfinite(vectors).all(axis=1) & (zeros | (vectors != 0).any(axis=1))
         yield rows[good], vectors[good]
 
 
