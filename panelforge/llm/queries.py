@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash, topk, vectors
+from . import bpe, mixing, pii, quality, simhash, topk, vectors
 from .common import is_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"), with_text=False)
+    counts = [f"n_{kind}" for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken, _ = mixing.mix(table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "size", "source_size", "target", "taken")
