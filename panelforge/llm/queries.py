@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, quality, simhash, topk, vectors
-from .common import is_fold, table
+from . import bpe, langid, lm, mixing, pii, quality, simhash, topk, vectors
+from .common import is_fold, not_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,20 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    models = langid.train(documents.where(not_fold(documents.doc_id, 4, 2)))
+    found = langid.identify(documents, models)
+    return found.select("doc_id", is_fold(found.doc_id, 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = lm.score_documents(documents, not_fold(documents.doc_id, 7, 2))
+    held_out = is_fold(scored.doc_id, 7, 2).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
