@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lm, mixing, pii, quality, simhash, topk, vectors
+from . import bpe, html, langid, lm, mixing, pii, quality, simhash, topk, vectors
 from .common import is_fold, not_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,10 @@ def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
