@@ -61,12 +61,16 @@ def event_reaction(
     granularity: Column | None = None,
     threshold: float = MATERIAL,
     basket_evidence: Column | None = None,
+    kind: Column | None = None,
 ) -> Column:
-    """Struct of label, abnormal_return, causal_claim and reason; the first rule that holds decides."""
+    """Struct of label, abnormal_return, causal_claim and reason; the first rule that holds decides.
+
+    ``kind`` is the normalised sentiment, if a column has it already.
+    """
     present = F.lit(True) if timestamp_present is None else F.coalesce(timestamp_present, F.lit(False))
     grain = F.lit("daily") if granularity is None else granularity
     basket = F.lit(False) if basket_evidence is None else F.coalesce(basket_evidence, F.lit(False))
-    kind = event_sentiment(news)
+    kind = event_sentiment(news) if kind is None else kind
     missing = abnormal.isNull() | ~present
     up, down = above(abnormal, 0.0), (abnormal < 0) & ~F.isnan(abnormal)
     small = (F.abs(abnormal) < threshold) & ~F.isnan(abnormal)
@@ -107,9 +111,10 @@ def signal_score(setup: Column, volume: Column) -> Column:
     return setup.cast("double") + F.when(F.coalesce(volume, F.lit(False)), float(VOLUME_BONUS)).otherwise(0.0)
 
 
-def signal_class(news: Column, reaction: Column, extended: Column, setup: Column, volume: Column) -> Column:
+def signal_class(news: Column, reaction: Column, extended: Column, setup: Column, volume: Column, kind: Column | None = None) -> Column:
     """Struct of classification, score, rule_version and reason; the first rule that holds decides."""
-    kind, score = signal_sentiment(news), signal_score(setup, volume)
+    kind = signal_sentiment(news) if kind is None else kind
+    score = signal_score(setup, volume)
     real = reaction == POSITIVE_REACTION
     positive = kind == "positive"
     unclear = reaction.isin(INCONCLUSIVE, NO_REACTION)

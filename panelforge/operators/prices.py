@@ -123,13 +123,13 @@ class Market:
 
     def look_up(self, probes: DataFrame, symbol: str, day: str, **columns: str) -> DataFrame:
         """Add columns of the spine at ``symbol`` and ``day``: ``name="p_after"``; NULL where there is none."""
-        inside = F.greatest(F.least(F.col(day), F.lit(self.high)), F.lit(self.low))
+        inside = F.when(F.col(day).isNotNull(), F.greatest(F.least(F.col(day), F.lit(self.high)), F.lit(self.low)))
         spine = self.spine.select(F.col("symbol").alias("_s"), F.col("day").alias("_d"), *[F.col(c).alias(name) for name, c in columns.items()])
         return probes.join(spine, (F.col(symbol) == F.col("_s")) & (inside == F.col("_d")), "left").drop("_s", "_d")
 
     def horizon_end(self, keys: DataFrame, created: str = "created_day", horizon: str = "horizon_days") -> DataFrame:
         """Add ``horizon_end``: the so many-th session strictly after the day; NULL if the calendar ends before."""
-        inside = F.greatest(F.least(F.col(created), F.lit(self.high)), F.lit(self.low))
+        inside = F.when(F.col(created).isNotNull(), F.greatest(F.least(F.col(created), F.lit(self.high)), F.lit(self.low)))
         placed = keys.join(self.sessions.withColumnRenamed("day", "_d"), inside == F.col("_d"), "left").withColumn("_ord", F.col("n_le") + F.col(horizon))
         ends = self.calendar.select(F.col("ord").alias("_o"), F.col("session_date").alias("horizon_end"))
         return placed.join(ends, F.col("_ord") == F.col("_o"), "left").drop("_ord", "_o", "_d", "n_le")

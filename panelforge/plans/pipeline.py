@@ -23,11 +23,14 @@ def generate_signals(signals: DataFrame, market: prices.Market) -> DataFrame:
     held = market.panel.select(F.col("symbol").alias("ticker"), F.col("session_date").alias("created_day"), F.col("adjusted_close").alias("price_at_creation"))
     studied = studied.join(held, ["ticker", "created_day"], "left").withColumnRenamed("sector_proxy", "_proxy")
     joined = created.join(studied, ["ticker", "start_day", "created_day"], "left").where(F.col("sector_proxy").eqNullSafe(F.col("_proxy"))).drop("_proxy")
-    judged = joined.withColumn("reaction", rules.event_reaction(F.col("sentiment"), F.col("event_abnormal_return")))
+    # The label and the two sentiments are columns of their own, so that the optimizer doesn't repeat their expressions in every rule.
+    kinds = joined.withColumn("event_kind", rules.event_sentiment(F.col("sentiment"))).withColumn("signal_kind", rules.signal_sentiment(F.col("sentiment")))
+    reaction = rules.event_reaction(F.col("sentiment"), F.col("event_abnormal_return"), kind=F.col("event_kind"))
+    judged = kinds.withColumn("reaction", reaction).withColumn("reaction_label", F.col("reaction.label")).drop("reaction", "event_kind")
     extended = rules.overextended(F.lit(False), F.col("rsi"), F.col("return_20d"))
-    decided = judged.withColumn("decision", rules.signal_class(F.col("sentiment"), F.col("reaction.label"), extended, F.col("setup_score"), F.col("volume")))
-    names = [c for c in signals.columns]
-    return decided.select(*names, "event_abnormal_return", F.col("reaction.label").alias("reaction_label"), "decision.classification", "decision.score", "decision.rule_version", "price_at_creation", F.lit(market.benchmark).alias("benchmark"))
+    made = rules.signal_class(F.col("sentiment"), F.col("reaction_label"), extended, F.col("setup_score"), F.col("volume"), kind=F.col("signal_kind"))
+    decided = judged.withColumn("decision", made)
+    return decided.select(*signals.columns, "event_abnormal_return", "reaction_label", "decision.classification", "decision.score", "decision.rule_version", "price_at_creation", F.lit(market.benchmark).alias("benchmark"))
 
 
 def evaluate_forward(snapshots: DataFrame, market: prices.Market, as_of: Column | None = None, strict: bool = False) -> DataFrame:
