@@ -72,8 +72,8 @@ def iso_seconds(ts: Column) -> Column:
 
 
 def fixed(value: Column, decimals: int) -> Column:
-    """With so many decimals; halves go to the even neighbour."""
-    return F.format_string(f"%.{decimals}f", F.bround(value, decimals))
+    """With so many decimals; halves go to the even neighbour. NULL stays NULL, which format_string would write out."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{decimals}f", F.bround(value, decimals)))
 
 
 def percent(value: Column, decimals: int = 1) -> Column:
