@@ -166,6 +166,36 @@ SENT_NAMES = ["kind", "bucket", "block", "n", "payload", "counts"]
 ANSWER_NAMES = ["kind", "bucket", "block", "n", "distinct", "payload"]
 
 
+def pack_blocks(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``block`` and ``packed``: rows of one block that a task read together, as one compressed Arrow stream.
+
+    Texts that are compressed together take about half the room in a shuffle that single rows take.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = batch.column(0).to_numpy()
+            order = np.argsort(blocks, kind="stable")
+            numbers, first = np.unique(blocks[order], return_index=True)
+            streams = []
+            for start, end in zip(first, np.append(first[1:], len(order)), strict=True):
+                own = batch.take(pa.array(order[start:end])).select(columns)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_batch(own)
+                streams.append(sink.getvalue().to_pybytes())
+            if streams:
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(streams, pa.binary())], names=["block", "packed"])
+
+    return docs.select("block", *columns).mapInArrow(pack, "block long, packed binary")
+
+
+def unpacked(block: pa.Table) -> pa.Table:
+    """The rows of a block's streams, in an order that does not depend on how they arrived."""
+    streams = sorted(block.column("packed").to_pylist())
+    return pa.concat_tables(pa.ipc.open_stream(s).read_all() for s in streams)
+
+
 def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
@@ -175,6 +205,7 @@ def _count_block(n_buckets: int):
 
     def count(block: pa.Table) -> pa.Table:
         number = block.column("block")[0].as_py()
+        block = unpacked(block)
         tokens, first = token_hashes(*text_bytes(block.column("text")))
         learned = np.repeat(block.column("learned").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
         rows = []
@@ -257,7 +288,7 @@ def score_documents(
     n_buckets = 1 << min(MOST_BUCKETS.bit_length() - 1, max(4, (n_blocks - 1).bit_length()))
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
 
-    sent = docs.select("block", "text", "learned").groupBy("block").applyInArrow(_count_block(n_buckets), SENT)
+    sent = pack_blocks(docs, ["text", "learned"]).groupBy("block").applyInArrow(_count_block(n_buckets), SENT)
     answers = shared_checkpoint(sent.groupBy("bucket").applyInArrow(_add_bucket(filter_bits // 8 // n_buckets), ANSWERS))
     sizes = answers.where("kind = 'size'").agg(F.sum("n").alias("n"), F.sum("distinct").alias("v")).first()
     n_train, n_words = sizes["n"] or 0, sizes["v"] or 0
@@ -278,6 +309,7 @@ def score_documents(
         if not block.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
         filled = model.value
+        block = unpacked(block)
         tokens, first = token_hashes(*text_bytes(block.column("text")))
         words, which = np.unique(tokens, return_inverse=True)
         order = np.argsort(answer.column("bucket").to_numpy())
@@ -302,4 +334,4 @@ def score_documents(
 
     schema = T.StructType([T.StructField("doc_id", id_type), *(T.StructField(n, T.LongType()) for n in names[1:4]), *(T.StructField(n, T.DoubleType()) for n in names[4:])])
     replies = answers.where("kind = 'answer'").select("block", "bucket", "n", "payload")
-    return docs.select("doc_id", "block", "text").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, schema)
+    return pack_blocks(docs, ["doc_id", "text"]).groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, schema)
