@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,35 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def spanning_links(links: DataFrame, a: str = "a", b: str = "b", at_once: int = 1_000_000) -> DataFrame:
+    """Fewer links with the same components, for integer nodes: each task's own spanning forest.
+
+    A dense group of n nodes may have n * n links; each task hands on n of them at most for every ``at_once`` it reads.
+    """
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            left, right = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            nodes, places = np.unique(np.concatenate((left, right)), return_inverse=True)
+            forest = Forest(len(nodes))
+            forest.link(places[: len(left)], places[len(left) :])
+            joined = np.flatnonzero(forest.root != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[joined]), pa.array(nodes[forest.root[joined]])], names=["a", "b"])
+
+        for batch in batches:
+            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+            if sum(len(x) for x, _ in held) >= at_once:
+                yield from out()
+        if held:
+            yield from out()
+
+    known = links.where(f"`{a}` is not null and `{b}` is not null")
+    return known.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).mapInArrow(contract, "a long, b long")
+
+
 class Forest:
     """Components of nodes 0 to n-1 in one task, to which links come in arrays."""
 

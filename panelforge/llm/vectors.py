@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import shared_checkpoint
-from .components import connected_components
+from .components import connected_components, spanning_links
 
 BITS = 64
 ROWS = 256
@@ -183,7 +183,7 @@ def near_duplicate_vectors(
     pairs = shared_checkpoint(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a <= b, copies_a, copies_b)").alias("copies_a"), F.expr("if(a <= b, copies_b, copies_a)").alias("copies_b")).distinct())
     linked = pairs.select(F.col("a").alias("node"), F.col("copies_b").alias("others")).unionByName(pairs.select(F.col("b").alias("node"), F.col("copies_a").alias("others")))
     linked = linked.groupBy("node").agg(F.sum("others").alias("others"))
-    groups = connected_components(pairs)
+    groups = connected_components(spanning_links(pairs))
     summary = (
         classes.select("key", F.col("vec_id").alias("node"), "copies")
         .join(linked, "node", "left")

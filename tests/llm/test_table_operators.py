@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 from panelforge.llm import lm, mixing, simhash, topk, vectors
-from panelforge.llm.components import Forest, connected_components
+from panelforge.llm.components import Forest, connected_components, spanning_links
 from panelforge.llm.queries import ORACLES
 from pyspark.sql import functions as F
 
@@ -35,6 +35,7 @@ def test_components_match_union_find(spark, seed):
     expected = groups_of({n for pair in links for n in pair}, links)
     df = spark.createDataFrame([*links, *links[:5], (7, 7), (None, 1)], "a long, b long")
     assert {r["node"]: r["component"] for r in connected_components(df).collect()} == expected
+    assert {r["node"]: r["component"] for r in connected_components(spanning_links(df, at_once=20)).collect()} == expected
     assert connected_components(df.limit(0)).count() == 0
     forest = Forest(300)
     forest.link(np.array([a for a, _ in links[:60]]), np.array([b for _, b in links[:60]]))
