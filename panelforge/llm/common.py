@@ -10,7 +10,9 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 from typing import Any
 
 import numpy as np
@@ -23,6 +25,19 @@ from pyspark.sql import types as T
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Put this package's folder on the path of the session's Python workers.
+
+    It serves sessions whose working directory is elsewhere; on a cluster without that folder the package is shipped
+    or installed like any other.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def fold_id(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's text modulo ``modulus``; null for a null id, which is in no fold."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
@@ -93,6 +108,7 @@ def add_columns(
     ``compute()`` runs once in each task and gives the function from the arrays of ``inputs`` to the new
     columns' values. Columns of ``carry`` that ``added`` names are replaced.
     """
+    let_workers_import(df.sparkSession)
     names = {f.name.lower() for f in added}
     kept = [c for c in dict.fromkeys(carry) if c.lower() not in names]
     inputs = list(inputs)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_checkpoint
+from .common import let_workers_import, shared_checkpoint
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -64,6 +64,7 @@ def spanning_links(links: DataFrame, a: str = "a", b: str = "b", at_once: int =
         if held:
             yield from out()
 
+    let_workers_import(links.sparkSession)
     known = links.where(f"`{a}` is not null and `{b}` is not null")
     return known.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).mapInArrow(contract, "a long, b long")
 

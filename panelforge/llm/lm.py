@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_groups, shared_checkpoint, text_bytes
+from .common import let_workers_import, row_groups, shared_checkpoint, text_bytes
 
 GROUP_BYTES = 1_000_000
 FILTER_BITS = 1 << 28
@@ -281,6 +281,7 @@ def score_documents(
     text has one token, its end. Without training documents every base score is 0 and so is every score.
     """
     spark = df.sparkSession
+    let_workers_import(spark)
     id_type = df.schema[doc_id].dataType
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.coalesce(learned, F.lit(False)).alias("learned"))
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0

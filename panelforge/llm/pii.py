@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, shared_checkpoint
+from .common import add_columns, let_workers_import, shared_checkpoint
 
 KINDS = ("email", "ip", "card", "phone")
 #: An address is four parts of such a run: digits are taken whole, so matches are the fours from its beginning on.
@@ -150,6 +150,7 @@ def disclosing_terms(
     one without entities, gives an empty result.
     """
     spark = df.sparkSession
+    let_workers_import(spark)
     texts = df.select(F.col(f"`{text}`").alias("text")).where("text is not null")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, shared_checkpoint, text_bytes
+from .common import add_columns, let_workers_import, shared_checkpoint, text_bytes
 from .components import Forest, connected_components
 
 SHINGLE = 3
@@ -121,6 +121,7 @@ def link_prints(prints: DataFrame, radius: int) -> DataFrame:
     ``prints`` has distinct ``fingerprint`` values. Each task gives a spanning forest of the links it found, so the
     number of rows is at most ``radius + 1`` times that of fingerprints.
     """
+    let_workers_import(prints.sparkSession)
     bounds = [64 * i // (radius + 1) for i in range(radius + 2)]
     blocks = [
         F.lit(i).cast("long") * F.lit(1 << 56 if radius else 0)

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import let_workers_import
 from .vectors import matrix_runs
 
 ROWS = 2048
@@ -114,6 +115,7 @@ def exact_top_k(
     different vector. An empty table gives an empty result.
     """
     spark = df.sparkSession
+    let_workers_import(spark)
     rows = df.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("vector")).where("id is not null and vector is not null")
     queries = df.where(is_query).select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("vector"))
     queries = queries.where("id is not null and vector is not null").distinct()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_checkpoint
+from .common import let_workers_import, shared_checkpoint
 from .components import connected_components, spanning_links
 
 BITS = 64
@@ -106,6 +106,7 @@ def near_duplicate_vectors(
     nothing and has a null component and kept = false. An id stands for one vertex: rows that repeat an
     id with other vectors share a component. Vectors of different lengths are never linked.
     """
+    let_workers_import(df.sparkSession)
     prepared = T.StructType([T.StructField("vec_id", df.schema[vec_id].dataType), T.StructField("key", T.BinaryType()), T.StructField("vector", T.BinaryType())])
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
