@@ -28,12 +28,16 @@ from pyspark.sql.window import Window
 
 from .common import WORD_PATTERN, shared_checkpoint
 
+#: Least number of buckets, and the rows above which there are more, so that a window's rows stay bounded.
 BUCKETS = 512
+BUCKET_ROWS = 1_000_000
 #: The mix has about this many slots, more if a block would then have over BLOCK_WORDS words.
 SLOTS = 65_536
 BLOCK_WORDS = 65_536
 #: Slots that are ranked in one window.
 SLOT_RUN = 4096
+#: Places of the schedule that one row is spread to.
+PLACE_RUN = 65_536
 #: Fractional part of the golden ratio in units of 2**-32, so that points are exact integers.
 GOLDEN = 2_654_435_769
 
@@ -94,7 +98,9 @@ def mix(
         F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("order"),
     )
     key = F.when(F.col("source").isNull(), F.lit("none")).otherwise(F.concat(F.lit("is "), F.col("source").cast("string")))
-    docs = shared_checkpoint(docs.withColumn("bucket", F.pmod("order", F.lit(BUCKETS))).withColumn("key", key))
+    docs = shared_checkpoint(docs.withColumn("key", key))
+    n_buckets = max(BUCKETS, -(-docs.count() // BUCKET_ROWS))
+    docs = docs.withColumn("bucket", F.pmod("order", F.lit(n_buckets)))
     buckets = shared_checkpoint(docs.groupBy("key", "source", "bucket").agg(F.sum("size").alias("words")))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), epochs, weights)
     per_block = F.lit(block_words) if block_words else F.least(F.lit(BLOCK_WORDS), F.greatest(F.lit(1), F.ceil(F.sum("source_size").over(Window.partitionBy()) / SLOTS)))
@@ -147,7 +153,11 @@ def schedule(plan: DataFrame) -> DataFrame:
     # slot * GOLDEN and a point times the total stay under 2**63 for up to 2**31 slots.
     slots = plan.sparkSession.range(total).select(F.col("id").alias("slot"))
     slots = slots.withColumn("place", F.shiftright(F.pmod(F.col("slot") * GOLDEN, F.lit(1 << 32)) * F.lit(total), 32))
-    places = sources.select("name", F.explode(F.expr("sequence(low, low + needed - 1)")).alias("place"))
+    # A large source's places are made run by run in many tasks, not from one row.
+    runs = sources.select("*", F.explode(F.expr(f"sequence(low div {PLACE_RUN}, (low + needed - 1) div {PLACE_RUN})")).alias("run"))
+    runs = runs.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name", "run")
+    begin, end = F.greatest("low", F.col("run") * PLACE_RUN), F.least(F.col("low") + F.col("needed"), (F.col("run") + 1) * PLACE_RUN)
+    places = runs.select("name", F.explode(F.sequence(begin, end - 1)).alias("place"))
     dealt = slots.join(places, "place").select("slot", "name").withColumn("run", F.expr(f"slot div {SLOT_RUN}"))
     # Ranks: slots of earlier runs, and the place in the own run.
     sums = dealt.groupBy("name", "run").agg(F.count("*").alias("n"))

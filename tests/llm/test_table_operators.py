@@ -214,6 +214,23 @@ def test_mix_meets_targets_exactly(spark):
     assert all(abs(half[s] / whole[s] - half.total() / whole.total()) < 0.1 for s in ("a", "b", "d"))
 
 
+def test_mix_does_not_depend_on_the_runs_of_places(spark, monkeypatch):
+    rows = [(i, "w " * (i % 37), "abc"[i % 7 % 3]) for i in range(400)]
+    whole, _ = mixed(spark, rows, block_words=5)
+    monkeypatch.setattr(mixing, "PLACE_RUN", 11)
+    assert Counter(map(tuple, mixed(spark, rows, block_words=5)[0])) == Counter(map(tuple, whole))
+    monkeypatch.setattr(mixing, "BUCKETS", 4)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)  # another order, but the same targets met
+    taken = Counter()
+    for r in mixed(spark, rows, block_words=5)[0]:
+        taken[r["source"]] += r["taken"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    expected = Counter()
+    for r in whole:
+        expected[r["source"]] += r["taken"]
+    assert taken == expected
+
+
 def test_mix_of_nothing(spark):
     assert mixed(spark, [])[0] == []
     out, pieces = mixed(spark, [(1, None, "a"), (2, " ", None)])
