@@ -33,7 +33,7 @@ from .common import add_columns, row_groups, text_bytes
 #: Distinct pieces and segments whose encoding a worker remembers from one group of texts to the next.
 CACHE_PIECES = 300_000
 #: Bytes of text that are encoded together.
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 500_000
 #: Token pairs whose compatibility a worker remembers.
 CACHE_PAIRS = 1_500_000
 

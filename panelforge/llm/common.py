@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 
 #: Words of the contracts: runs of anything but the six ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Bytes of a batch that Python code gets at once, so that results do not pile up for a whole batch.
+PART_BYTES = 4_000_000
 
 
 def let_workers_import(spark: SparkSession) -> None:
@@ -96,6 +98,13 @@ def row_groups(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
+def in_parts(batch: pa.RecordBatch, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows with about ``most`` bytes together, one row at least."""
+    step = max(1, batch.num_rows * most // max(most, batch.nbytes))
+    for start in range(0, batch.num_rows, step):
+        yield batch.slice(start, step)
+
+
 def add_columns(
     df: DataFrame,
     carry: Iterable[str],
@@ -126,13 +135,13 @@ def add_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = compute()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = batch.columns
-            results = function(columns[n_kept:])
-            arrays = list(columns[:n_kept])
-            arrays += [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(results, out_types, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=out_names)
+            for part in in_parts(batch):
+                columns = part.columns
+                results = function(columns[n_kept:])
+                arrays = list(columns[:n_kept])
+                arrays += [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(results, out_types, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=out_names)
+        pa.default_memory_pool().release_unused()  # workers serve later tasks and would keep it
 
     return df.select(*wanted).mapInArrow(run, schema)
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, let_workers_import, shared_checkpoint
+from .common import add_columns, in_parts, let_workers_import, shared_checkpoint
 
 KINDS = ("email", "ip", "card", "phone")
 #: An address is four parts of such a run: digits are taken whole, so matches are the fours from its beginning on.
@@ -141,6 +141,11 @@ def bit_places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(x % np.uint64(bits)).astype(np.int64) for x in (hashes, mixed, hashes ^ (mixed >> np.uint64(17)))]
 
 
+def values_of(batch: pa.RecordBatch) -> Iterator[str]:
+    """The texts of a batch's first column, made a part of the batch at a time."""
+    return (value for part in in_parts(batch) for value in part.column(0).to_pylist())
+
+
 def disclosing_terms(
     df: DataFrame, window: int = 3, alpha: float = 0.9, support: int = 5, text: str = "text", filter_bits: int = 1 << 23
 ) -> DataFrame:
@@ -156,7 +161,7 @@ def disclosing_terms(
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for value in batch.column(0).to_pylist():
+            for value in values_of(batch):
                 if spans := base_spans(value):
                     own = Counter((term, kind) for _, _, term, kind in context_terms(value, spans, window))
                     rows += [(term, kind, n) for (term, kind), n in own.items()]
@@ -187,7 +192,7 @@ def disclosing_terms(
         known = sent.value
         for batch in batches:
             counts: Counter[str] = Counter()
-            for value in batch.column(0).to_pylist():
+            for value in values_of(batch):
                 counts.update(TERM.findall(value.lower()))
             terms = list(counts)
             good = np.ones(len(terms), dtype=bool)
