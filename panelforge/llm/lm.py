@@ -9,8 +9,9 @@ smoothed unigram probability, all from the filter.
 Dealing out: documents are put into blocks by a hash, each of about ``block_bytes`` bytes of text, and n-grams into
 buckets by the high bits of their hash. A block sends each bucket its distinct n-grams with their counts as packed
 arrays; a bucket adds them up, makes its own segment of the filter, and answers each block with the exact
-totals of the block's words. So frequent words cost one entry for each block, no table of all words is
-ever in one place, and only the filter, whose size ``filter_bits`` is fixed, is broadcast.
+totals of the block's words and with the levels that its segment gives for the block's words and pairs. So frequent
+words cost one entry for each block, and neither the words nor the filter are ever in one place. A segment has
+``ENTRY_BITS`` bits for each number that it holds, so the filter grows with the corpus at one rate of false positives.
 
 Words are told apart by 64-bit hashes. A text's tokens are its words in lower case (A-Z only) and one end.
 """
@@ -29,7 +30,9 @@ from pyspark.sql import types as T
 from .common import let_workers_import, row_groups, shared_checkpoint, text_bytes
 
 GROUP_BYTES = 1_000_000
+#: The filter's least size, and its bits for each n-gram and level: at 16, about 1 in 200 probes is a false positive.
 FILTER_BITS = 1 << 28
+ENTRY_BITS = 16
 BLOCK_BYTES = 8_000_000
 PROBES = 3
 LEVELS = 40
@@ -150,6 +153,14 @@ def read_levels(bits: np.ndarray, hashes: np.ndarray, kind: int, n_buckets: int)
     return levels
 
 
+def packed_levels(levels: np.ndarray) -> bytes:
+    return pa.compress(levels.astype(np.uint8).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked_levels(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, n, codec="zstd"), dtype=np.uint8).astype(np.int64)
+
+
 def expected_counts(levels: np.ndarray) -> np.ndarray:
     """The middle of the counts that share a level."""
     return np.where(levels > 0, (2.0 ** (levels - 1) + 2.0**levels - 1) / 2, 0.0)
@@ -161,9 +172,9 @@ def bucket_of(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
 
 
 SENT = "kind string, bucket int, block long, n long, payload binary, counts binary"
-ANSWERS = "kind string, bucket int, block long, n long, distinct long, payload binary"
+ANSWERS = "kind string, bucket int, block long, n long, distinct long, payload binary, levels binary"
 SENT_NAMES = ["kind", "bucket", "block", "n", "payload", "counts"]
-ANSWER_NAMES = ["kind", "bucket", "block", "n", "distinct", "payload"]
+ANSWER_NAMES = ["kind", "bucket", "block", "n", "distinct", "payload", "levels"]
 
 
 def pack_blocks(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -222,24 +233,21 @@ def _count_block(n_buckets: int):
         words, which = np.unique(tokens, return_inverse=True)
         deal("word", words, np.bincount(which[learned], minlength=len(words)), 8)
         del which
-        pairs, counts = np.unique(pair_hashes(tokens, first)[learned], return_counts=True)
-        # Pairs keep 48 bits; sorted hashes that agree in them are neighbours.
-        ids, start = np.unique(short_ids(pairs), return_index=True)
-        if len(ids):
-            deal("pair", ids << np.uint64(16), np.add.reduceat(counts, start), 6)
+        # Pairs keep 48 bits. Those that only other texts have are sent, too, with the count 0: they ask for their level.
+        ids, which = np.unique(short_ids(pair_hashes(tokens, first)), return_inverse=True)
+        deal("pair", ids << np.uint64(16), np.bincount(which[learned], minlength=len(ids)), 6)
         return _rows(rows, SENT_NAMES, types)
 
     return count
 
 
-def _add_bucket(segment_bytes: int):
-    types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+def _add_bucket(least_bytes: int):
+    types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def add(sent: pa.Table) -> pa.Table:
         bucket = sent.column("bucket")[0].as_py()
-        segment = np.zeros(segment_bytes, dtype=np.uint8)
-        rows = []
         kinds = np.array(sent.column("kind").to_pylist(), dtype=object)
+        added = []
         for kind, name in enumerate(("word", "pair")):
             part = sent.take(pa.array(np.flatnonzero(kinds == name)))
             sizes = part.column("n").to_pylist()
@@ -252,13 +260,23 @@ def _add_bucket(segment_bytes: int):
             counts = np.concatenate([read_counts(c, n) for c, n in zip(part.column("counts").to_pylist(), sizes, strict=True)])
             distinct, which = np.unique(hashes, return_inverse=True)
             totals = np.bincount(which, weights=counts, minlength=len(distinct)).astype(np.int64)
-            fill_segment(segment, short_ids(distinct) if name == "word" else distinct, totals, kind)
+            if name == "pair":
+                distinct <<= np.uint64(16)
+            added.append((kind, name, part.column("block").to_pylist(), sizes, distinct, which, totals))
+        entries = sum(int(levels_of(totals).sum()) for *_, totals in added)
+        segment = np.zeros(max(least_bytes, entries * ENTRY_BITS // 8, 8), dtype=np.uint8)
+        for kind, _, _, _, distinct, _, totals in added:
+            fill_segment(segment, short_ids(distinct), totals, kind)
+        rows = []
+        for kind, name, blocks, sizes, distinct, which, totals in added:
+            cuts = np.cumsum(sizes)[:-1]
+            levels = np.split(read_levels(segment, distinct, kind, 1).astype(np.uint8)[which], cuts)
             if name == "word":
-                rows.append(("size", bucket, -1, int(totals.sum()), int((totals > 0).sum()), None))
-                answers = np.split(totals[which], np.cumsum(sizes)[:-1])
-                for block, own in zip(part.column("block").to_pylist(), answers, strict=True):
-                    rows.append(("answer", bucket, block, len(own), 0, packed_counts(own)))
-        rows.append(("segment", bucket, -1, 0, 0, segment.tobytes()))
+                rows.append(("size", bucket, -1, int(totals.sum()), int((totals > 0).sum()), None, None))
+                exact = [packed_counts(own) for own in np.split(totals[which], cuts)]
+            else:
+                exact = [None] * len(blocks)
+            rows += [(name, bucket, block, len(own), 0, e, packed_levels(own)) for block, own, e in zip(blocks, levels, exact, strict=True)]
         return _rows(rows, ANSWER_NAMES, types)
 
     return add
@@ -279,6 +297,7 @@ def score_documents(
     over tokens of log10((c + 1) / (N + V + 1)) with exact counts) and ``score``, the model's log10 probability. One
     row for each input row, repeated rows included, which are also counted as often as they stand. A null or empty
     text has one token, its end. Without training documents every base score is 0 and so is every score.
+    ``filter_bits`` is the least size of the filter, which grows with what training counts.
     """
     spark = df.sparkSession
     let_workers_import(spark)
@@ -293,12 +312,6 @@ def score_documents(
     answers = shared_checkpoint(sent.groupBy("bucket").applyInArrow(_add_bucket(filter_bits // 8 // n_buckets), ANSWERS))
     sizes = answers.where("kind = 'size'").agg(F.sum("n").alias("n"), F.sum("distinct").alias("v")).first()
     n_train, n_words = sizes["n"] or 0, sizes["v"] or 0
-    bits = np.zeros(filter_bits // 8, dtype=np.uint8)
-    span = len(bits) // n_buckets
-    for row in answers.where("kind = 'segment'").select("bucket", "payload").toLocalIterator():
-        bits[row["bucket"] * span : (row["bucket"] + 1) * span] = np.frombuffer(row["payload"], dtype=np.uint8)
-    model = spark.sparkContext.broadcast(bits)
-    del bits
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -309,19 +322,23 @@ def score_documents(
         kinds = [arrow_id, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         if not block.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
-        filled = model.value
         block = unpacked(block)
         tokens, first = token_hashes(*text_bytes(block.column("text")))
         words, which = np.unique(tokens, return_inverse=True)
-        order = np.argsort(answer.column("bucket").to_numpy())
-        payloads, lengths = answer.column("payload").to_pylist(), answer.column("n").to_pylist()
-        exact = np.concatenate([read_counts(payloads[i], lengths[i]) for i in order])
+        kinds_of, lengths = answer.column("kind").to_pylist(), answer.column("n").to_pylist()
+        payloads, packed = answer.column("payload"), answer.column("levels")
+        order = np.argsort(answer.column("bucket").to_numpy()).tolist()
+        exact = np.concatenate([read_counts(payloads[i].as_py(), lengths[i]) for i in order if kinds_of[i] == "word"])
+
+        def levels(kind: str) -> np.ndarray:
+            return np.concatenate([unpacked_levels(packed[i].as_py(), lengths[i]) for i in order if kinds_of[i] == kind])
+
         denominator = n_train + n_words + 1
         sums = lambda values: np.add.reduceat(values, first[:-1])
         base = np.log10((exact + 1) / denominator)[which]
-        unigram = expected_counts(read_levels(filled, words, 0, n_buckets))
-        pairs, pair_of = np.unique(pair_hashes(tokens, first), return_inverse=True)
-        pair_counts = expected_counts(read_levels(filled, pairs, 1, n_buckets))
+        unigram = expected_counts(levels("word"))
+        pair_of = np.unique(short_ids(pair_hashes(tokens, first)), return_inverse=True)[1]
+        pair_counts = expected_counts(levels("pair"))
         before = np.empty(len(tokens), dtype=np.int64)
         before[1:] = which[:-1]
         before[first[:-1]] = np.searchsorted(words, END)
@@ -334,5 +351,5 @@ def score_documents(
         return pa.table(columns, names=names)
 
     schema = T.StructType([T.StructField("doc_id", id_type), *(T.StructField(n, T.LongType()) for n in names[1:4]), *(T.StructField(n, T.DoubleType()) for n in names[4:])])
-    replies = answers.where("kind = 'answer'").select("block", "bucket", "n", "payload")
+    replies = answers.where("kind <> 'size'").select("block", "bucket", "kind", "n", "payload", "levels")
     return pack_blocks(docs, ["doc_id", "text"]).groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, schema)

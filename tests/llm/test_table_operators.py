@@ -265,6 +265,31 @@ def test_lm_counts_match_brute_force(spark):
     assert lm.score_documents(df.limit(0), learned, filter_bits=1 << 20).count() == 0
 
 
+def test_filter_grows_with_the_corpus(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randint(0, 20_000)}" for _ in range(100))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    learned = F.col("doc_id") % 7 != 2
+    small, large = ({r["doc_id"]: r["score"] for r in lm.score_documents(df, learned, filter_bits=bits, block_bytes=30_000).collect()} for bits in (1 << 10, 1 << 25))
+    singles, pairs = Counter(), Counter()
+    texts = {doc_id: [*text.encode().split(), None] for doc_id, text in rows}
+    for doc_id, own in texts.items():
+        if doc_id % 7 != 2:
+            singles.update(own)
+            pairs.update(zip([None, *own], own))
+    middle = lambda c: (2 ** (c.bit_length() - 1) + 2 ** c.bit_length() - 1) / 2 if c else 0.0
+    n, v = singles.total(), len(singles)
+    for doc_id, own in texts.items():
+        score = 0.0
+        for a, b in zip([None, *own], own):
+            single = (middle(singles[b]) + 1) / (n + v + 1)
+            share = min(1.0, middle(pairs[a, b]) / max(middle(singles[a]), 1))
+            score += math.log10(lm.PAIR_WEIGHT * share + (1 - lm.PAIR_WEIGHT) * single if singles[a] else single)
+        assert abs(large[doc_id] - score) < 0.01
+        # False positives, about 1 in 200 probes, raise some of a text's counts.
+        assert abs(small[doc_id] - score) < 0.05 * abs(score)
+
+
 def test_filter_reads_back_levels():
     rng = np.random.default_rng(8)
     hashes = np.unique(rng.integers(0, 2**63, 3000, dtype=np.int64).astype(np.uint64) * np.uint64(2))
