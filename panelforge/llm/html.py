@@ -7,9 +7,9 @@ comments and the like) are stripped with what they hold. A line's weight is the
 
 Then, over the lines, the weights of ``block`` lines in a row are summed. The article begins where a sum surges over the
 threshold and ends where the sums dive to nothing; all lines between a surge and its dive are kept, with
-every line in between, however short, and each surge of a page counts. Lines inside an ``article`` or
-``main`` element have the weight of a full block, so their run begins and ends exactly with the element;
-where a page has such an element, lines outside it weigh nothing.
+every line in between, however short, and each surge of a page counts. The sums run over all lines of every page.
+A line inside an ``article`` or ``main`` element weighs a share of the threshold more, so that ``block`` short lines there
+make a surge; lines outside keep their weight, and text that stands beside such an element is found as on any page.
 
 Text that the browser would not show as the article's is dropped; nothing else is dropped or cut.
 """
@@ -163,14 +163,9 @@ def main_text(html: str, block: int = BLOCK, threshold: int = THRESHOLD) -> str:
     lines = page_lines(html)
     if not lines:
         return ""
-    owner = np.array([main for _, _, main in lines])
-    if owner.any():
-        weights = np.where(owner > 0, threshold + 1, 0)
-        reach = 1  # the element says where the run begins and ends
-    else:
-        weights = np.array([free for _, free, _ in lines])
-        reach = block
-    sums = np.convolve(weights, np.ones(reach, dtype=np.int64))[reach - 1 :]  # of each line and those after it
+    bonus = threshold // block + 1
+    weights = np.array([free + bonus * (main > 0) for _, free, main in lines])
+    sums = np.convolve(weights, np.ones(block, dtype=np.int64))[block - 1 :]  # of each line and those after it
     kept = np.zeros(len(lines), dtype=bool)
     at = 0
     while at < len(lines):

@@ -243,6 +243,14 @@ def test_main_text_by_line_blocks():
     assert html.main_text(page) == "\n".join(["Head", PARAGRAPH, "Short.", PARAGRAPH])
 
 
+def test_main_text_outside_article_elements():
+    teaser = "<article><h3><a href='/a'>Read this too</a></h3></article>"
+    page = PAGE.format(main=f"<div><h1>Head</h1><p>{PARAGRAPH}</p><p>Short.</p><p>{PARAGRAPH}</p></div><ul><li><a href='/b'>b</a></ul><ul><li><a href='/c'>c</a></ul><ul><li><a href='/d'>d</a></ul>{teaser}")
+    assert html.main_text(page) == "\n".join(["Head", PARAGRAPH, "Short.", PARAGRAPH])
+    page = PAGE.format(main=f"<article><h1>Head</h1><p>{PARAGRAPH}</p></article><div><p>{PARAGRAPH}</p><p>Short.</p></div>")
+    assert html.main_text(page) == "\n".join(["Head", PARAGRAPH, PARAGRAPH, "Short."])
+
+
 @pytest.mark.parametrize("page", ["", "   ", "<", "<p", "<!-- x", "<script>never closed", "plain text", "<p>a<p>b", "&lt;p&gt;", "<a href='x>y'>z</a>"])
 def test_odd_pages_do_not_crash(page):
     assert isinstance(html.main_text(page), str)
