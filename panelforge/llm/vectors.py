@@ -1,13 +1,15 @@
 """Embedding near-duplicates by sorted projection passes.
 
 In each pass every vector gets the signs of random projections as one string of bits, all vectors are ordered by it,
-and each is compared with those that follow it within a window. A window grows for as long as it still finds links, so
-that a run of mutual neighbours in a task is compared whole. Pairs count only if their exact cosine in double
+and all that share a prefix of it are compared with each other, however many they are: a run of one prefix is never
+cut, neither by a window nor by a task's border. Beyond its run, a vector is compared with those that follow it within a
+window, which grows for as long as it still finds links. Pairs count only if their exact cosine in double
 precision reaches the threshold; passes complete each other and their pairs are united. Equal vectors are one
 class from the start and are never compared with each other.
 
-The number of passes follows from the number of distinct vectors: as many as make a pair right at the threshold
-be missed by all passes with probability ``miss`` at most.
+The number of passes follows from the prefix: as many as make a pair right at the threshold have different prefixes in all
+passes with probability ``miss`` at most, however the vectors are spread. The prefix has log2(n / window) bits, or more
+where a sample shows that runs would be so long that more passes over shorter ones cost less.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ from .components import connected_components, spanning_links
 
 BITS = 64
 ROWS = 256
+#: For the choice of the prefix: vectors looked at, and comparisons that cost as much as a row of a pass.
+SAMPLE = 2000
+ROW_COST = 1000
 
 
 def matrix_runs(column: pa.Array, zeros: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -54,23 +59,46 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def passes_needed(n: int, threshold: float, window: int, miss: float) -> int:
-    """Passes after which a pair with that cosine is missed with probability ``miss`` at most.
-
-    Vectors that share the first log2(n / window) bits are within a window of each other, about.
-    """
+def passes_needed(bits: int, threshold: float, miss: float) -> int:
+    """Passes after which a pair with that cosine never shared its first ``bits`` bits with probability ``miss`` at most."""
     same = 1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi
-    once = min(0.999, same ** max(1.0, math.log2(max(2.0, n / window))))
-    return max(8, math.ceil(math.log(miss) / math.log(1 - once)))
+    once = min(0.999, same**bits)
+    return max(8, math.ceil(math.log(miss) / math.log1p(-once)))
 
 
-def window_links(units: np.ndarray, raw: np.ndarray, window: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of sorted rows with cosine >= threshold: all within ``window``, and on while a block still finds some."""
+def prefix_bits(sample: list[bytes], n: int, threshold: float, window: int, miss: float, seed: int) -> int:
+    """Bits of the prefix for ``n`` vectors of which ``sample`` is drawn: from log2(n / window) on, those of least cost.
+
+    The sample decides on the time that passes take, not on what they find.
+    """
+    least = min(BITS, max(1, math.ceil(math.log2(max(2.0, n / window)))))
+    by_length: dict[int, list[bytes]] = {}
+    for vector in sample:
+        by_length.setdefault(len(vector), []).append(vector)
+    sets = 8
+    met = np.zeros(BITS + 1)
+    for size, members in by_length.items():
+        matrix = unit_rows(np.frombuffer(b"".join(members), dtype=np.float64).reshape(len(members), size // 8))
+        planes = np.random.default_rng([seed, size // 8, 1]).standard_normal((size // 8, sets * BITS))
+        keys = np.ascontiguousarray(np.packbits(matrix @ planes > 0, axis=1)).view(">u8").astype(np.uint64)
+        for own in keys.T:
+            for bits in range(least, BITS + 1):
+                counts = np.unique(own >> np.uint64(BITS - bits), return_counts=True)[1].astype(np.float64)
+                met[bits] += (counts * (counts - 1)).sum()
+    pairs = max(1, sets * len(sample) * (len(sample) - 1))
+    return min(range(least, BITS + 1), key=lambda bits: passes_needed(bits, threshold, miss) * (ROW_COST + n * met[bits] / pairs / 2))
+
+
+def window_links(
+    units: np.ndarray, raw: np.ndarray, window: int, threshold: float, prefixes: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sorted rows with cosine >= threshold: all of one prefix or within ``window``, and on while a block still finds some."""
     n = len(units)
+    run_ends = np.zeros(n, np.int64) if prefixes is None else np.searchsorted(prefixes, prefixes, side="right")
     for start in range(0, n, ROWS):
         block = units[start : start + ROWS]
         at, found = start, True
-        while at < n and (found or at < start + len(block) + window):
+        while at < n and (found or at < start + len(block) + window or at < run_ends[start + len(block) - 1]):
             others = units[at : at + ROWS]
             a, b = np.nonzero(block @ others.T >= threshold - 1e-9)
             a, b = a + start, b + at
@@ -127,7 +155,9 @@ def near_duplicate_vectors(
         rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     )
     n = classes.count()
-    passes = passes_needed(n, threshold, window, miss)
+    # Keys are digests, so the first by key are a fair sample.
+    bits = prefix_bits([row["vector"] for row in classes.orderBy("key").limit(SAMPLE).select("vector").collect()], n, threshold, window, miss, seed)
+    passes = passes_needed(bits, threshold, miss)
     id_type = pa.from_numpy_dtype(np.int64)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +185,8 @@ def near_duplicate_vectors(
 
     projected = classes.select("vec_id", "copies", "vector").mapInArrow(project, "pass int, length int, key long, vec_id long, copies long, vector binary")
     parts = max(1, math.ceil(n * passes / task_rows))
-    ordered = projected.repartitionByRange(parts, "pass", "length", "key", "vec_id").sortWithinPartitions("pass", "length", "key", "vec_id")
+    # Rows of one prefix go to one task.
+    ordered = projected.repartitionByRange(parts, F.col("pass"), F.col("length"), F.shiftright("key", BITS - bits)).sortWithinPartitions("pass", "length", "key", "vec_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -164,7 +195,8 @@ def near_duplicate_vectors(
             length = part.column("length")[0].as_py()
             raw = np.frombuffer(b"".join(part.column("vector").to_pylist()), dtype=np.float64).reshape(-1, length)
             ids, copies = (part.column(c).to_numpy() for c in ("vec_id", "copies"))
-            for a, b in window_links(unit_rows(raw), raw, window, threshold):
+            prefixes = part.column("key").to_numpy() >> (BITS - bits)
+            for a, b in window_links(unit_rows(raw), raw, window, threshold, prefixes):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a], ids[b], copies[a], copies[b])], names=["a", "b", "copies_a", "copies_b"])
 

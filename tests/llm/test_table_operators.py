@@ -142,6 +142,20 @@ def test_a_run_longer_than_the_window_is_compared_whole():
     assert found == 700 * 699 // 2
 
 
+def test_a_crowd_below_the_threshold_hides_no_pair(spark):
+    rng = np.random.default_rng(3)
+    crowd = math.sqrt(0.9) * np.eye(1, 64) + math.sqrt(0.1 / 64) * rng.standard_normal((12_000, 64))
+    near = crowd[:400] + math.sqrt(0.05 / 64) * rng.standard_normal((400, 64))
+    matrix = np.concatenate([crowd, near])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], "vec_id long, embedding array<double>")
+    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    expected = (unit @ unit.T >= 0.97).sum(axis=1) - 1
+    out = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicate_vectors(df, threshold=0.97, task_rows=2000).collect()}
+    assert expected.sum() >= 600
+    assert sum(out.values()) >= 0.995 * expected.sum()
+    assert all(out[i] <= n for i, n in enumerate(expected))
+
+
 def test_top_k_matches_brute_force(spark):
     rows = vector_rows(4) + [(3000, [0.5] * 16), (3001, [0.5] * 16), (3002, [0.5] * 16), (100, [1e9] * 16), (3100, [0.0] * 16)]
     odd = [(6000, None), (6100, [float("inf")] * 16), (6200, [None] * 16), (6300, [1.0]), (6400, [2.0]), (None, [1.0] * 16)]
