@@ -1,19 +1,20 @@
 """Personal data: patterns, and information-theoretic sanitisation of what else reveals them.
 
 Base entities (e-mail and IP addresses, payment cards, phone numbers) are found by pattern in whole texts. Then
-corpus co-occurrence says which other terms reveal them. A term occurs in the context of an entity kind if it stands
-within ``window`` words of an entity of that kind. Over all documents,
+corpus co-occurrence says which other terms reveal them. A term occurs in the context of an entity kind if its document
+has an entity of that kind (or, with a ``window``, if it stands within so many words of one). Over all documents, and over
+the terms outside entities only,
 
     information(kind)   = -log2 P(a word is in a context of the kind)
     disclosure(term, kind) = log2 P(in a context of the kind | the word is the term) + information(kind),
 
 the pointwise mutual information of the two. A term that occurs in contexts alone discloses all of the kind's
-information. Terms whose disclosure is at least ``alpha`` times the information, and that are seen in the contexts of
-at least ``support`` documents, exceed the threshold. Where they stand in the context of an entity in a document,
+information. Terms whose disclosure is at least ``alpha`` times the information exceed the threshold, however rare they
+are (unless ``support`` asks for more documents). Where they stand in the context of an entity in a document,
 sanitising replaces them: by the kind's general name below full disclosure, by nothing at full disclosure.
 Documents without an entity are left alone.
 
-Counting: contexts hold few words, so their terms are counted exactly first. A Bloom filter of a fixed
+Counting: the terms of contexts are counted exactly first. A Bloom filter of a fixed
 size (``filter_bits``), made of the terms with enough support, then says which words of the corpus need a total count
 at all; words that pass by chance are counted, too, and change nothing. So what is broadcast has a fixed bound and
 every count covers all documents.
@@ -96,37 +97,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def context_terms(text: str, spans: list[tuple[int, int, int]], window: int) -> set[tuple[int, int, str, int]]:
-    """(start, end, term, kind number) of the terms within ``window`` words of an entity.
+def outside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str]]:
+    """The pieces of a text between its entities, each with its start."""
+    pieces, done = [], 0
+    for start, _, end in spans:
+        if start > done:
+            pieces.append((done, text[done:start]))
+        done = max(done, end)
+    pieces.append((done, text[done:]))
+    return pieces
+
 
-    Terms are the lower-cased runs of letters and digits of a word, with a letter and outside all entities. A context
-    has the words that lie whole within ``64 * window`` code points of the entity, so that texts without white
-    space cost no more.
+def context_terms(text: str, spans: list[tuple[int, int, int]], window: int | None = None) -> list[tuple[int, int, str, int]]:
+    """(start, end, term, kind number) of the terms of the text, or of those within ``window`` words of an entity.
+
+    Terms are the lower-cased runs of letters and digits outside all entities that are not numbers.
     """
+    terms = [(at + m.start(), at + m.end(), m.group().lower()) for at, piece in outside(text, spans) for m in TERM.finditer(piece) if not m.group().isdecimal()]
+    if window is None:
+        kinds = sorted({kind for _, kind, _ in spans})
+        return [(a, b, term, kind) for a, b, term in terms for kind in kinds]
+    words = [m.span() for m in WORD.finditer(text)]
+    begins, ends, starts = [a for a, _ in words], [b for _, b in words], [a for a, _, _ in terms]
     found = set()
-    reach = 64 * window
-    merged: list[list[int]] = []
-    for start, _, end in spans:
-        if merged and start <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], end)
-        else:
-            merged.append([start, end])
-    begins = [a for a, _ in merged]
     for start, kind, end in spans:
-        low, high = max(0, start - reach), min(len(text), end + reach)
-        before = [(low + m.start(), m.group()) for m in WORD.finditer(text[low:start])]
-        if low and before and before[0][0] == low and not text[low - 1].isspace():
-            before = before[1:]
-        after = [(end + m.start(), m.group()) for m in WORD.finditer(text[end:high])]
-        if high < len(text) and after and after[-1][0] + len(after[-1][1]) == high and not text[high].isspace():
-            after = after[:-1]
-        for at, word in before[-window:] + after[:window]:
-            for m in TERM.finditer(word):
-                a, b = at + m.start(), at + m.end()
-                i = bisect.bisect_left(begins, b) - 1  # the last entity that begins before the term's end
-                if (i < 0 or merged[i][1] <= a) and not m.group().isdecimal():
-                    found.add((a, b, m.group().lower(), kind))
-    return found
+        low = begins[max(0, bisect.bisect_right(ends, start) - window)]
+        high = ends[min(len(ends), bisect.bisect_left(begins, end) + window) - 1]
+        found.update((*term, kind) for term in terms[bisect.bisect_left(starts, low) : bisect.bisect_left(starts, high)])
+    return sorted(found)
 
 
 def term_hashes(terms: list[str]) -> np.ndarray:
@@ -147,7 +145,7 @@ def values_of(batch: pa.RecordBatch) -> Iterator[str]:
 
 
 def disclosing_terms(
-    df: DataFrame, window: int = 3, alpha: float = 0.9, support: int = 5, text: str = "text", filter_bits: int = 1 << 23
+    df: DataFrame, window: int | None = None, alpha: float = 0.9, support: int = 1, text: str = "text", filter_bits: int = 1 << 23
 ) -> DataFrame:
     """``term``, ``kind`` (its number), ``disclosure`` and ``full`` of the terms over the threshold.
 
@@ -160,17 +158,22 @@ def disclosing_terms(
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            counts: Counter[tuple[str, int]] = Counter()
+            documents: Counter[tuple[str, int]] = Counter()
             for value in values_of(batch):
                 if spans := base_spans(value):
                     own = Counter((term, kind) for _, _, term, kind in context_terms(value, spans, window))
-                    rows += [(term, kind, n) for (term, kind), n in own.items()]
-            if rows:
-                terms, kinds, counts = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(kinds, pa.int32()), pa.array(counts, pa.int64())], names=["term", "kind", "n"])
-
-    near = texts.mapInArrow(contexts, "term string, kind int, n long")
-    near = shared_checkpoint(near.groupBy("term", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("documents")))
+                    counts.update(own)
+                    documents.update(own.keys())
+            if counts:
+                terms, kinds = zip(*counts, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(terms), pa.array(kinds, pa.int32()), pa.array(counts.values(), pa.int64()), pa.array([documents[k] for k in counts], pa.int64())],
+                    names=["term", "kind", "n", "documents"],
+                )
+
+    near = texts.mapInArrow(contexts, "term string, kind int, n long, documents long")
+    near = shared_checkpoint(near.groupBy("term", "kind").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents")))
     wanted = near.where(F.col("documents") >= support)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,9 +194,13 @@ def disclosing_terms(
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in batches:
-            counts: Counter[str] = Counter()
+            written_as: Counter[str] = Counter()
             for value in values_of(batch):
-                counts.update(TERM.findall(value.lower()))
+                for _, piece in outside(value, base_spans(value)):
+                    written_as.update(TERM.findall(piece))
+            counts: Counter[str] = Counter()
+            for term, n in written_as.items():
+                counts[term.lower()] += n
             terms = list(counts)
             good = np.ones(len(terms), dtype=bool)
             if terms:
@@ -245,7 +252,7 @@ def sanitise(text: str, spans: list[tuple[int, int, int]], terms: dict[tuple[int
 
 
 def find_personal_data(
-    df: DataFrame, window: int = 3, alpha: float = 0.9, support: int = 5, text: str = "text", carry: Iterable[str] = ("doc_id",), with_text: bool = True
+    df: DataFrame, window: int | None = None, alpha: float = 0.9, support: int = 1, text: str = "text", carry: Iterable[str] = ("doc_id",), with_text: bool = True
 ) -> DataFrame:
     """Add ``n_email``, ``n_ip``, ``n_card``, ``n_phone``, ``base_spans``, ``spans`` and ``sanitised`` to each row.
 
@@ -263,7 +270,7 @@ def find_personal_data(
     return add_columns(df, carry, [text], SPANS if with_text else T.StructType(SPANS.fields[:-1]), _marker(lambda: sent.value, window, with_text))
 
 
-def _marker(known, window: int, with_text: bool):
+def _marker(known, window: int | None, with_text: bool):
     def compute():
         listed = known()
 
@@ -276,7 +283,7 @@ def _marker(known, window: int, with_text: bool):
                 terms: dict[tuple[int, int], str] = {}
                 if spans:
                     own = listed if own_terms is None else {(t["term"], t["kind"]): t["full"] for t in own_terms[i] or ()}
-                    for a, b, term, kind in sorted(context_terms(value, spans, window)):
+                    for a, b, term, kind in context_terms(value, spans, window):
                         full = own.get((term, kind))
                         if full is not None:
                             terms[a, b] = "" if full else f"[{KINDS[kind].upper()} CONTEXT]"
@@ -293,7 +300,7 @@ def _marker(known, window: int, with_text: bool):
     return compute
 
 
-def _joined(df: DataFrame, terms: DataFrame, window: int, text: str, carry: list[str], with_text: bool) -> DataFrame:
+def _joined(df: DataFrame, terms: DataFrame, window: int | None, text: str, carry: list[str], with_text: bool) -> DataFrame:
     """For more terms than are broadcast: a document's context terms are joined with the list.
 
     Documents with an entity are numbered by a hash of their columns; equal documents get equal terms anyway.

@@ -138,6 +138,20 @@ def test_terms_that_only_entities_have_are_removed(spark):
     assert joined == out
 
 
+def test_rare_and_distant_terms_are_removed(spark):
+    rng = random.Random(6)
+    words = [f"word{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(words, k=30))) for i in range(200)]
+    rows.append((500, "Gomez " + " ".join(rng.choices(words, k=12)) + " maria maria@x.com " + " ".join(rng.choices(words, k=3))))
+    rows.append((501, "田中太郎、" + "、".join("word1" for _ in range(60)) + " +1 (202) 555-1000"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = {(r["term"], r["kind"]): r["full"] for r in pii.disclosing_terms(df).collect()}
+    assert terms == {("gomez", 0): True, ("maria", 0): True, ("田中太郎", 3): True}
+    out = {r["doc_id"]: r for r in pii.find_personal_data(df).collect()}
+    assert all(t not in out[500]["sanitised"] for t in ("Gomez", "maria")) and "田中太郎" not in out[501]["sanitised"]
+    assert all(out[i]["sanitised"] == text for i, text in rows[:200])
+
+
 # Quality
 
 
