@@ -8,8 +8,7 @@ their interpolated probabilities and back-off weights beside them. The language
 character wins. A text whose cross-entropy lies well over what its language's training text has, by the spread of
 that language's characters and the text's length, is marked as rejected.
 
-The model's size is bounded: n-grams of all languages are dealt into 2**hash_bits cells, and of those that fall
-into one cell the most frequent stays. With thousands of times more cells than frequent n-grams that costs next to nothing.
+Every n-gram of every language stays in the model, whose arrays grow with the distinct n-grams of the corpus.
 """
 
 from __future__ import annotations
@@ -23,12 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, let_workers_import, row_groups, text_bytes
+from .common import add_columns, let_workers_import, row_groups, shared_checkpoint, text_bytes
 
 ORDER = 4
 GROUP_BYTES = 1_000_000
 UNKNOWN = "und"
-HASH_BITS = 23
 
 _LETTERS: list[np.ndarray] = []
 
@@ -140,7 +138,7 @@ def kneser_ney(grams: np.ndarray, counts: np.ndarray, symbols: int) -> Model:
     return model
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", hash_bits: int = HASH_BITS) -> dict[str, Model]:
+def train(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, Model]:
     """A model for each language of ``df``, from all its rows; rows with a null language or text are left out."""
     let_workers_import(df.sparkSession)
     rows = df.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null and text is not null")
@@ -175,13 +173,16 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", hash_bits: int
         yield from out()
 
     counted = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    cell = F.pmod(F.xxhash64("lang", "gram"), F.lit(1 << hash_bits))
-    stored = counted.groupBy(cell.alias("cell")).agg(F.max(F.struct("n", "lang", "gram")).alias("best")).select("best.lang", "best.gram", "best.n").toArrow()
-    names = np.array(stored.column("lang").to_pylist(), dtype=object)
-    grams = stored.column("gram").to_numpy().view(np.uint64)
-    counts = stored.column("n").to_numpy()
-    symbols = len(np.unique(grams & np.uint64(0xFFFF)))
-    return {name: kneser_ney(grams[names == name], counts[names == name], symbols) for name in sorted(set(names))}
+    counted = shared_checkpoint(counted)
+    names = sorted(row["lang"] for row in counted.select("lang").distinct().collect())
+    # One language at a time, so that the names never stand beside the n-grams.
+    stored = {}
+    for name in names:
+        own = counted.where(F.col("lang") == name).select("gram", "n").toArrow()
+        stored[name] = own.column("gram").to_numpy().view(np.uint64), own.column("n").to_numpy()
+    last = [np.unique(grams & np.uint64(0xFFFF)) for grams, _ in stored.values()]
+    symbols = len(np.unique(np.concatenate(last))) if last else 0
+    return {name: kneser_ney(*stored.pop(name), symbols) for name in names}
 
 
 OUTPUT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())])

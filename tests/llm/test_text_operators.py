@@ -238,6 +238,16 @@ def test_languages_are_told_apart(spark):
     assert {r["lang_pred"] for r in langid.identify(df, langid.train(df.limit(0))).collect()} == {"und"}
 
 
+def test_models_keep_every_gram(spark):
+    rng = random.Random(5)
+    rows = [(lang, "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(2000))) for lang in ("xx", "yy") for _ in range(60)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    models = langid.train(df)
+    for lang in ("xx", "yy"):
+        expected, _ = langid.grams_of([t for name, t in rows if name == lang])
+        assert np.array_equal(models[lang].grams[-1], np.unique(expected))
+
+
 # Pages
 
 PAGE = """<html><head><title>t</title><script>var a = "<p>no</p>";</script></head><body><header>Site</header>
