@@ -155,30 +155,90 @@ def test_rare_and_distant_terms_are_removed(spark):
 # Quality
 
 
-def brute_score(net, text):
-    data = text.encode()
-    blocks = [data[i : i + 32] for i in range(0, max(1, len(data)), 32)] or [b""]
-    chunks = [(i * 32, (i + 2) * 32) for i in range(max(1, len(blocks) - 1))]
-    pooled = np.zeros(len(net.weights))
-    for a, b in chunks:
-        x = np.zeros(quality.CHANNELS)
-        for value in data[a:b]:
-            x[value] += 1
-        lags = [sum(1 for i in range(a, min(b, len(data))) if i + lag < len(data) and data[i] == data[i + lag]) for lag in range(1, quality.LAGS + 1)]
-        x[256] = max(lags)
-        x[257] = min(255, sum(lags) * 4 // quality.LAGS)
-        pooled = np.maximum(pooled, (x * quality.SCALE) @ net.filters + net.bias)
+def random_net(seed=1, filters=4):
+    rng = np.random.default_rng(seed)
+    made = lambda *shape: (rng.standard_normal(shape) * 0.2).astype(np.float32)
+    return quality.ConvNet(made(257, quality.LEARNED), made(quality.WIDTH * quality.SIZE, filters), made(filters), made(filters), 0.2)
+
+
+def brute_score(net, data):
+    """The network without pieces or groups: every chunk of one document in one array."""
+    n = len(data)
+    size = max(1, -(-n // quality.STRIDE)) * quality.STRIDE + quality.WIDTH - quality.STRIDE
+    vectors = np.zeros((size, quality.SIZE))
+    raw = np.frombuffer(data, dtype=np.uint8)
+    vectors[:n, : quality.LEARNED] = net.vectors[raw]
+    vectors[n:, : quality.LEARNED] = net.vectors[quality.PAD]
+    for bit, (length, back) in enumerate(quality.ECHOES):
+        for lag in range(1, min(back, n) + 1):
+            same = raw[lag:] == raw[:-lag]
+            runs = np.lib.stride_tricks.sliding_window_view(same, length).all(axis=1) if len(same) >= length else np.zeros(0, bool)
+            vectors[lag : lag + len(runs), quality.LEARNED + bit] += runs
+        vectors[:, quality.LEARNED + bit] = vectors[:, quality.LEARNED + bit] > 0
+    chunks = np.lib.stride_tricks.sliding_window_view(vectors, quality.WIDTH, axis=0)[:: quality.STRIDE].transpose(0, 2, 1).reshape(-1, quality.WIDTH * quality.SIZE)
+    pooled = np.maximum((chunks @ net.kernels + net.bias).max(axis=0), 0)
     return 1 / (1 + np.exp(-(pooled @ net.weights + net.offset)))
 
 
+def scores(net, texts):
+    return net.score(np.frombuffer(b"".join(texts), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
+
+
 def test_network_sees_every_byte_like_brute_force():
-    rng = np.random.default_rng(1)
-    net = quality.ConvNet(rng.standard_normal((quality.CHANNELS, 4)).astype(np.float32) * 0.1, np.zeros(4, np.float32), rng.standard_normal(4).astype(np.float32), 0.2)
-    texts = ["", "a", "x" * 31, "ab" * 40, "the quick brown fox " * 20, "é" * 100]
-    raw = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
-    offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
-    together = net.score(raw, offsets)
-    assert np.allclose(together, [brute_score(net, t) for t in texts], atol=1e-4)
+    net = random_net()
+    rng = random.Random(8)
+    texts = ["", "a", "x" * 31, "ab" * 40, "the quick brown fox " * 20, "é" * 100, "que que del del", "ab" * 2, "abcabc", "end"]
+    texts += ["".join(rng.choices("abc d", k=rng.randint(0, 300))) for _ in range(60)]
+    data = [t.encode() for t in texts]
+    assert np.allclose(scores(net, data), [brute_score(net, t) for t in data], atol=1e-5)
+
+
+@pytest.mark.parametrize("size", [quality.PIECE_BYTES - 1, quality.PIECE_BYTES, 2 * quality.PIECE_BYTES + 5, 1_000_000, 4_300_000])
+def test_long_texts_take_the_same_path(size):
+    rng = np.random.default_rng(size)
+    data = rng.choice(np.frombuffer(b"abcdefgh ", np.uint8), size).tobytes()
+    data = data[: size // 2] + data[size // 2 - 20 : size // 2 + 20] + data[size // 2 + 40 :]
+    net = random_net(3)
+    found = scores(net, [b"short", data, b"", data[:100]])
+    assert np.allclose(found, [brute_score(net, t) for t in (b"short", data, b"", data[:100])], atol=1e-5)
+    for at in (0, size // 2, size - 40):  # a mark anywhere in the text counts
+        marked = data[:at] + b"\xff" * 40 + data[at + 40 :]
+        assert np.isclose(scores(net, [marked])[0], brute_score(net, marked), atol=1e-5)
+
+
+def test_the_order_of_bytes_counts():
+    net = random_net(4)
+    data = b"the quick brown fox jumps over the lazy dog"
+    chunk = bytes(sorted(data[:16]))
+    assert abs(scores(net, [data])[0] - scores(net, [chunk + data[16:]])[0]) > 1e-4
+
+
+def test_training_takes_long_texts_and_one_text_of_an_id(spark):
+    rng = random.Random(12)
+    texts = {i: " ".join("".join(rng.choices("abcdef", k=4)) + ("##" if i % 2 else "") for _ in range(60)) for i in range(40)}
+    texts[4] = "abcd efab " * 30_000  # far longer than the rest
+    docs = [(i, t) for i, t in texts.items()] + [(7, texts[7])] * 3 + [(8, "other")]
+    labels = [(i, 1 - i % 2) for i in range(40)] + [(3, 0), (6, 0), (6, 1)]
+    seen = []
+    real, quality.fit = quality.fit, lambda found, marks: seen.append((found, marks))
+    try:
+        for order in (1, -1):
+            frame = spark.createDataFrame(docs[::order], "doc_id long, text string")
+            quality.train(frame, spark.createDataFrame(labels[::order], "doc_id long, quality int"))
+        quality.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), max_rows=10, max_bytes=2000)
+    finally:
+        quality.fit = real
+    assert seen[0] == seen[1] and len(seen[0][0]) == 39  # id 6 has both labels
+    assert texts[4].encode() in seen[0][0]
+    assert len(seen[2][0]) <= 10 and sum(map(len, seen[2][0])) <= 2000
+
+
+def test_quality_replaces_a_clashing_column_and_keeps_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (1, "c", None)], "doc_id long, text string, score string")
+    out = quality.classify_documents(df, random_net(), carry=["doc_id", "score", "text"]).collect()
+    assert len(out) == 3 and all(isinstance(r["score"], float) for r in out)
+    assert len({r["score"] for r in out if r["text"] == "a b"}) == 1
+    assert quality.classify_documents(df.limit(0), random_net()).count() == 0
 
 
 def test_network_separates_held_out_junk(spark):
