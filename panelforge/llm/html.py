@@ -2,21 +2,26 @@
 
 A page is stripped of markup into lines: a block element begins a new line, white space in a line becomes one
 space, character references are decoded. Elements that never hold the article (scripts, styles, forms,
-navigation, headers and footers of the page, asides, and elements whose class, id or role says advert, sidebar, notice,
-comments and the like) are stripped with what they hold. A line's weight is the length of its text outside links.
+navigation, footers and asides, headers outside an article) are stripped with what they hold. Elements whose class, id or role
+says advert, sidebar, notice, comments and the like are suspects: their lines stay out, unless they hold an ``article`` or
+``main`` element, or the rest of the page has no surge and they hold most of the page's text.
+A line's weight is the length of its text outside links.
 
-Then, over the lines, the weights of ``block`` lines in a row are summed. The article begins where a sum surges over the
-threshold and ends where the sums dive to nothing; all lines between a surge and its dive are kept, with
-every line in between, however short, and each surge of a page counts. The sums run over all lines of every page.
-A line inside an ``article`` or ``main`` element weighs a share of the threshold more, so that ``block`` short lines there
-make a surge; lines outside keep their weight, and text that stands beside such an element is found as on any page.
+Then, over the lines, the weights of ``block`` lines in a row are summed. The article surges where a sum passes the
+threshold and dives where sums come to nothing; all lines from the last dive before a surge to the next one after it are
+kept, however short, and each surge of a page counts. The sums run over all lines of every page. A line inside an ``article``
+or ``main`` element weighs a share of the threshold more, so that ``block`` short lines there make a surge; lines outside keep
+their weight, and text that stands beside such an element is found as on any page. On a page without a surge the
+lines around the highest sum are kept.
 
-Text that the browser would not show as the article's is dropped; nothing else is dropped or cut.
+Text that the browser would not show as the article's is dropped; nothing else is dropped or cut. A page is read once, from
+its beginning to its end, whatever is wrong with its tags.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable
 from html import unescape
 
@@ -43,6 +48,13 @@ SAYS = frozenset(
     "breadcrumbs footer header masthead comment comments disqus reply replies respond notice notices cookie cookies consent gdpr alert popup modal overlay "
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets toolbar pagination pager complementary contentinfo search toc".split()
 )
+#: Those of readers' comments, of which a page may have more than of its article.
+TALK = frozenset("comment comments disqus reply replies respond".split())
+#: Words that may stand beside them in one name; a name with any other word, such as side-by-side, says nothing.
+BESIDE = frozenset(
+    "site page main global top bottom left right box area list bar block section wrap wrapper container inner outer item items link links post posts content panel col column row group "
+    "text title label icon button btn form module unit slot zone region inline sticky fixed mini small large desktop mobile first last primary secondary article story blog news body user reader readers thread wp js".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(["article", "main"])
 #: Open elements that an opening tag ends.
@@ -55,134 +67,201 @@ ENDS = {
     "th": frozenset(["td", "th"]),
     "option": frozenset(["option"]),
 }
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+NAME = re.compile(r"[A-Za-z][^\s/>]*")
+STOP = re.compile(r"""[>"']""")
 NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 HIDDEN = re.compile(r"""\shidden(?=[\s=/]|\Z)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 WORDS = re.compile(r"[a-z]+")
 # The white space of HTML, and what else Python and Unicode count as white space.
 BLANK = re.compile(r"\s+")
+ENDINGS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE) for tag in RAW}
+
+
+def says(attributes: str) -> set[str]:
+    """The words of the names that mark an element as no part of an article."""
+    found: set[str] = set()
+    for match in NAMED.finditer(attributes):
+        for name in (match.group(1) or match.group(2) or match.group(3) or "").split():
+            words = set(WORDS.findall(HUMP.sub("-", name).lower()))
+            if words & SAYS and not words - SAYS - BESIDE:
+                found |= words & SAYS
+    return found
+
+
+class Tags:
+    """The tags of a page in order. A tag that quotes never let end makes quotes count as plain characters from there on."""
 
+    def __init__(self, html: str):
+        self.html, self.last, self.quoting = html, html.rfind(">"), True
 
-def unwanted(tag: str, attributes: str, inside_main: bool) -> bool:
-    """Whether an element is stripped with its content. A header inside the article is the article's own."""
-    if tag in NEVER:
-        return True
-    if tag == "header" and not inside_main:
-        return True
-    if not attributes:
-        return False
-    if HIDDEN.search(attributes):
-        return True
-    if tag in MAIN or tag in ("body", "html"):
-        return False
-    for found in NAMED.finditer(attributes):
-        value = found.group(1) or found.group(2) or found.group(3) or ""
-        said = SAYS.intersection(WORDS.findall(value.lower()))
-        if said - {"header"} or said and not inside_main:
-            return True
-    return False
-
-
-def page_lines(html: str) -> list[tuple[str, int, int]]:
-    """(text, characters outside links, number of the innermost article or main element around it, or 0)."""
-    lines: list[tuple[str, int, int]] = []
+    def end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag whose attributes begin at ``at``; -1 if none does."""
+        html, place = self.html, at
+        while self.quoting and place <= self.last:
+            stop = STOP.search(html, place)
+            if stop.group() == ">":
+                return stop.start()
+            place = html.find(stop.group(), stop.end()) + 1
+            if not place:
+                break
+        self.quoting = False
+        return html.find(">", at) if at <= self.last else -1
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str]:
+        """Start and end of the next piece of markup from ``at`` on, its tag (or ''), whether it closes, and its attributes."""
+        html = self.html
+        n = len(html)
+        while True:
+            start = html.find("<", at)
+            if start < 0:
+                return n, n, "", False, ""
+            first = html[start + 1 : start + 2]
+            if first in ("!", "?"):
+                comment = html.startswith("<!--", start)
+                end = html.find("-->" if comment else ">", start + 2)
+                return start, n if end < 0 else end + (3 if comment else 1), "", False, ""
+            closes = first == "/"
+            name = NAME.match(html, start + 1 + closes)
+            if name:
+                end = self.end(name.end())
+                if end < 0:  # an unfinished tag, to the page's end
+                    return start, n, "", False, ""
+                return start, end + 1, name.group().lower(), closes, html[name.end() : end]
+            at = start + 1
+
+
+def page_lines(html: str) -> tuple[list[tuple[str, int, bool, int]], list[tuple[int, bool, set[str]]]]:
+    """Lines: (text, characters outside links, inside an article or main element, suspect); suspects: (the one around, holds such an element, words).
+
+    A line's suspect is the number of the innermost one around it; number 0 is the page itself.
+    """
+    lines: list[tuple[str, int, bool, int]] = []
+    suspects: list[tuple[int, bool, set[str]]] = [(0, True, set())]
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each is stripped
-    stripped = 0
-    links = 0
-    mains: list[int] = []
-    made = 0
+    stack: list[tuple[str, bool, int]] = []  # open elements: whether each is stripped, and its number if it is a suspect
+    opened: Counter[str] = Counter()
+    stripped = links = mains = inside = 0
 
     def flush() -> None:
         if parts:
             text = BLANK.sub(" ", unescape("".join(p for p, _ in parts))).strip()
             if text:
                 free = BLANK.sub(" ", unescape("".join(p for p, linked in parts if not linked))).strip()
-                lines.append((text, len(free), mains[-1] if mains else 0))
+                lines.append((text, len(free), mains > 0, inside))
             parts.clear()
 
-    def close(to: int) -> None:
-        nonlocal stripped, links
-        while len(stack) > to:
-            tag, gone = stack.pop()
-            stripped -= gone
-            links -= tag == "a"
-            if tag in MAIN and mains:
-                mains.pop()
+    def close() -> None:
+        nonlocal stripped, links, mains, inside
+        tag, gone, suspect = stack.pop()
+        opened[tag] -= 1
+        stripped -= gone
+        links -= tag == "a"
+        mains -= tag in MAIN
+        if suspect:
+            inside = suspects[suspect][0]
 
+    tags = Tags(html)
     at = 0
-    while True:
-        found = MARKUP.search(html, at)
-        if not stripped:
-            piece = html[at : found.start()] if found else html[at:]
-            if piece:
-                parts.append((piece, links > 0))
-        if not found:
-            break
-        at = found.end()
-        tag = (found.group(2) or "").lower()
+    while at < len(html):
+        start, end, tag, closes, attributes = tags.next(at)
+        if not stripped and start > at:
+            parts.append((html[at:start], links > 0))
+        at = end
         if not tag:
             continue
-        if found.group(1):
-            if tag in BLOCKS:
-                if not stripped:
-                    flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
+        block = tag in BLOCKS
+        if block and not stripped:
+            flush()
+        if closes:
+            if opened[tag]:
+                while stack[-1][0] != tag:
+                    close()
+                close()
             continue
-        attributes = found.group(3)
-        if tag in BLOCKS:
-            if not stripped:
-                flush()
+        if block and stack:
             ends = ENDS.get(tag)
-            if ends and stack and stack[-1][0] in ends:
-                close(len(stack) - 1)
-            elif stack and stack[-1][0] == "p":
-                close(len(stack) - 1)
-        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS and tag not in RAW:
+            if stack[-1][0] == "p" or ends and stack[-1][0] in ends:
+                close()
+        if tag in VOID or attributes.endswith("/") and not block and tag not in RAW:
             continue
-        gone = unwanted(tag, attributes, bool(mains))
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(html, at)
-            at = end.end() if end else len(html)
+            ending = ENDINGS[tag].search(html, at)
+            at = ending.end() if ending else len(html)
             continue
-        stack.append((tag, gone))
+        gone = tag in NEVER or tag == "header" and not mains or bool(attributes) and bool(HIDDEN.search(attributes))
+        suspect = 0
+        if attributes and not gone and not stripped and tag not in ("body", "html") and tag not in MAIN:
+            words = says(attributes) - ({"header"} if mains else set())
+            # An inline element hardly is a place of its own; only an advert stands in one.
+            if words:
+                if not block:
+                    flush()
+                suspects.append((inside, False, words))
+                suspect = inside = len(suspects) - 1
+        stack.append((tag, gone, suspect))
+        opened[tag] += 1
         stripped += gone
         links += tag == "a"
         if tag in MAIN:
-            made += 1
-            mains.append(made)
-    flush()
-    return lines
+            mains += 1
+            holder = inside if not stripped else 0
+            while holder and not suspects[holder][1]:
+                suspects[holder] = (suspects[holder][0], True, suspects[holder][2])
+                holder = suspects[holder][0]
+    if not stripped:
+        flush()
+    return lines, suspects
+
+
+def kept_lines(weights: np.ndarray, block: int, threshold: int) -> tuple[np.ndarray, bool]:
+    """Which lines lie between the dives around a surge, and whether there is a surge; without one, those around the highest sum."""
+    kept = np.zeros(len(weights), dtype=bool)
+    if not weights.any():
+        return kept, False
+    sums = np.convolve(weights, np.ones(block, dtype=np.int64))[block - 1 :]  # of each line and those after it
+    surges = sums > threshold
+    surging = bool(surges.any())
+    if not surging:
+        surges = sums == sums.max()
+    # Runs of lines whose sums don't dive; a run begins and ends with a line that has weight.
+    alive = np.concatenate(([False], sums > 0, [False]))
+    turns = np.flatnonzero(alive[1:] != alive[:-1])
+    for start, end in zip(turns[::2], turns[1::2], strict=True):
+        if surges[start:end].any():
+            start += int(np.argmax(weights[start:end] > 0))
+            kept[start:end] = True
+    return kept, surging
 
 
 def main_text(html: str, block: int = BLOCK, threshold: int = THRESHOLD) -> str:
     """The kept lines of a page, joined by line feeds."""
-    lines = page_lines(html)
+    lines, suspects = page_lines(html)
     if not lines:
         return ""
-    bonus = threshold // block + 1
-    weights = np.array([free + bonus * (main > 0) for _, free, main in lines])
-    sums = np.convolve(weights, np.ones(block, dtype=np.int64))[block - 1 :]  # of each line and those after it
-    kept = np.zeros(len(lines), dtype=bool)
-    at = 0
-    while at < len(lines):
-        if sums[at] <= threshold:
-            at += 1
-            continue
-        start = at
-        while start < len(lines) and weights[start] == 0:
-            start += 1  # a surge begins with text
-        end = at
-        while end < len(lines) and sums[end] > 0:
-            end += 1
-        kept[start:end] = True
-        at = end + 1
-    if not kept.any() and weights.any():  # a short page: no block reaches the threshold
-        kept[np.flatnonzero(weights)[0] : np.flatnonzero(weights)[-1] + 1] = True
-    return "\n".join(lines[i][0] for i in np.flatnonzero(kept))
+    free = np.array([n for _, n, _, _ in lines], dtype=np.int64)
+    own = np.array([suspect for *_, suspect in lines], dtype=np.int64)
+    weights = free + threshold // block * np.array([main for _, _, main, _ in lines], dtype=np.int64)
+    out = np.zeros(len(suspects), dtype=bool)
+    for number, (around, holds, _) in enumerate(suspects):
+        out[number] = bool(number) and (out[around] or not holds)
+
+    def run() -> tuple[np.ndarray, bool]:
+        good = np.flatnonzero(~out[own])
+        kept, surging = kept_lines(weights[good], block, threshold)
+        return good[kept], surging
+
+    chosen, surging = run()
+    if not surging and out.any() and not any(lines[i][2] for i in chosen):
+        # The article may stand in a suspect: one that has most of the page's text, and enough of it, is none.
+        totals = np.bincount(own, weights=free, minlength=len(suspects))
+        for number in range(len(suspects) - 1, 0, -1):
+            totals[suspects[number][0]] += totals[number]
+        for number, (around, _, words) in enumerate(suspects):
+            if number and out[number]:
+                out[number] = out[around] or bool(words & TALK) or totals[number] <= max(threshold, totals[0] // 2)
+        chosen, _ = run()
+    return "\n".join(lines[i][0] for i in chosen)
 
 
 OUTPUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
