@@ -6,12 +6,14 @@ a count, the numbers are probed in turn until one is missing. False positives ca
 step up is that much less likely. Probabilities interpolate a word's share of its predecessor's count with a
 smoothed unigram probability, all from the filter.
 
-Dealing out: documents are put into blocks by a hash, each of about ``block_bytes`` bytes of text, and n-grams into
-buckets by the high bits of their hash. A block sends each bucket its distinct n-grams with their counts as packed
-arrays; a bucket adds them up, makes its own segment of the filter, and answers each block with the exact
-totals of the block's words and with the levels that its segment gives for the block's words and pairs. So frequent
-words cost one entry for each block, and neither the words nor the filter are ever in one place. A segment has
-``ENTRY_BITS`` bits for each number that it holds, so the filter grows with the corpus at one rate of false positives.
+Dealing out: each task packs the documents that it reads into blocks of about ``block_bytes`` bytes of text, which are
+written to the shared checkpoint folder, and n-grams go into buckets by the high bits of their hash. There are as many
+buckets as blocks, so a bucket stays small however large the corpus is. A block sends each bucket its distinct n-grams
+with their counts as packed arrays; a bucket adds them up, makes its own segment of the filter, and answers each block
+with the exact totals of the block's words and with the levels that its segment gives for the block's words and pairs.
+So frequent words cost one entry for each block, and neither the words nor the filter are ever in one place. A segment
+has ``ENTRY_BITS`` bits for each number that it holds, so the filter grows with the corpus at one rate of false
+positives. Text is shuffled once, to meet its answers; copies of a document need not meet at all.
 
 Words are told apart by 64-bit hashes. A text's tokens are its words in lower case (A-Z only) and one end.
 """
@@ -37,7 +39,7 @@ BLOCK_BYTES = 8_000_000
 PROBES = 3
 LEVELS = 40
 PAIR_WEIGHT = 0.3
-MOST_BUCKETS = 4096
+LEAST_BUCKETS = 16
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -177,34 +179,52 @@ SENT_NAMES = ["kind", "bucket", "block", "n", "payload", "counts"]
 ANSWER_NAMES = ["kind", "bucket", "block", "n", "distinct", "payload", "levels"]
 
 
-def pack_blocks(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``block`` and ``packed``: rows of one block that a task read together, as one compressed Arrow stream.
+def pack_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """``block`` and ``packed``: runs of the rows that a task reads, with about ``block_bytes`` bytes together, each as one compressed Arrow stream.
 
-    Texts that are compressed together take about half the room in a shuffle that single rows take.
+    A longer text is a block of its own. Texts that are compressed together take about half the room that single ones do.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+
+        def stream() -> pa.RecordBatch:
+            nonlocal number
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                for part in held:
+                    writer.write_batch(part)
+            held.clear()
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array([number - 1]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "packed"])
+
+        size = 0
         for batch in batches:
-            blocks = batch.column(0).to_numpy()
-            order = np.argsort(blocks, kind="stable")
-            numbers, first = np.unique(blocks[order], return_index=True)
-            streams = []
-            for start, end in zip(first, np.append(first[1:], len(order)), strict=True):
-                own = batch.take(pa.array(order[start:end])).select(columns)
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                    writer.write_batch(own)
-                streams.append(sink.getvalue().to_pybytes())
-            if streams:
-                yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(streams, pa.binary())], names=["block", "packed"])
-
-    return docs.select("block", *columns).mapInArrow(pack, "block long, packed binary")
-
-
-def unpacked(block: pa.Table) -> pa.Table:
-    """The rows of a block's streams, in an order that does not depend on how they arrived."""
-    streams = sorted(block.column("packed").to_pylist())
-    return pa.concat_tables(pa.ipc.open_stream(s).read_all() for s in streams)
+            _, offsets = text_bytes(batch.column(1))
+            at = 0
+            while at < batch.num_rows:
+                # As many rows as the block has room for, one at least if it is empty.
+                room = offsets[at] + block_bytes - size
+                end = max(at + (not held), int(np.searchsorted(offsets, room, side="right")) - 1)
+                if end > at:
+                    # A copy, as a slice would keep its whole batch.
+                    held.append(batch.slice(at, end - at).take(pa.array(np.arange(end - at))))
+                    size += int(offsets[end] - offsets[at])
+                    at = end
+                if at < batch.num_rows:
+                    yield stream()
+                    size = 0
+        if held:
+            yield stream()
+
+    return docs.mapInArrow(pack, "block long, packed binary")
+
+
+def unpacked(packed: bytes) -> pa.Table:
+    return pa.ipc.open_stream(packed).read_all()
 
 
 def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.Table:
@@ -214,21 +234,17 @@ def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.T
 def _count_block(n_buckets: int):
     types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
-    def count(block: pa.Table) -> pa.Table:
-        number = block.column("block")[0].as_py()
-        block = unpacked(block)
+    def count(number: int, block: pa.Table) -> pa.Table:
         tokens, first = token_hashes(*text_bytes(block.column("text")))
         learned = np.repeat(block.column("learned").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
         rows = []
 
         def deal(kind: str, hashes: np.ndarray, counts: np.ndarray, width: int) -> None:
-            cuts = np.searchsorted(bucket_of(hashes, n_buckets), np.arange(n_buckets + 1))
-            for bucket in range(n_buckets):
-                a, b = cuts[bucket], cuts[bucket + 1]
-                if a < b:
-                    data = np.ascontiguousarray(hashes[a:b] >> np.uint64(64 - 8 * width) if width < 8 else hashes[a:b]).astype("<u8")
-                    payload = data.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-                    rows.append((kind, bucket, number, int(b - a), payload, packed_counts(counts[a:b])))
+            buckets, starts = np.unique(bucket_of(hashes, n_buckets), return_index=True)
+            for bucket, a, b in zip(buckets.tolist(), starts.tolist(), [*starts[1:].tolist(), len(hashes)], strict=True):
+                data = np.ascontiguousarray(hashes[a:b] >> np.uint64(64 - 8 * width) if width < 8 else hashes[a:b]).astype("<u8")
+                payload = data.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+                rows.append((kind, bucket, number, int(b - a), payload, packed_counts(counts[a:b])))
 
         words, which = np.unique(tokens, return_inverse=True)
         deal("word", words, np.bincount(which[learned], minlength=len(words)), 8)
@@ -238,7 +254,12 @@ def _count_block(n_buckets: int):
         deal("pair", ids << np.uint64(16), np.bincount(which[learned], minlength=len(ids)), 6)
         return _rows(rows, SENT_NAMES, types)
 
-    return count
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield from count(number, unpacked(packed.as_py())).to_batches()
+
+    return run
 
 
 def _add_bucket(least_bytes: int):
@@ -303,12 +324,9 @@ def score_documents(
     let_workers_import(spark)
     id_type = df.schema[doc_id].dataType
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.coalesce(learned, F.lit(False)).alias("learned"))
-    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n_blocks = max(1, math.ceil(total / block_bytes))
-    n_buckets = 1 << min(MOST_BUCKETS.bit_length() - 1, max(4, (n_blocks - 1).bit_length()))
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
-
-    sent = pack_blocks(docs, ["text", "learned"]).groupBy("block").applyInArrow(_count_block(n_buckets), SENT)
+    blocks = shared_checkpoint(pack_blocks(docs, block_bytes))
+    n_buckets = max(LEAST_BUCKETS, 1 << (blocks.count() - 1).bit_length())
+    sent = blocks.mapInArrow(_count_block(n_buckets), SENT)
     answers = shared_checkpoint(sent.groupBy("bucket").applyInArrow(_add_bucket(filter_bits // 8 // n_buckets), ANSWERS))
     sizes = answers.where("kind = 'size'").agg(F.sum("n").alias("n"), F.sum("distinct").alias("v")).first()
     n_train, n_words = sizes["n"] or 0, sizes["v"] or 0
@@ -322,7 +340,7 @@ def score_documents(
         kinds = [arrow_id, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         if not block.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
-        block = unpacked(block)
+        block = unpacked(block.column("packed")[0].as_py())
         tokens, first = token_hashes(*text_bytes(block.column("text")))
         words, which = np.unique(tokens, return_inverse=True)
         kinds_of, lengths = answer.column("kind").to_pylist(), answer.column("n").to_pylist()
@@ -352,4 +370,4 @@ def score_documents(
 
     schema = T.StructType([T.StructField("doc_id", id_type), *(T.StructField(n, T.LongType()) for n in names[1:4]), *(T.StructField(n, T.DoubleType()) for n in names[4:])])
     replies = answers.where("kind <> 'size'").select("block", "bucket", "kind", "n", "payload", "levels")
-    return pack_blocks(docs, ["doc_id", "text"]).groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, schema)
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, schema)

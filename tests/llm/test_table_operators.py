@@ -304,6 +304,19 @@ def test_filter_grows_with_the_corpus(spark):
         assert abs(small[doc_id] - score) < 0.05 * abs(score)
 
 
+def test_lm_blocks_split_copies_and_long_texts(spark):
+    rows = [(1, "same words again")] * 300 + [(2, "w" * 5000), (3, ""), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    docs = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(True).alias("learned"))
+    blocks = lm.pack_blocks(docs, 1000).collect()
+    tables = [lm.unpacked(r["packed"]) for r in blocks]
+    assert sum(t.num_rows for t in tables) == len(rows) and len({r["block"] for r in blocks}) == len(blocks)
+    assert all(t.num_rows == 1 or sum(len(x) for x in t.column("text").to_pylist()) <= 1000 for t in tables)
+    # Many more blocks, and so buckets, than the least number; the same results with few and many.
+    few, many = ({(r["doc_id"], round(r["base_score"], 6), round(r["score"], 2)) for r in lm.score_documents(df, F.lit(True), filter_bits=1 << 24, block_bytes=b).collect()} for b in (10**6, 100))
+    assert few == many and len(many) == 4
+
+
 def test_filter_reads_back_levels():
     rng = np.random.default_rng(8)
     hashes = np.unique(rng.integers(0, 2**63, 3000, dtype=np.int64).astype(np.uint64) * np.uint64(2))
