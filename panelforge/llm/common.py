@@ -11,6 +11,7 @@ Conventions that hold for every operator here:
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 from typing import Any
@@ -55,26 +56,69 @@ def not_fold(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(fold_id(doc_id, modulus) != remainder, F.lit(False))
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a session without one, as in a local test,
-    gets a folder of its own. The data survive lost executors, unlike a local checkpoint or a cache.
+    Only a local session without one, as in a test, gets a folder of its own, which goes when Python ends.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            import atexit
+            import shutil
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the cluster's shared checkpoint folder and read it from there.
+
+    The data survive lost executors, unlike a local checkpoint or a cache.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_table(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet to the shared folder, and its path, for :func:`drop_table` when it has served."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Keys that may be broadcast for their many rows: those with over 1 / HOT_KEYS of all rows, so fewer than HOT_KEYS.
+HOT_KEYS = 500
+HOT_ROWS = 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has each ``key`` once and in ``n`` how many of the ``total`` rows of ``left`` have it.
+
+    A key with more than its share of rows would be one task's work. There are fewer than ``HOT_KEYS`` of these, as their
+    rows add up to no more than all; their rows of ``right`` are broadcast, and the others are joined by a shuffle. Tables
+    too small to have such keys are joined plainly. A key that is null has no match, and the result is without ``n``.
+    """
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    if total <= 20 * HOT_ROWS:
+        return left.join(right.drop(n), key)
+    hot = right.where(F.col(n) > limit).drop(n)
+    few = left.join(F.broadcast(hot), key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(n) <= limit).drop(n), key)
+    return few.unionByName(rest)
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column in one array, and the offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let_workers_import, shared_checkpoint
+from .common import drop_table, join_counted, shared_table
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,58 +14,34 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternates two steps until nothing changes: each node passes the least of its neighbourhood to its larger
     neighbours, then to its smaller ones. Links stay a distributed table and their number never grows; every
-    round is written to the shared checkpoint folder. Repeated links, links of a node to itself and either
-    order of the two nodes are allowed; links with a null are left out. No links give an empty table.
+    round is written to the shared folder and the one before it deleted. The neighbours of a node with a great share of the links
+    are not one task's work (:func:`join_counted`). Repeated links, links of a node to itself and either
+    order of the two nodes are allowed; links with a null are left out. No links give an empty table. Nodes may be of any
+    type that has an order.
     """
+    spark = links.sparkSession
     links = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"`{a}` is not null and `{b}` is not null").where("u <> v")
-    links = shared_checkpoint(links.distinct())
-    before = None
-    while True:
+    links, path = shared_table(links.distinct())
+    state = lambda: tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    before = state()
+    while before[0]:
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        up = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        up = up.where("u <> v").distinct()
-        least = up.groupBy("u").agg(F.min("v").alias("m"))
-        down = up.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        links = shared_checkpoint(down.where("u <> v").distinct())
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before or now[0] == 0:
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        up = join_counted(both, least, "u", "n", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        up, up_path = shared_table(up.where("u <> v").distinct())
+        least = up.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        down = join_counted(up, least, "u", "n", before[0]).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        links, new = shared_table(down.where("u <> v").distinct())
+        for old in (path, up_path):
+            drop_table(spark, old)
+        path, now = new, state()
+        if now == before:
             break
         before = now
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def spanning_links(links: DataFrame, a: str = "a", b: str = "b", at_once: int = 1_000_000) -> DataFrame:
-    """Fewer links with the same components, for integer nodes: each task's own spanning forest.
-
-    A dense group of n nodes may have n * n links; each task hands on n of them at most for every ``at_once`` it reads.
-    """
-
-    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            left, right = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            nodes, places = np.unique(np.concatenate((left, right)), return_inverse=True)
-            forest = Forest(len(nodes))
-            forest.link(places[: len(left)], places[len(left) :])
-            joined = np.flatnonzero(forest.root != np.arange(len(nodes)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[joined]), pa.array(nodes[forest.root[joined]])], names=["a", "b"])
-
-        for batch in batches:
-            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
-            if sum(len(x) for x, _ in held) >= at_once:
-                yield from out()
-        if held:
-            yield from out()
-
-    let_workers_import(links.sparkSession)
-    known = links.where(f"`{a}` is not null and `{b}` is not null")
-    return known.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).mapInArrow(contract, "a long, b long")
-
-
 class Forest:
     """Components of nodes 0 to n-1 in one task, to which links come in arrays."""
 

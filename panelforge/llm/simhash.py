@@ -4,7 +4,8 @@ A fingerprint's bit is set if more than half of the XXH64 values (seed 42) of th
 Fingerprints that differ in at most ``radius`` bits are linked, and linked documents make a group.
 
 Of ``radius + 1`` blocks of a fingerprint, two linked ones share at least one. The distinct fingerprints are
-therefore dealt out by each block's value into shards, whose own BK-tree finds a fingerprint's neighbours: a
+therefore dealt out by each block's value into shards, and large shards again by blocks of the other bits, so that no shard
+grows with the corpus. A shard's own BK-tree finds a fingerprint's neighbours: a
 node's children are keyed by their Hamming distance to it, and a search goes down only where that key is
 within the radius of the searched fingerprint's distance to the node. A shard's tree meets only the searches of its
 own shard, so trees go with their shards to one task and none is broadcast: all trees together grow with the corpus,
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, let_workers_import, shared_checkpoint, text_bytes
+from .common import add_columns, join_counted, let_workers_import, shared_checkpoint, text_bytes
 from .components import Forest, connected_components
 
 SHINGLE = 3
@@ -29,6 +30,8 @@ SEED = 42
 #: Shingles whose bits are counted at once, and pairs of search and node that are looked at together.
 STEP = 65_536
 FRONTIER = 2_000_000
+#: Fingerprints above which a shard is dealt out again.
+SHARD_PRINTS = 20_000
 
 
 def fingerprint(data: bytes) -> int:
@@ -115,21 +118,52 @@ class BKForest:
             start = end
 
 
-def link_prints(prints: DataFrame, radius: int) -> DataFrame:
+def deal_shards(prints: DataFrame, radius: int, most: int) -> DataFrame:
+    """``shard`` and ``fingerprint``: fingerprints dealt out so that any two within ``radius`` bits share a shard.
+
+    A shard is a value of one of ``radius + 1`` blocks of the bits. One with more than ``most`` fingerprints is dealt out
+    again by as many blocks of the bits outside its own, of which two linked ones share one as well, and so on while
+    there are more bits than blocks. Shards go by a hash of their blocks and values; two of one hash become one, which
+    loses no pair. Sizes are counted in the cluster.
+    """
+    spark = prints.sparkSession
+    signed = lambda mask: mask - (1 << 64) if mask >> 63 else mask
+    left = prints.select(F.lit(0).cast("long").alias("free"), F.lit(0).cast("long").alias("shard"), "fingerprint")
+    frees = [(1 << 64) - 1]  # the bits that shards of this level have not used
+    left = left.withColumn("free", F.lit(signed(frees[0])))
+    done = None
+    while True:
+        masks = []
+        for free in frees:
+            bits = [bit for bit in range(64) if free >> bit & 1]
+            cuts = [len(bits) * i // (radius + 1) for i in range(radius + 2)]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                mask = sum(1 << bit for bit in bits[low:high])
+                masks.append((signed(free), signed(mask), signed(free & ~mask)))
+        table = spark.createDataFrame(masks, "free long, mask long, others long")
+        shard = F.xxhash64("shard", "mask", F.col("fingerprint").bitwiseAND(F.col("mask")))
+        dealt = left.join(F.broadcast(table), "free").select(F.col("others").alias("free"), shard.alias("shard"), "fingerprint")
+        # Shards that may be dealt out again: too large, and with more free bits than blocks.
+        large = dealt.groupBy("free", "shard").agg(F.count("*").alias("n")).where((F.col("n") > most) & (F.bit_count("free") > radius + 1))
+        large = shared_checkpoint(large.select("free", "shard"))
+        frees = [row["free"] % (1 << 64) for row in large.select("free").distinct().collect()]  # a few choices of blocks
+        if not frees:
+            rest = dealt.select("shard", "fingerprint")
+            return rest if done is None else done.unionByName(rest)
+        small = dealt.join(large, ["free", "shard"], "left_anti").select("shard", "fingerprint")
+        done = small if done is None else done.unionByName(small)
+        left = shared_checkpoint(dealt.join(large, ["free", "shard"], "left_semi"))
+
+
+def link_prints(prints: DataFrame, radius: int, most: int = SHARD_PRINTS) -> DataFrame:
     """Links ``a``, ``b`` that connect what fingerprints at most ``radius`` bits apart connect.
 
-    ``prints`` has distinct ``fingerprint`` values. Each task gives a spanning forest of the links it found, so the
-    number of rows is at most ``radius + 1`` times that of fingerprints.
+    ``prints`` has distinct ``fingerprint`` values. Each task gives a spanning forest of the links it found, so there are no
+    more rows than there are fingerprints in all shards.
     """
     let_workers_import(prints.sparkSession)
-    bounds = [64 * i // (radius + 1) for i in range(radius + 2)]
-    blocks = [
-        F.lit(i).cast("long") * F.lit(1 << 56 if radius else 0)
-        + F.shiftrightunsigned(F.shiftleft("fingerprint", 64 - high), 64 - high + low)
-        for i, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))
-    ]
-    dealt = prints.select(F.explode(F.array(*blocks)).alias("shard"), "fingerprint")
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "fingerprint")
+    dealt = deal_shards(prints.select("fingerprint"), radius, most)
+    dealt = dealt.repartition("shard").distinct().sortWithinPartitions("shard", "fingerprint")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -173,11 +207,13 @@ def near_duplicates(
     """
     carry = list(dict.fromkeys([doc_id, *(carry or [])]))
     marked = shared_checkpoint(add_fingerprints(df, text, [c for c in carry if c.lower() != "component_id"]))
-    prints = shared_checkpoint(marked.groupBy("fingerprint").agg(F.min(doc_id).alias("least")))
+    prints = shared_checkpoint(marked.groupBy("fingerprint").agg(F.min(doc_id).alias("least"), F.count("*").alias("copies")))
     groups = connected_components(link_prints(prints.select("fingerprint"), radius))
     groups = prints.join(groups.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
-    groups = groups.select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("component"))
-    least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = groups.join(least, "component").select("fingerprint", "component_id")
+    groups = shared_checkpoint(groups.select("fingerprint", "least", "copies", F.coalesce("component", "fingerprint").alias("component")))
+    least = groups.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    total = groups.agg(F.count("*").alias("n"), F.sum("copies").alias("rows")).first()
+    named = join_counted(groups, least, "component", "n", total["n"]).select("fingerprint", "component_id", "copies")
     hexed = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
-    return marked.join(named, "fingerprint").withColumn("fingerprint", hexed)
+    joined = join_counted(marked, named, "fingerprint", "copies", total["rows"] or 0)
+    return joined.select(*[c for c in marked.columns if c != "fingerprint"], hexed.alias("fingerprint"), "component_id")

@@ -8,8 +8,8 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
-from panelforge.llm import lm, mixing, simhash, topk, vectors
-from panelforge.llm.components import Forest, connected_components, spanning_links
+from panelforge.llm import common, lm, mixing, simhash, topk, vectors
+from panelforge.llm.components import Forest, connected_components
 from panelforge.llm.queries import ORACLES
 from pyspark.sql import functions as F
 
@@ -28,14 +28,15 @@ def groups_of(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(1))
 def test_components_match_union_find(spark, seed):
     rng = random.Random(seed)
     links = [tuple(rng.sample(range(80), 2)) for _ in range(55)] + [(100, i) for i in range(101, 140)] + [(i, i + 1) for i in range(200, 240)]
     expected = groups_of({n for pair in links for n in pair}, links)
     df = spark.createDataFrame([*links, *links[:5], (7, 7), (None, 1)], "a long, b long")
     assert {r["node"]: r["component"] for r in connected_components(df).collect()} == expected
-    assert {r["node"]: r["component"] for r in connected_components(spanning_links(df, at_once=20)).collect()} == expected
+    named = df.selectExpr("concat('n', lpad(a, 4, '0')) AS a", "concat('n', lpad(b, 4, '0')) AS b")
+    assert {r["node"]: r["component"] for r in connected_components(named).collect()} == {f"n{k:04}": f"n{v:04}" for k, v in expected.items()}
     assert connected_components(df.limit(0)).count() == 0
     forest = Forest(300)
     forest.link(np.array([a for a, _ in links[:60]]), np.array([b for _, b in links[:60]]))
@@ -138,8 +139,70 @@ def test_vector_links_match_brute_force(spark):
 def test_a_run_longer_than_the_window_is_compared_whole():
     rng = np.random.default_rng(2)
     near = rng.standard_normal(8) + rng.standard_normal((700, 8)) * 0.01
-    found = sum(len(a) for a, _ in vectors.window_links(vectors.unit_rows(near), near, 16, 0.9))
-    assert found == 700 * 699 // 2
+    earlier = np.zeros((700, 0), np.uint16)
+    assert sum(len(a) for a, _ in vectors.run_links(vectors.unit_rows(near), near, earlier, 0.9)) == 700 * 699 // 2
+    earlier = np.stack((np.arange(700) // 350, np.arange(700) % 2), axis=1).astype(np.uint16)  # what two earlier passes had together
+    found = {(a, b) for x, y in vectors.run_links(vectors.unit_rows(near), near, earlier, 0.9) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+    assert found == {(a, b) for a in range(350) for b in range(350, 700) if a % 2 != b % 2}
+
+
+def exact_groups(matrix, ids, threshold):
+    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    near = unit @ unit.T >= threshold
+    np.fill_diagonal(near, False)
+    return near.sum(axis=1), groups_of(ids, [(ids[i], ids[j]) for i, j in zip(*np.nonzero(np.triu(near)), strict=True)])
+
+
+def test_a_group_larger_than_a_task_loses_no_link(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 50)  # joins of hot keys, too
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(16)
+    matrix = np.concatenate([centre + 0.25 * rng.standard_normal((1500, 16)), rng.standard_normal((400, 16)), np.repeat([centre * 2], 400, axis=0)])
+    ids = [f"v{i:05}" for i in range(len(matrix))]
+    df = spark.createDataFrame(list(zip(ids, matrix.tolist(), strict=True)), "vec_id string, embedding array<double>")
+    n_links, groups = exact_groups(matrix, ids, 0.9)
+    out = {r["vec_id"]: r for r in vectors.near_duplicate_vectors(df, task_rows=500).collect()}
+    found = np.array([out[i]["n_links"] for i in ids])
+    assert (found <= n_links).all() and found.sum() >= 0.999 * n_links.sum()
+    assert sum(out[i]["component_id"] == groups[i] for i in ids) >= 0.999 * len(ids)
+    assert all(out[i]["kept"] == (out[i]["component_id"] == i) for i in ids)
+
+
+def test_repeated_ids_stand_for_their_rows(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.01])]
+    out = vectors.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out) == [(1, 1, 1), (1, 2, 1), (2, 2, 1), (2, 2, 1), (3, 1, 1)]
+
+
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", 10)
+    left = spark.createDataFrame([(k % 7 if k % 2 else 0, k) for k in range(200)] + [(None, 1)], "k long, v long")
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(6)], "k long, w string").join(left.groupBy("k").count(), "k")
+    own = common.join_counted(left, right, "k", "count", 200)
+    assert own.columns == ["k", "v", "w"]
+    assert Counter(map(tuple, own.collect())) == Counter(map(tuple, left.join(right.drop("count"), "k").collect()))
+
+
+@pytest.mark.parametrize("radius", [1, 3])
+def test_shards_dealt_out_again_lose_no_pair(spark, radius):
+    rng = np.random.default_rng(radius)
+    base = int(rng.integers(0, 2**62))
+    prints = {base ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for _ in range(200)}
+    prints |= {int(x) for x in rng.integers(0, 2**63, 50)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(x),) for x in prints], "fingerprint long")
+    dealt = simhash.deal_shards(df, radius, most=30)
+    shards = {}
+    for r in dealt.collect():
+        shards.setdefault(r["shard"], set()).add(r["fingerprint"] % 2**64)
+    near = {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= radius}
+    together = {(a, b) for members in shards.values() for a in members for b in members if a < b}
+    assert near <= together
+    if radius == 3:
+        assert max(map(len, shards.values())) < 120
+    links = [(r["a"] % 2**64, r["b"] % 2**64) for r in simhash.link_prints(df, radius, most=30).collect()]
+    assert groups_of(prints, links) == groups_of(prints, near)
 
 
 def test_a_crowd_below_the_threshold_hides_no_pair(spark):
