@@ -44,6 +44,14 @@ def day(text: Column) -> Column:
     return F.to_date(F.coalesce(iso, *shaped))
 
 
+def utc_naive(text: Column) -> Column:
+    """A time without zone: one with an offset is moved to UTC, one without is taken as it stands; NULL for other text."""
+    stripped = strip(text)
+    offset = stripped.rlike(r"(Z|[+-]\d{2}(:?\d{2})?)$") & stripped.contains(":")
+    moment = F.convert_timezone(F.current_timezone(), F.lit("UTC"), stripped.try_cast("timestamp").cast("timestamp_ntz"))
+    return F.when(offset, moment).otherwise(stripped.try_cast("timestamp_ntz"))
+
+
 def is_number(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value)
 

@@ -76,16 +76,19 @@ def hit_rates(records: DataFrame) -> DataFrame:
 
 
 def calendar_event_study(signals: DataFrame, market: prices.Market, horizons: tuple[int, ...] = (1, 3)) -> DataFrame:
-    """Returns to the end of so many calendar days."""
-    keys = signals.select("ticker", F.to_date("created_at").alias("created_day")).distinct()
+    """Returns and abnormal returns to the end of so many calendar days; betas have no look-ahead here either."""
+    keys = signals.select("ticker", "sector_proxy", F.to_date("created_at").alias("created_day")).distinct()
     keys = keys.withColumn("horizon_days", F.explode(F.array(*map(F.lit, horizons)))).withColumn("end_day", F.date_add("created_day", F.col("horizon_days")))
-    return returns.raw_returns(keys, market, "ticker", "created_day", "end_day", "raw_return").drop("end_day")
+    found = returns.abnormal_returns(keys, market, start="created_day").drop("end_day")
+    method = returns.calculation_method(F.col("raw_return"), F.col("market_return"), F.col("sector_return"))
+    return found.withColumn("market_adjusted_return", F.col("raw_return") - F.col("market_return")).withColumn("calculation_method", method)
 
 
 def wide_forward_returns(signals: DataFrame, market: prices.Market, horizons: tuple[int, ...] = (1, 3, 5, 20)) -> DataFrame:
     """One column for each horizon."""
     long = calendar_event_study(signals, market, horizons)
-    packed = [F.max(F.when(F.col("horizon_days") == h, F.col("raw_return"))).alias(f"forward_{h}d_return") for h in horizons]
+    at = lambda h, value: F.max(F.when(F.col("horizon_days") == h, F.col(value)))
+    packed = [at(h, "raw_return").alias(f"forward_{h}d_return") for h in horizons] + [at(h, "combined_abnormal_return").alias(f"forward_{h}d_abnormal_return") for h in horizons]
     return long.groupBy("ticker", "created_day").agg(*packed)
 
 

@@ -48,6 +48,10 @@ def group_metrics(records: DataFrame, cohort: DataFrame) -> DataFrame:
     )
 
 
+def in_order(groups: DataFrame) -> DataFrame:
+    return groups.orderBy("horizon_days", "classification")
+
+
 def summary_metrics(records: DataFrame) -> DataFrame:
     """One row over all matured records."""
     ar = F.col("forward_abnormal_return")

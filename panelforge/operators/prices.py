@@ -29,6 +29,33 @@ def normalise(raw: DataFrame) -> DataFrame:
     return parsed.groupBy("symbol", "session_date").agg(F.max_by("adjusted_close", "ordinal").alias("adjusted_close"))
 
 
+def clean_prices(raw: DataFrame, symbol: str = "symbol", time: str = "time", price: str = "price") -> DataFrame:
+    """Text times as times without zone, rows without time or price left out, in order. Repeated times stay."""
+    parsed = raw.withColumn(time, scalars.utc_naive(F.col(time).cast("string")))
+    return clean_series(parsed.where(F.col(time).isNotNull()), symbol, time, price)
+
+
+def clean_series(raw: DataFrame, symbol: str = "symbol", time: str = "time", price: str = "price") -> DataFrame:
+    """A fetched series as it is, without NULL and NaN prices and in order; times keep their type and may repeat."""
+    return raw.where(scalars.is_number(F.col(price))).orderBy(symbol, time)
+
+
+def available(series: DataFrame, wanted: DataFrame, symbol: str = "symbol") -> DataFrame:
+    """Whether each wanted symbol has any row."""
+    known = series.select(symbol).distinct().withColumn("available", F.lit(True))
+    return wanted.join(known, symbol, "left").withColumn("available", F.coalesce("available", F.lit(False)))
+
+
+def merge_universe(*panels: DataFrame) -> DataFrame:
+    """One panel of several: of a symbol that more than one has, the whole series of the last one counts."""
+    ranked = [p.select("symbol", "session_date", "adjusted_close", F.lit(i).alias("_rank")) for i, p in enumerate(panels)]
+    every = ranked[0]
+    for more in ranked[1:]:
+        every = every.unionByName(more)
+    last = every.groupBy("symbol").agg(F.max("_rank").alias("_rank"))
+    return every.join(last, ["symbol", "_rank"], "left_semi").drop("_rank")
+
+
 def window_slice(panel: DataFrame, start, end) -> DataFrame:
     """Sessions from ``start`` to ``end``, both included; times count as their day."""
     return panel.where(F.col("session_date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
@@ -121,6 +148,10 @@ class Market:
         start = self.calendar.sparkSession.createDataFrame([(self.low, 0)], "session_date date, ord int")
         self.sessions = spread(self.calendar.unionByName(start), [], self.high).select("day", F.col("ord").alias("n_le")).persist()
 
+    def release(self) -> None:
+        for kept in (self.panel, self.calendar, self.spine, self.sessions):
+            kept.unpersist()
+
     def look_up(self, probes: DataFrame, symbol: str, day: str, **columns: str) -> DataFrame:
         """Add columns of the spine at ``symbol`` and ``day``: ``name="p_after"``; NULL where there is none."""
         inside = F.when(F.col(day).isNotNull(), F.greatest(F.least(F.col(day), F.lit(self.high)), F.lit(self.low)))

@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 
 LOOKBACK = 120
 FEWEST = 30
+# Fixed values.
+METHODS = ("unavailable", "beta_and_sector_adjusted", "beta_adjusted_spy_only")
 
 
 def raw_returns(keys: DataFrame, market: prices.Market, symbol: str, start: str, end: str, out: str) -> DataFrame:
@@ -82,6 +84,11 @@ def abnormal_returns(keys: DataFrame, market: prices.Market, ticker: str = "tick
     ).drop("_sector", "beta_estimate")
 
 
+def calculation_method(raw: Column, market: Column, sector: Column) -> Column:
+    """How the combined abnormal return of a record came about."""
+    return F.when(raw.isNull() | market.isNull(), METHODS[0]).when(sector.isNotNull(), METHODS[1]).otherwise(METHODS[2])
+
+
 def drawdown_runup(keys: DataFrame, market: prices.Market, symbol: str = "ticker", start: str = "start_day", end: str = "end_day") -> DataFrame:
     """Add ``max_drawdown`` and ``max_runup`` against the first price in the window; NULL without a session in it."""
     days = keys.select(symbol, start, end).distinct().where(f"`{start}` <= `{end}`")

@@ -44,9 +44,14 @@ def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals_of(spark, sf_dir, table(spark, sf_dir, "orders"))
+
+
+def signals_of(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
+    """The signals of orders, which may be a stream."""
     priority = {"1-URGENT": 1, "2-HIGH": 3, "3-MEDIUM": 5, "4-NOT SPECIFIED": 20, "5-LOW": 60}
     owner = table(spark, sf_dir, "customer").join(nations(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_mktsegment", "ticker", "sector_proxy")
-    orders = table(spark, sf_dir, "orders").join(owner, F.col("o_custkey") == F.col("c_custkey"))
+    orders = orders.join(owner, F.col("o_custkey") == F.col("c_custkey"))
     pick = lambda column, names: F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col(column)]
     first = F.substring("o_orderpriority", 1, 1).cast("int")
     horizon = F.element_at(F.array(*map(F.lit, priority.values())), first)
@@ -58,15 +63,25 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_MARKETS: dict[tuple[str, str], Market] = {}
+_MARKETS: dict[tuple[str, str], tuple[tuple, Market]] = {}
 
 
 def market(spark: SparkSession, sf_dir: str) -> Market:
-    """The market of a data directory, made once for each Spark application."""
+    """The market of a data directory, made once for each Spark application and again, with the old one released, when its files change."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _MARKETS:
-        _MARKETS[key] = Market(universe(spark, sf_dir), BENCHMARK)
-    return _MARKETS[key]
+    state = _state(spark, sf_dir)
+    if key not in _MARKETS or _MARKETS[key][0] != state:
+        if key in _MARKETS:
+            _MARKETS.pop(key)[1].release()
+        _MARKETS[key] = state, Market(universe(spark, sf_dir), BENCHMARK)
+    return _MARKETS[key][1]
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Size and time of the line items' file or folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/lineitem.parquet")
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    return status.getLen(), status.getModificationTime()
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from panelforge.functions import rules
 from panelforge.operators import metrics, prices, returns
 from panelforge.sources import store
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 from . import demo
 
+#: Tickers of a cohort that are broadcast.
+COHORT_TICKERS = 100_000
 RECORD = ["raw_return", "market_return", "beta", "beta_fallback_used", "beta_adjusted_abnormal_return", "sector_return", "sector_adjusted_abnormal_return", "combined_abnormal_return", "data_quality_flag"]
 
 
@@ -21,8 +25,11 @@ def generate_signals(signals: DataFrame, market: prices.Market) -> DataFrame:
     keys = market.horizon_end(keys).withColumnRenamed("horizon_end", "end_day").drop("horizon_days")
     studied = returns.abnormal_returns(keys, market).select("ticker", "sector_proxy", "start_day", "created_day", F.col("combined_abnormal_return").alias("event_abnormal_return"))
     held = market.panel.select(F.col("symbol").alias("ticker"), F.col("session_date").alias("created_day"), F.col("adjusted_close").alias("price_at_creation"))
-    studied = studied.join(held, ["ticker", "created_day"], "left").withColumnRenamed("sector_proxy", "_proxy")
-    joined = created.join(studied, ["ticker", "start_day", "created_day"], "left").where(F.col("sector_proxy").eqNullSafe(F.col("_proxy"))).drop("_proxy")
+    studied = studied.join(held, ["ticker", "created_day"], "left")
+    # Null-safe on all keys: a signal without a ticker, a proxy or a time has a key like any other and stays.
+    matched = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("ticker", "sector_proxy", "start_day", "created_day")]
+    studied = studied.select(*[F.col(c).alias(f"_{c}") for c in ("ticker", "sector_proxy", "start_day", "created_day")], "event_abnormal_return", "price_at_creation")
+    joined = created.join(studied, matched[0] & matched[1] & matched[2] & matched[3], "left")
     # The label and the two sentiments are columns of their own, so that the optimizer doesn't repeat their expressions in every rule.
     kinds = joined.withColumn("event_kind", rules.event_sentiment(F.col("sentiment"))).withColumn("signal_kind", rules.signal_sentiment(F.col("sentiment")))
     reaction = rules.event_reaction(F.col("sentiment"), F.col("event_abnormal_return"), kind=F.col("event_kind"))
@@ -60,7 +67,8 @@ def evaluate_forward(snapshots: DataFrame, market: prices.Market, as_of: Column
         F.col("ticker").alias("_t"), F.col("sector_proxy").alias("_p"), F.col("start_day").alias("_s"), F.col("created_day").alias("_c"), F.col("horizon_days").alias("_h"), "end_day", "status",
         *[F.when(mature, F.col(c)).alias(c) for c in [*RECORD, "max_drawdown", "max_runup"]],
     )
-    same = (F.col("ticker") == F.col("_t")) & F.col("_proxy").eqNullSafe(F.col("_p")) & (F.col("start_day") == F.col("_s")) & (F.col("created_day") == F.col("_c")) & (F.col("horizon_days") == F.col("_h"))
+    pairs = [("ticker", "_t"), ("_proxy", "_p"), ("start_day", "_s"), ("created_day", "_c"), ("horizon_days", "_h")]
+    same = reduce(lambda a, b: a & b, [F.col(own).eqNullSafe(F.col(other)) for own, other in pairs])
     joined = dated.join(results, same, "left").withColumn("outcome", rules.outcome(F.col("classification"), F.col("combined_abnormal_return")))
     return joined.select(
         *snapshots.columns, F.col("end_day").alias("horizon_end"), "status", (F.col("status") == "matured").alias("is_matured"), *RECORD, "max_drawdown", "max_runup",
@@ -79,8 +87,10 @@ def universe_cohort(tickers: DataFrame, dates: DataFrame, market: prices.Market)
     proxied = proxied.select("ticker", F.when(F.col("_known"), F.col("sector_proxy")).alias("sector_proxy"))
     ends = dates.select("created_at", "horizon_days").distinct().withColumn("created_day", F.to_date("created_at")).withColumn("start_day", prices.after_day(F.col("created_at")))
     ends = market.horizon_end(ends).withColumnRenamed("horizon_end", "end_day").where("end_day is not null")
-    # The cohort is every ticker on every date: the pairs are the result.
-    pairs = ends.withColumn("_one", F.lit(1)).join(proxied.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    # The cohort is every ticker on every date: the pairs are the result. Tickers go to the dates if their number is checked
+    # to be small; else both sides stay in blocks that meet pairwise.
+    many = proxied.count() > COHORT_TICKERS
+    pairs = ends.crossJoin(proxied if many else F.broadcast(proxied))
     found = returns.abnormal_returns(pairs, market)
     return found.select("ticker", "created_at", "horizon_days", F.col("combined_abnormal_return").alias("forward_abnormal_return"))
 

@@ -161,7 +161,7 @@ def a4_drawdown_runup(spark, sf_dir):
     return rounded(found.select("ticker", "created_day", "horizon_days", "max_drawdown", "max_runup"))
 
 
-@query(Q.WITH_RECORDS + "SELECT ticker, created_day, horizon_days, round(raw_return - market_return, 6) AS market_adjusted_return FROM records WHERE (ticker, created_day, horizon_days) IN (SELECT ticker, created_day, horizon_days FROM signals)")
+@query(Q.WITH_RECORDS + "SELECT ticker, created_day, horizon_days, round(raw_return - market_return, 6) AS market_adjusted_return FROM records SEMI JOIN wanted USING (ticker, created_day, horizon_days)")
 def v2_market_adjusted(spark, sf_dir):
     found = returns.abnormal_returns(keys(spark, sf_dir), adapter.market(spark, sf_dir))
     return rounded(found.select("ticker", "created_day", "horizon_days", (F.col("raw_return") - F.col("market_return")).alias("market_adjusted_return")))
@@ -254,20 +254,21 @@ def q3_record_signals(spark, sf_dir):
     return rounded(stored.select("id", "ticker", "created_at", "horizon_days", "classification", "score", "theme", "benchmark", "sector_proxy", "price_at_creation", "rule_version"))
 
 
-def _halves(spark, sf_dir):
+def _stored(spark, sf_dir):
+    """Snapshots, and the outcomes of those whose class asks for one, so that the others have none."""
     own = evaluated(spark, sf_dir)
-    outcomes = own.where("id % 2 = 0").select(F.col("id").alias("signal_id"), "is_matured", "forward_return", "forward_abnormal_return", "trade_hit")
+    outcomes = own.where("classification <> 'Avoid'").select(F.col("id").alias("signal_id"), "is_matured", "forward_return", "forward_abnormal_return", "trade_hit")
     return own.select("id", "ticker", "created_at", "horizon_days", "classification"), outcomes
 
 
-@query(Q.WITH_OUTCOMES + "SELECT o.id, ticker, created_at, horizon_days, classification, e.is_matured, round(e.forward_return, 6) AS forward_return, round(e.far, 6) AS forward_abnormal_return, e.trade_hit FROM outcomes o LEFT JOIN (SELECT * FROM (SELECT id, is_matured, forward_return, far, trade_hit FROM outcomes) WHERE id % 2 = 0) e ON o.id = e.id")
+@query(Q.WITH_OUTCOMES + "SELECT o.id, ticker, created_at, horizon_days, o.classification, e.is_matured, round(e.forward_return, 6) AS forward_return, round(e.far, 6) AS forward_abnormal_return, e.trade_hit FROM outcomes o LEFT JOIN (SELECT * FROM (SELECT id, is_matured, forward_return, far, trade_hit, classification FROM outcomes) WHERE classification <> 'Avoid') e ON o.id = e.id")
 def j1_snapshot_left_outcome(spark, sf_dir):
-    return rounded(store.snapshots_with_outcomes(*_halves(spark, sf_dir)))
+    return rounded(store.snapshots_with_outcomes(*_stored(spark, sf_dir)))
 
 
-@query(Q.WITH_OUTCOMES + "SELECT id, ticker, created_at, horizon_days, classification, is_matured, round(forward_return, 6) AS forward_return, round(far, 6) AS forward_abnormal_return, trade_hit FROM outcomes WHERE id % 2 = 0 AND is_matured")
+@query(Q.WITH_OUTCOMES + "SELECT id, ticker, created_at, horizon_days, classification, is_matured, round(forward_return, 6) AS forward_return, round(far, 6) AS forward_abnormal_return, trade_hit FROM outcomes WHERE classification <> 'Avoid' AND is_matured")
 def j2_matured_records(spark, sf_dir):
-    return rounded(store.matured_records(*_halves(spark, sf_dir)))
+    return rounded(store.matured_records(*_stored(spark, sf_dir)))
 
 
 @query(Q.UPSERT)
@@ -338,12 +339,21 @@ def p15_first_group(spark, sf_dir):
 # Extras of the extended rule set
 
 
-@query(Q.CALENDAR_HORIZONS)
+@query(Q.WITH_CALENDAR + Q.CALENDAR_HORIZONS)
 def v4_calendar_event_study(spark, sf_dir):
-    return rounded(extras.calendar_event_study(adapter.signals(spark, sf_dir), adapter.market(spark, sf_dir)))
+    found = extras.calendar_event_study(adapter.signals(spark, sf_dir), adapter.market(spark, sf_dir))
+    columns = ["ticker", "created_day", "horizon_days", "raw_return", "market_adjusted_return", "beta_adjusted_abnormal_return", "sector_adjusted_abnormal_return", "combined_abnormal_return", "calculation_method"]
+    return rounded(found.select(columns))
 
 
-@query(Q.WIDE_FORWARD)
+@query(Q.WITH_RECORDS + Q.METHOD)
+def v3_calculation_method(spark, sf_dir):
+    found = returns.abnormal_returns(keys(spark, sf_dir), adapter.market(spark, sf_dir))
+    method = returns.calculation_method(F.col("raw_return"), F.col("market_return"), F.col("sector_return"))
+    return found.select("ticker", "created_day", "horizon_days", method.alias("calculation_method"))
+
+
+@query(Q.WITH_CALENDAR + Q.WIDE_FORWARD)
 def v9_wide_forward_returns(spark, sf_dir):
     return rounded(extras.wide_forward_returns(adapter.signals(spark, sf_dir), adapter.market(spark, sf_dir)))
 
@@ -430,7 +440,7 @@ def r1_decision_validation(spark, sf_dir):
     return valid.select("decision_id", "ticker", "status", F.array_join("violations", "|").alias("violations"))
 
 
-@query(Q.WITH_FLAGS + "SELECT decision_id, " + ", ".join(pretrade.FLAGS) + " FROM flags")
+@query(Q.WITH_FLAGS + "SELECT decision_id, " + ", ".join(Q.FLAGS) + " FROM flags")
 def r3_risk_flags(spark, sf_dir):
     found = adapter.decisions(spark, sf_dir).select("decision_id", pretrade.risk_flags(F.col("decision_id") % 6 == 0).alias("f"))
     return found.select("decision_id", "f.*")
@@ -491,11 +501,104 @@ def u1_u2_u3_symbol_sets(spark, sf_dir):
     return tag(a.union(b).distinct(), "union").union(tag(a.subtract(b), "difference")).union(tag(a.intersect(b), "intersection"))
 
 
-@query()
-def q5_validation_lab(spark, sf_dir):
+def lab(spark):
     from panelforge.sources.providers import get_price_provider
 
-    return pipeline.validation_lab(get_price_provider(spark), spark)["groups"]
+    return pipeline.validation_lab(get_price_provider(spark), spark)
+
+
+@query(Q.WITH_LAB + Q.LAB_GROUPS)
+def q5_validation_lab(spark, sf_dir):
+    return rounded(metrics.in_order(lab(spark)["groups"]))
+
+
+@query(Q.WITH_LAB + Q.LAB_SUMMARY)
+def q8_lab_summary(spark, sf_dir):
+    return rounded(lab(spark)["summary"])
+
+
+@query(Q.WITH_LAB + Q.LAB_OUTCOMES)
+def q7_lab_outcomes(spark, sf_dir):
+    columns = ["ticker", "classification", "horizon_end", "status", "raw_return", "forward_abnormal_return", "max_drawdown", "max_runup", "beta_fallback_used", "price_source", "price_adjustment"]
+    return rounded(lab(spark)["outcomes"].select(columns))
+
+
+# Clean series, ordered readers, displays and typed journals
+
+
+def raw_series(spark, sf_dir):
+    """Times of both kinds, with gaps, NaN and repeated rows."""
+    events = adapter.table(spark, sf_dir, "events")
+    key, moment = F.col("event_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    time = F.when(key % 4 == 0, F.concat(moment, F.lit("-05:00"))).when(key % 4 == 1, F.concat(moment, F.lit("Z"))).when(key % 4 == 2, moment).otherwise("no time")
+    price = F.when(key % 7 == 0, F.lit(None)).when(key % 11 == 0, F.lit(float("nan"))).otherwise(F.col("value").cast("double"))
+    rows = events.select(F.col("event_type").alias("symbol"), time.alias("time"), price.alias("price"), key.alias("event_id"))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(key % 10 == 0, 1).otherwise(0))))
+
+
+@query(Q.WITH_SERIES + "SELECT symbol, t AS time, round(price, 6) AS price, event_id FROM series WHERE t IS NOT NULL AND price IS NOT NULL AND NOT isnan(price)")
+def p6_clean_prices(spark, sf_dir):
+    return rounded(prices.clean_prices(raw_series(spark, sf_dir)).drop("copy"))
+
+
+@query(Q.WITH_SERIES + "SELECT symbol, time, round(price, 6) AS price, event_id FROM series WHERE price IS NOT NULL AND NOT isnan(price)")
+def p21_fetched_series(spark, sf_dir):
+    return rounded(prices.clean_series(raw_series(spark, sf_dir)).drop("copy"))
+
+
+@query(Q.WITH_SERIES + "SELECT event_id, t AS utc FROM series")
+def x6_utc_naive(spark, sf_dir):
+    return raw_series(spark, sf_dir).select("event_id", scalars.utc_naive(F.col("time")).alias("utc"))
+
+
+@query(Q.WITH_SERIES + Q.AVAILABLE)
+def p21_available(spark, sf_dir):
+    wanted = spark.createDataFrame([("click",), ("view",), ("purchase",), ("nowhere",)], "symbol string")
+    return prices.available(prices.clean_series(raw_series(spark, sf_dir)), wanted)
+
+
+@query(Q.MERGED)
+def u5_universe_merge(spark, sf_dir):
+    nation = adapter.table(spark, sf_dir, "nation")
+    key, day = F.col("n_nationkey"), F.explode(F.sequence(F.lit(1), F.lit(3)))
+    panel = lambda where, factor: nation.where(where).select(F.col("n_name").alias("symbol"), day.alias("d"), key).select("symbol", F.date_add(F.lit("2026-01-01").cast("date"), F.col("d")).alias("session_date"), (key * factor + F.col("d")).cast("double").alias("adjusted_close"))
+    return prices.merge_universe(panel("n_nationkey < 15", 1), panel("n_nationkey % 2 = 0", 10), panel("n_nationkey % 6 = 0", 100))
+
+
+@query(Q.WITH_SIGNALS + "SELECT id, ticker, created_at, horizon_days FROM signals ORDER BY created_at, id")
+def o1_ordered_records(spark, sf_dir):
+    return store.in_order(adapter.signals(spark, sf_dir)).select("id", "ticker", "created_at", "horizon_days")
+
+
+@query(Q.WITH_SIGNALS + "SELECT ticker, theme, horizon_days, coalesce(sector_proxy, '') AS sector_proxy, created_at FROM signals")
+def p12_display(spark, sf_dir):
+    return store.display(store.canonical_snapshots(adapter.signals(spark, sf_dir)), store.SNAPSHOT_COLUMNS)
+
+
+@query(Q.WITH_FLAGS + Q.TYPED)
+def p14_typed_records(spark, sf_dir):
+    made = pretrade.evaluate(adapter.decisions(spark, sf_dir).withColumn("f", pretrade.risk_flags(F.col("decision_id") % 6 == 0)), F.col("decision_id") % 6 == 0)
+    decision = F.struct(*[F.col(c) for c in ("decision_id", "ticker", "event_type", "horizon_days", "max_loss", "status")], F.lit(1).alias("unknown_key"))
+    lines = journal.encode_records(made, decision, F.struct("verdict", F.col("f").alias("flags"), F.lit("x").alias("more")), F.lit("2026-01-02T00:00:00"))
+    typed = journal.typed_records(journal.parse_lines(lines))
+    known = [F.col(f"decision.{c}").alias(c) for c in ("ticker", "event_type", "horizon_days", "max_loss", "status", "notes")]
+    return typed.select("saved_at", F.col("decision.decision_id").cast("long").alias("decision_id"), *known, F.col("evaluation.verdict").alias("verdict"), "flags.high_runup", "flags.event_gamble", F.size("evaluation.reasons").alias("n_reasons"))
+
+
+@query(Q.WITH_KEYS + "SELECT s.id, k.end_day AS horizon_end, k.end_day IS NOT NULL AS is_matured FROM signals s LEFT JOIN keys k USING (ticker, created_day, horizon_days)")
+def stream_matured_signals(spark, sf_dir):
+    """Orders as a stream, each signal with its maturity, written by one run of the stream."""
+    import tempfile
+    import uuid
+
+    from panelforge.streaming.maturity import matured_stream, run_once
+
+    schema = adapter.table(spark, sf_dir, "orders").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    market = adapter.market(spark, sf_dir)
+    matured = matured_stream(adapter.signals_of(spark, sf_dir, stream).select("id", "created_at", "horizon_days"), market.calendar, market.sessions)
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    return run_once(matured.select("id", "horizon_end", "is_matured"), f"{folder}/stream-{uuid.uuid4().hex}")
 
 
 @query(Q.MATURITY_STREAM)

@@ -1,8 +1,11 @@
-"""DuckDB statements that say independently what the queries return. Each WITH_... begins a statement with the tables up to it."""
+"""DuckDB statements that say independently what the queries return.
+
+Each WITH_... begins a statement with the tables up to it, each of which is made once. The values of the rules stand here
+again, so that a wrong one in the engine shows.
+"""
 
 from __future__ import annotations
 
-from panelforge.functions import news, pretrade, rules
 from panelforge.operators import extras
 
 from .adapter import THEMES
@@ -31,7 +34,7 @@ WITH_PANEL = """WITH owners AS (
     SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 lines AS (
     SELECT n_name, r_name, CAST(l_shipdate AS DATE) AS session_date, l_extendedprice / l_quantity AS q FROM lineitem JOIN owners ON l_suppkey = s_suppkey),
-panel AS (
+panel AS MATERIALIZED (
     SELECT n_name AS symbol, session_date, avg(q) AS p FROM lines GROUP BY n_name, session_date
     UNION ALL SELECT r_name, session_date, avg(q) FROM lines WHERE r_name <> 'MIDDLE EAST' GROUP BY r_name, session_date
     UNION ALL SELECT 'MKT', session_date, avg(q) FROM lines GROUP BY session_date),
@@ -42,14 +45,14 @@ WITH_RETURNS = WITH_PANEL + """, rets AS (SELECT *, p / nullif(lag(p) OVER (PART
 WITH_BETAS = WITH_RETURNS + """, joint AS (
     SELECT a.symbol, a.session_date, a.ret, m.ret AS mret FROM rets a JOIN rets m ON m.symbol = 'MKT' AND m.session_date = a.session_date
     WHERE a.symbol <> 'MKT' AND a.ret IS NOT NULL AND m.ret IS NOT NULL),
-betas AS (
+betas AS MATERIALIZED (
     SELECT symbol, session_date, count(*) OVER w AS n_joint,
         CASE WHEN count(*) OVER w >= 30 AND var_samp(mret) OVER w > 0 THEN covar_samp(ret, mret) OVER w / var_samp(mret) OVER w END AS beta
     FROM joint WINDOW w AS (PARTITION BY symbol ORDER BY session_date ROWS BETWEEN 119 PRECEDING AND CURRENT ROW))
 """
 WITH_SIGNALS = WITH_BETAS + f""", nations AS (
     SELECT n_nationkey, n_name AS ticker, CASE WHEN r_name <> 'MIDDLE EAST' THEN r_name END AS sector_proxy FROM nation JOIN region ON n_regionkey = r_regionkey),
-signals AS (
+signals AS MATERIALIZED (
     SELECT o_orderkey AS id, ticker, sector_proxy, o_orderdate AS created_at, CAST(o_orderdate AS DATE) AS created_day,
         CAST(CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 1 WHEN '2' THEN 3 WHEN '3' THEN 5 WHEN '4' THEN 20 ELSE 60 END AS INTEGER) AS horizon_days,
         CASE o_orderstatus WHEN 'P' THEN 'positive' WHEN 'F' THEN 'negative' ELSE 'neutral' END AS sentiment,
@@ -61,7 +64,8 @@ WITH_KEYS = WITH_SIGNALS + """, before AS (
 ends AS (
     SELECT created_day, horizon_days, session_date AS end_day FROM before CROSS JOIN (VALUES (1), (3), (5), (20), (60)) h(horizon_days) LEFT JOIN cal ON ord = n_le + horizon_days),
 allkeys AS (SELECT ticker, sector_proxy, created_day, horizon_days, end_day FROM nations CROSS JOIN ends),
-keys AS (SELECT * FROM allkeys WHERE (ticker, created_day, horizon_days) IN (SELECT ticker, created_day, horizon_days FROM signals))
+wanted AS (SELECT DISTINCT ticker, created_day, horizon_days FROM signals),
+keys AS (SELECT allkeys.* FROM allkeys SEMI JOIN wanted USING (ticker, created_day, horizon_days))
 """
 ASOF_AFTER = """SELECT DISTINCT k.ticker, k.created_day, round(p.p, 6) AS price FROM keys k ASOF LEFT JOIN panel p ON k.ticker = p.symbol AND k.created_day <= p.session_date"""
 ASOF_BEFORE = """SELECT DISTINCT k.ticker, k.end_day, round(p.p, 6) AS price FROM keys k ASOF LEFT JOIN panel p ON k.ticker = p.symbol AND k.end_day >= p.session_date"""
@@ -71,7 +75,7 @@ starts AS (
 finals AS (
     SELECT q.symbol, q.day, p.p FROM (SELECT symbol, day FROM who CROSS JOIN (SELECT DISTINCT end_day AS day FROM ends WHERE end_day IS NOT NULL)) q
     ASOF LEFT JOIN panel p ON q.symbol = p.symbol AND q.day >= p.session_date),
-moves AS (
+moves AS MATERIALIZED (
     SELECT w.symbol, e.created_day, e.horizon_days, f.p / nullif(s.p, 0) - 1 AS r
     FROM who w CROSS JOIN ends e LEFT JOIN starts s ON s.symbol = w.symbol AND s.day = e.created_day LEFT JOIN finals f ON f.symbol = w.symbol AND f.day = e.end_day)
 """
@@ -89,7 +93,7 @@ judged AS (
     SELECT *, raw_return IS NOT NULL AND market_return IS NOT NULL AS good FROM found),
 rec AS (
     SELECT *, CASE WHEN good THEN coalesce(estimate, 1.0) END AS beta, good AND estimate IS NULL AS beta_fallback_used, CASE WHEN good THEN sector END AS sector_return FROM judged),
-records AS (
+records AS MATERIALIZED (
     SELECT *, raw_return - beta * market_return AS beta_adjusted_abnormal_return, raw_return - sector_return AS sector_adjusted_abnormal_return,
         CASE WHEN sector_return IS NULL THEN raw_return - beta * market_return ELSE raw_return - 0.5 * beta * market_return - 0.5 * sector_return END AS combined_abnormal_return,
         CASE WHEN raw_return IS NULL THEN 'insufficient_price_history' WHEN market_return IS NULL THEN 'missing_benchmark_data'
@@ -100,7 +104,7 @@ records AS (
 RECORDS = """SELECT ticker, sector_proxy, created_day, horizon_days, round(raw_return, 6) AS raw_return, round(market_return, 6) AS market_return, round(beta, 6) AS beta, beta_fallback_used,
     round(beta_adjusted_abnormal_return, 6) AS beta_adjusted_abnormal_return, round(sector_return, 6) AS sector_return, round(sector_adjusted_abnormal_return, 6) AS sector_adjusted_abnormal_return,
     round(combined_abnormal_return, 6) AS combined_abnormal_return, data_quality_flag
-FROM records WHERE (ticker, created_day, horizon_days) IN (SELECT ticker, created_day, horizon_days FROM signals)"""
+FROM records SEMI JOIN wanted USING (ticker, created_day, horizon_days)"""
 RUNS = """, runs AS (
     SELECT k.ticker, k.created_day, k.horizon_days, min(p) / nullif(arg_min(p, session_date), 0) - 1 AS max_drawdown, max(p) / nullif(arg_min(p, session_date), 0) - 1 AS max_runup
     FROM keys k JOIN panel ON symbol = k.ticker AND session_date BETWEEN k.created_day AND k.end_day GROUP BY ALL)
@@ -148,7 +152,8 @@ PROVENANCE = """SELECT id, CASE WHEN s.symbol IS NULL THEN 'bundle' ELSE 'lines'
 FROM outcomes LEFT JOIN (SELECT symbol, min(session_date) AS a, max(session_date) AS b FROM panel WHERE symbol <> 'FRANCE' GROUP BY symbol) s ON s.symbol = ticker"""
 WITH_COHORT = WITH_OUTCOMES + """, cohort AS (
     SELECT r.ticker, CAST(r.created_day AS TIMESTAMP) AS created_at, r.created_day, r.horizon_days, r.combined_abnormal_return AS far
-    FROM records r WHERE r.end_day IS NOT NULL AND r.ticker IN (SELECT symbol FROM panel) AND (r.created_day, r.horizon_days) IN (SELECT created_day, horizon_days FROM signals))
+    FROM records r SEMI JOIN (SELECT DISTINCT created_day, horizon_days FROM signals) d ON d.created_day = r.created_day AND d.horizon_days = r.horizon_days
+    SEMI JOIN (SELECT DISTINCT symbol FROM panel) t ON t.symbol = r.ticker WHERE r.end_day IS NOT NULL)
 """
 WITH_GROUPS = WITH_COHORT + """, good AS (SELECT * FROM outcomes WHERE is_matured AND far IS NOT NULL),
 base AS (
@@ -181,7 +186,7 @@ SELECT o.horizon_days, o.theme, o.ticker, count(*) AS signal_count, count(*) FIL
 FROM own o LEFT JOIN bases b ON b.horizon_days = o.horizon_days AND b.theme = o.theme GROUP BY o.horizon_days, o.theme, o.ticker"""
 HIT_RATE = """SELECT coalesce(classification, 'all') AS classification, round(count(*) FILTER (WHERE trade_hit) / count(*), 6) AS hit_rate FROM outcomes WHERE is_matured GROUP BY ROLLUP (classification)"""
 FLAGGED = """SELECT coalesce(string_agg(DISTINCT ticker, ', ' ORDER BY ticker) FILTER (WHERE beta_fallback_used), '') AS flagged FROM outcomes"""
-PROXIES = "SELECT id, theme, CASE " + " ".join(f"WHEN contains(lower(theme), '{k.lower()}') THEN '{v}'" for k, v in rules.THEME_PROXIES.items()) + " END AS proxy FROM signals"
+PROXIES = "SELECT id, theme, CASE " + " ".join(f"WHEN contains(lower(theme), '{k}') THEN '{v}'" for k, v in {"ai infrastructure": "SMH", "semiconductor": "SMH", "airlines": "JETS", "travel rebound": "JETS", "energy": "XLE", "consumer cyclical": "XLY", "utilities": "XLU", "power": "XLU", "enterprise software": "IGV", "cybersecurity": "HACK"}.items()) + " END AS proxy FROM signals"
 
 COVERAGE = """SELECT w.position, w.symbol, min(session_date) AS actual_start, max(session_date) AS actual_end
 FROM (VALUES (0, 'FRANCE'), (1, 'GERMANY'), (2, 'MKT'), (3, 'NOWHERE')) w(position, symbol) LEFT JOIN panel p ON p.symbol = w.symbol GROUP BY ALL"""
@@ -195,14 +200,25 @@ TRAILING = """SELECT symbol, round(p0, 6) AS latest, round(p0 / nullif(p5, 0) -
 FROM (SELECT symbol, max(p) FILTER (WHERE n = 1) AS p0, max(p) FILTER (WHERE n = 6) AS p5, max(p) FILTER (WHERE n = 21) AS p20, max(p) FILTER (WHERE n = 61) AS p60, max(p) AS high
     FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY session_date DESC) AS n FROM panel) GROUP BY symbol)"""
 MARKET = "SELECT w.symbol, t.* EXCLUDE (symbol), t.symbol IS NOT NULL AS available FROM (VALUES ('MKT'), ('FRANCE'), ('NOWHERE')) w(symbol) LEFT JOIN (" + TRAILING + ") t ON t.symbol = w.symbol"
-CALENDAR_HORIZONS = WITH_SIGNALS + """, days AS (SELECT DISTINCT ticker, created_day, h AS horizon_days, created_day + CAST(h AS INTEGER) AS end_day FROM signals CROSS JOIN (VALUES (1), (3)) t(h))
-SELECT d.ticker, d.created_day, d.horizon_days, round(b.p / nullif(a.p, 0) - 1, 6) AS raw_return
-FROM days d ASOF LEFT JOIN panel a ON a.symbol = d.ticker AND d.created_day <= a.session_date ASOF LEFT JOIN panel b ON b.symbol = d.ticker AND d.end_day >= b.session_date"""
-WIDE_FORWARD = WITH_SIGNALS + """, days AS (SELECT DISTINCT ticker, created_day, h, created_day + CAST(h AS INTEGER) AS end_day FROM signals CROSS JOIN (VALUES (1), (3), (5), (20)) t(h)),
-moved AS (SELECT d.ticker, d.created_day, d.h, b.p / nullif(a.p, 0) - 1 AS r
-    FROM days d ASOF LEFT JOIN panel a ON a.symbol = d.ticker AND d.created_day <= a.session_date ASOF LEFT JOIN panel b ON b.symbol = d.ticker AND d.end_day >= b.session_date)
-SELECT ticker, created_day, round(max(r) FILTER (WHERE h = 1), 6) AS forward_1d_return, round(max(r) FILTER (WHERE h = 3), 6) AS forward_3d_return, round(max(r) FILTER (WHERE h = 5), 6) AS forward_5d_return, round(max(r) FILTER (WHERE h = 20), 6) AS forward_20d_return
-FROM moved GROUP BY ticker, created_day"""
+METHOD = """SELECT ticker, created_day, horizon_days, CASE WHEN raw_return IS NULL OR market_return IS NULL THEN 'unavailable' WHEN sector_return IS NOT NULL THEN 'beta_and_sector_adjusted' ELSE 'beta_adjusted_spy_only' END AS calculation_method
+FROM records SEMI JOIN wanted USING (ticker, created_day, horizon_days)"""
+WITH_CALENDAR = WITH_KEYS + LEGS + """, estimates AS (
+    SELECT q.symbol, q.created_day, b.beta FROM (SELECT symbol, created_day FROM who CROSS JOIN before) q ASOF LEFT JOIN betas b ON q.symbol = b.symbol AND q.created_day > b.session_date),
+cdays AS (SELECT created_day, h, created_day + CAST(h AS INTEGER) AS end_day FROM before CROSS JOIN (VALUES (1), (3), (5), (20)) t(h)),
+cends AS (SELECT q.symbol, q.end_day, p.p FROM (SELECT symbol, end_day FROM who CROSS JOIN (SELECT DISTINCT end_day FROM cdays)) q ASOF LEFT JOIN panel p ON q.symbol = p.symbol AND q.end_day >= p.session_date),
+cmoves AS MATERIALIZED (SELECT s.symbol, c.created_day, c.h, f.p / nullif(s.p, 0) - 1 AS r FROM starts s JOIN cdays c ON c.created_day = s.day JOIN cends f ON f.symbol = s.symbol AND f.end_day = c.end_day),
+calendar AS (
+    SELECT k.ticker, k.created_day, c.h, t.r AS raw, m.r AS market, CASE WHEN t.r IS NOT NULL AND m.r IS NOT NULL THEN s.r END AS sector, coalesce(b.beta, 1.0) AS beta
+    FROM (SELECT DISTINCT ticker, sector_proxy, created_day FROM signals) k JOIN cdays c ON c.created_day = k.created_day
+    LEFT JOIN cmoves t ON t.symbol = k.ticker AND t.created_day = k.created_day AND t.h = c.h LEFT JOIN cmoves m ON m.symbol = 'MKT' AND m.created_day = k.created_day AND m.h = c.h
+    LEFT JOIN cmoves s ON s.symbol = k.sector_proxy AND s.created_day = k.created_day AND s.h = c.h LEFT JOIN estimates b ON b.symbol = k.ticker AND b.created_day = k.created_day),
+studied AS (
+    SELECT *, CASE WHEN sector IS NULL THEN raw - beta * market ELSE raw - 0.5 * beta * market - 0.5 * sector END AS ar,
+        CASE WHEN raw IS NULL OR market IS NULL THEN 'unavailable' WHEN sector IS NOT NULL THEN 'beta_and_sector_adjusted' ELSE 'beta_adjusted_spy_only' END AS method FROM calendar)
+"""
+CALENDAR_HORIZONS = """SELECT ticker, created_day, h AS horizon_days, round(raw, 6) AS raw_return, round(raw - market, 6) AS market_adjusted_return, round(raw - beta * market, 6) AS beta_adjusted_abnormal_return,
+    round(raw - sector, 6) AS sector_adjusted_abnormal_return, round(ar, 6) AS combined_abnormal_return, method AS calculation_method FROM studied WHERE h IN (1, 3)"""
+WIDE_FORWARD = "SELECT ticker, created_day, " + ", ".join(f"round(max({c}) FILTER (WHERE h = {h}), 6) AS forward_{h}d_{name}" for name, c in (("return", "raw"), ("abnormal_return", "ar")) for h in (1, 3, 5, 20)) + " FROM studied GROUP BY ticker, created_day"
 VOLUME = """WITH daily AS (SELECT n_name AS symbol, CAST(l_shipdate AS DATE) AS session_date, sum(l_quantity) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL)
 SELECT symbol, session_date, round(avg(v) OVER (PARTITION BY symbol ORDER BY session_date ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) / nullif(avg(v) OVER (PARTITION BY symbol ORDER BY session_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 0), 6) AS volume_reaction FROM daily"""
 
@@ -235,8 +251,20 @@ SENTIMENTS = (
     "CASE WHEN w IN ('positive', 'bullish', 'good') THEN 'positive' WHEN w IN ('negative', 'bearish', 'bad') THEN 'negative' ELSE 'neutral' END AS signal_sentiment FROM (SELECT word, lower(trim(coalesce(word, ''))) AS w FROM "
     + values([(w,) for w in extras.SENTIMENT_WORDS], "word") + ")"
 )
-HORIZONS = "SELECT horizon, horizon IN (1, 3, 5, 20, 60) AS known, CASE horizon " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in rules.HORIZONS.items()) + " END AS label FROM (SELECT DISTINCT CAST(p_size AS INTEGER) AS horizon FROM part)"
+HORIZONS = "SELECT horizon, horizon IN (1, 3, 5, 20, 60) AS known, CASE horizon " + "WHEN 1 THEN '1D event reaction' WHEN 3 THEN '3D event digestion' WHEN 5 THEN '5D swing validation' WHEN 20 THEN '20D theme validation' WHEN 60 THEN '60D broader context'" + " END AS label FROM (SELECT DISTINCT CAST(p_size AS INTEGER) AS horizon FROM part)"
 DEFAULT_HORIZONS = "SELECT signal_type, CAST(horizon_days AS INTEGER) AS horizon_days FROM (VALUES ('event_reaction', 1), ('event_reaction', 3), ('trade_setup', 5), ('theme_thesis', 20), ('context', 60), ('technical_extension', 5), ('technical_extension', 20), ('basket_confirmation', 5), ('basket_confirmation', 20), ('other', NULL)) t(signal_type, horizon_days)"
+WITH_SERIES = """WITH series AS (
+    SELECT *, CASE event_id % 4 WHEN 0 THEN ts + INTERVAL 5 HOUR WHEN 1 THEN ts WHEN 2 THEN ts END AS t FROM (
+        SELECT event_type AS symbol, date_trunc('second', ts) AS ts, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE event_id % 4 WHEN 0 THEN '-05:00' WHEN 1 THEN 'Z' ELSE '' END AS stamp,
+            CASE WHEN event_id % 4 = 3 THEN 'no time' ELSE stamp END AS time, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN CAST('nan' AS DOUBLE) ELSE CAST(value AS DOUBLE) END AS price, event_id
+        FROM events, range(CASE WHEN event_id % 10 = 0 THEN 2 ELSE 1 END)))
+"""
+AVAILABLE = """SELECT w.symbol, w.symbol IN (SELECT symbol FROM series WHERE price IS NOT NULL AND NOT isnan(price)) AS available FROM (VALUES ('click'), ('view'), ('purchase'), ('nowhere')) w(symbol)"""
+MERGED = """SELECT n_name AS symbol, DATE '2026-01-01' + CAST(d AS INTEGER) AS session_date, CAST(n_nationkey * CASE WHEN n_nationkey % 6 = 0 THEN 100 WHEN n_nationkey % 2 = 0 THEN 10 ELSE 1 END + d AS DOUBLE) AS adjusted_close
+FROM nation, range(1, 4) t(d) WHERE n_nationkey < 15 OR n_nationkey % 2 = 0"""
+TYPED = """SELECT '2026-01-02T00:00:00' AS saved_at, decision_id, ticker, event_type, horizon_days, max_loss, status, CAST(NULL AS VARCHAR) AS notes,
+    CASE WHEN NOT entry THEN 'proceed' WHEN high_runup THEN 'avoid_chase' WHEN priced_for_perfection_candidate OR earnings_imminent OR no_invalidation_rule THEN 'wait'
+    WHEN event_gamble OR short_dated_option OR leveraged_product THEN 'use_spread_or_hedge' WHEN position_too_large THEN 'reduce_size' ELSE 'proceed' END AS verdict, high_runup, event_gamble, 0 AS n_reasons FROM flags"""
 UPSERT = """WITH b AS (SELECT l_orderkey AS signal_id, l_linenumber AS batch_seq, min(l_discount) AS forward_return, min(l_returnflag = 'R') AS hit FROM lineitem GROUP BY ALL)
 SELECT signal_id, forward_return, hit FROM b QUALIFY row_number() OVER (PARTITION BY signal_id ORDER BY batch_seq DESC) = 1"""
 V_LABELS = (
@@ -250,6 +278,18 @@ V_OUTCOMES = (
     "CASE WHEN ar IS NOT NULL AND classification IN ('Avoid', 'Avoid Chase') THEN ar >= 0.05 END AS false_negative FROM " + values(extras.DRAWDOWN_ROWS, "classification, ar, drawdown")
 )
 
+# Values of the pre-trade rules, as they must come out.
+FLAGS = ["earnings_imminent", "high_runup", "short_dated_option", "leveraged_product", "no_invalidation_rule", "position_too_large", "event_gamble", "priced_for_perfection_candidate"]
+PROMPTS = (
+    "No usable invalidation rule / stop basis was provided.|Reflection: what specific price, level, or event would prove this thesis wrong?|Reflection: define your exit basis before entry — where do you get out if it goes against you?"
+    "|These are reasoning prompts, not financial advice and not a recommended stop level."
+)
+REASON_OF = {
+    "high_runup": "Recent large run-up flagged; entering here risks chasing.", "event_gamble": "Binary event with a leveraged or naked short-dated instrument reads as an event gamble.",
+    "short_dated_option": "Naked short-dated option into a binary event; time-decay and gamma risk are high.", "leveraged_product": "Leveraged product carries path and decay risk.",
+    "position_too_large": "Position size exceeds the 10% soft limit.", "priced_for_perfection_candidate": "You rate market expectation as high; the setup may be priced for perfection.",
+    "earnings_imminent": "Earnings are imminent; the outcome is binary.",
+}
 WITH_DECISIONS = """WITH decisions AS (SELECT o_orderkey AS decision_id, CASE WHEN o_orderkey % 17 = 0 THEN '  ' ELSE ' t' || (o_orderkey % 50) END AS ticker, 'theme' AS theme, 'thesis' AS entry_thesis,
     ['earnings', 'guidance', 'analyst_day', 'product_launch', 'sympathy_move', 'pullback', 'breakout', 'macro_event', 'other', 'unknown'][CAST(o_orderkey % 10 + 1 AS INTEGER)] AS event_type,
     ['buy', 'add', 'hold', 'trim', 'avoid', 'watch'][CAST(o_orderkey // 3 % 6 + 1 AS INTEGER)] AS planned_action,
@@ -261,24 +301,24 @@ WITH_DECISIONS = """WITH decisions AS (SELECT o_orderkey AS decision_id, CASE WH
 """
 VIOLATIONS = (
     "SELECT decision_id, upper(trim(ticker)) AS ticker, coalesce(status, 'pending') AS status, concat_ws('|', CASE WHEN trim(ticker) = '' THEN 'ticker is required and cannot be empty' END, CASE WHEN event_type = 'unknown' THEN 'event_type must be one of: "
-    + ", ".join(pretrade.DOMAINS["event_type"])
-    + "' END, CASE WHEN horizon_days <= 0 THEN 'horizon_days must be a positive number of days' END, CASE WHEN position_size > 100 THEN 'position_size must be a percent of portfolio between 0 and 100' END, CASE WHEN max_loss < 0 THEN 'max_loss cannot be negative' END) AS violations FROM decisions"
+    "earnings, guidance, analyst_day, product_launch, sympathy_move, pullback, breakout, macro_event, other"
+    "' END, CASE WHEN horizon_days <= 0 THEN 'horizon_days must be a positive number of days' END, CASE WHEN position_size > 100 THEN 'position_size must be a percent of portfolio between 0 and 100' END, CASE WHEN max_loss < 0 THEN 'max_loss cannot be negative' END) AS violations FROM decisions"
 )
 WITH_FLAGS = WITH_DECISIONS + """, shorts AS (SELECT *, instrument_type IN ('call', 'put') AND horizon_days <= 5 AND event_type IN ('earnings', 'guidance') AS short_dated_option, instrument_type = 'leveraged_etf' AS leveraged_product,
     event_type IN ('earnings', 'guidance', 'analyst_day', 'product_launch', 'macro_event') AS binary_event, planned_action IN ('buy', 'add', 'hold') AS entry FROM decisions),
 flags AS (SELECT *, event_type = 'earnings' AS earnings_imminent, decision_id % 6 = 0 AS high_runup, lower(trim(invalidation_rule)) IN ('idk', '', 'tbd') AS no_invalidation_rule, position_size > 10 AS position_too_large,
     binary_event AND (short_dated_option OR leveraged_product) AS event_gamble, market_expectation = 'high' AS priced_for_perfection_candidate FROM shorts)
 """
-ACTIVE = "SELECT decision_id, concat_ws(',', " + ", ".join(f"CASE WHEN {f} THEN '{f}' END" for f in pretrade.FLAGS) + ") AS active, " + " OR ".join(pretrade.FLAGS) + " AS any_active FROM flags"
+ACTIVE = "SELECT decision_id, concat_ws(',', " + ", ".join(f"CASE WHEN {f} THEN '{f}' END" for f in FLAGS) + ") AS active, " + " OR ".join(FLAGS) + " AS any_active FROM flags"
 VERDICT = """SELECT decision_id, CASE WHEN NOT entry THEN 'proceed' WHEN high_runup THEN 'avoid_chase' WHEN priced_for_perfection_candidate OR earnings_imminent OR no_invalidation_rule THEN 'wait'
     WHEN event_gamble OR short_dated_option OR leveraged_product THEN 'use_spread_or_hedge' WHEN position_too_large THEN 'reduce_size' ELSE 'proceed' END AS verdict, true AS heuristic_only, true AS not_financial_advice FROM flags"""
 REASONS = (
-    "SELECT decision_id, CASE WHEN r = '' THEN " + quoted(pretrade.NO_FLAGS) + " ELSE r END AS reasons FROM (SELECT decision_id, concat_ws('|', CASE WHEN entry AND no_invalidation_rule THEN " + quoted("|".join(pretrade.PROMPTS)) + " END, "
-    + ", ".join(f"CASE WHEN {name} THEN {quoted(reason)} END" for name, _, reason in pretrade.FLOORS)
-    + ", CASE WHEN instrument_type IN ('call_spread', 'put_spread') AND binary_event AND market_expectation = 'high' THEN " + quoted(pretrade.SPREAD_NOTE)
+    "SELECT decision_id, CASE WHEN r = '' THEN " + quoted("No behavioral risk flags triggered by this heuristic check.") + " ELSE r END AS reasons FROM (SELECT decision_id, concat_ws('|', CASE WHEN entry AND no_invalidation_rule THEN " + quoted(PROMPTS) + " END, "
+    + ", ".join(f"CASE WHEN {name} THEN {quoted(reason)} END" for name, reason in REASON_OF.items())
+    + ", CASE WHEN instrument_type IN ('call_spread', 'put_spread') AND binary_event AND market_expectation = 'high' THEN " + quoted("Defined-risk spread into a binary event with high expectations; risk is capped but still event-dependent.")
     + " END, CASE WHEN max_loss > 0 THEN CASE WHEN decision_id % 2 = 0 AND position_size > 0 THEN 'Your inputs imply roughly a ' || CAST(CAST(round_even(max_loss / position_size * 100, 0) AS BIGINT) AS VARCHAR) || '% adverse move on this position (max loss ' || "
     "CASE WHEN max_loss = floor(max_loss) THEN CAST(CAST(max_loss AS BIGINT) AS VARCHAR) ELSE CAST(CAST(max_loss AS DECIMAL(10, 1)) AS VARCHAR) END || '% of portfolio / position ' || CAST(CAST(position_size AS BIGINT) AS VARCHAR) || '% of portfolio). This is pure arithmetic from your own numbers, not a recommended stop.' ELSE "
-    + quoted(pretrade.LOSS_NOTE) + " END END, CASE WHEN NOT entry AND (" + " OR ".join(pretrade.FLAGS) + ") THEN 'Planned action is ''' || planned_action || ''' (not an entry); risk escalation suppressed.' END) AS r FROM flags)"
+    + quoted("Max loss recorded; define the exit basis. The unit is not specified as % of portfolio, so no implied price move is computed.") + " END END, CASE WHEN NOT entry AND (" + " OR ".join(FLAGS) + ") THEN 'Planned action is ''' || planned_action || ''' (not an entry); risk escalation suppressed.' END) AS r FROM flags)"
 )
 DECISION_ROWS = "".join(
     f"{'' if i == 0 else ' UNION ALL '}SELECT decision_id, '{label}' AS \"Field\", {expr} AS \"Value\" FROM decisions"
@@ -300,6 +340,36 @@ HEADLINES = "WITH titles AS (SELECT o_orderkey AS feed, 'Flat ' || o_orderkey AS
 FORMATS = "SELECT n, whole, short, pct FROM " + values([(i, f"{v:.0f}", f"{v:g}", f"{v / 100 * 100:.1f}%") for i, v in enumerate(extras.FORMAT_NUMBERS)], "n, whole, short, pct")
 TEXTS = """SELECT o_orderkey AS id, o_orderstatus AS symbol, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso, substr(CAST(o_orderdate AS VARCHAR), 1, 10) AS key, replace(o_orderpriority, ' ', '_') || '_é_' AS part FROM orders"""
 SETS = """WITH n AS (SELECT n_name AS symbol, n_nationkey AS k FROM nation) SELECT symbol, 'union' AS kind FROM n WHERE k < 15 OR k % 2 = 0 UNION ALL SELECT symbol, 'difference' FROM n WHERE k < 15 AND k % 2 <> 0 UNION ALL SELECT symbol, 'intersection' FROM n WHERE k < 15 AND k % 2 = 0"""
+# The demo run from its prices: five sessions ahead of the first one; no beta has a history, so all are 1.
+WITH_LAB = """WITH sessions AS (SELECT day, row_number() OVER (ORDER BY day) AS n FROM (SELECT DATE '2026-01-01' + CAST(i AS INTEGER) AS day FROM range(16) t(i)) WHERE isodow(day) < 6),
+series AS (SELECT symbol, unnest(p) AS p, generate_subscripts(p, 1) AS n FROM (VALUES
+    ('SPY', [100, 100.5, 101, 101.5, 102, 102.5, 102.8, 103, 103.2, 103.4, 103.5, 103.7]), ('SMH', [100, 101, 102, 102.5, 103, 104, 104.5, 105, 105.5, 106, 106.2, 106.4]),
+    ('JETS', [100, 99.5, 99, 98.8, 99, 99.4, 99.7, 100, 100.1, 100.3, 100.5, 100.8]), ('HACK', [100, 101, 102, 103, 104, 104.5, 104.7, 105, 105.2, 105.4, 105.5, 105.7]),
+    ('NVDA', [100, 102, 104, 105, 108, 112, 111, 113, 114, 116, 118, 119]), ('UAL', [50, 49, 48, 47, 47.5, 48, 48.2, 48.5, 49, 49.4, 49.6, 50]),
+    ('CRWD', [70, 72, 75, 78, 82, 84, 83, 82, 81, 80, 79, 78]), ('MSFT', [200, 201, 202, 202, 203, 204, 204, 205, 205, 206, 206, 207]),
+    ('DAL', [40, 39.8, 39.6, 39.5, 39.4, 39.7, 39.9, 40.1, 40.2, 40.3, 40.5, 40.6])) t(symbol, p)),
+moves AS (SELECT symbol, h, CAST(max(p) FILTER (WHERE n = 1 + h) AS DOUBLE) / CAST(max(p) FILTER (WHERE n = 1) AS DOUBLE) - 1 AS r FROM series CROSS JOIN (VALUES (1), (5)) t(h) GROUP BY symbol, h),
+members AS (SELECT * FROM (VALUES ('NVDA', 'SMH'), ('UAL', 'JETS'), ('CRWD', 'HACK'), ('MSFT', NULL), ('DAL', 'JETS')) t(ticker, proxy)),
+abnormal AS (
+    SELECT c.ticker, t.h, t.r AS raw, CASE WHEN s.r IS NULL THEN t.r - m.r ELSE t.r - 0.5 * m.r - 0.5 * s.r END AS ar
+    FROM members c JOIN moves t ON t.symbol = c.ticker JOIN moves m ON m.symbol = 'SPY' AND m.h = t.h LEFT JOIN moves s ON s.symbol = c.proxy AND s.h = t.h),
+inputs AS (SELECT * FROM (VALUES ('NVDA', 62.0, 0.12, 78.0), ('UAL', 51.0, 0.02, 58.0), ('CRWD', 81.0, 0.31, 82.0)) t(ticker, rsi, return_20d, setup)),
+classed AS (
+    SELECT i.ticker, CASE WHEN abs(e.ar) < 0.01 THEN 'Wait for Confirmation' WHEN e.ar < 0 THEN 'Avoid' WHEN rsi >= 75 OR return_20d >= 0.25 THEN 'Avoid Chase' WHEN setup + 8 >= 70 THEN 'Tradeable' ELSE 'Watch' END AS classification,
+        f.raw, f.ar AS far FROM inputs i JOIN abnormal e ON e.ticker = i.ticker AND e.h = 1 JOIN abnormal f ON f.ticker = i.ticker AND f.h = 5),
+base AS (SELECT avg(CAST(ar > 0 AS INTEGER)) AS rate FROM abnormal WHERE h = 5)
+"""
+LAB_GROUPS = """SELECT CAST(5 AS INTEGER) AS horizon_days, classification, count(*) AS sample_size, round(avg(CAST(far > 0 AS INTEGER)), 6) AS sample_positive_rate, round(any_value(rate), 6) AS base_rate,
+    round(avg(CASE WHEN classification = 'Tradeable' THEN CAST(far > 0 AS INTEGER) END), 6) AS trade_hit_rate, round(avg(CASE WHEN classification = 'Tradeable' THEN CAST(far > 0 AS INTEGER) END) - any_value(rate), 6) AS excess_trade_hit_rate,
+    round(avg(CASE WHEN classification IN ('Watch', 'Wait for Confirmation') THEN CAST(far > 0 AS INTEGER) END), 6) AS watch_followthrough_rate,
+    round(avg(CASE WHEN classification IN ('Avoid', 'Avoid Chase') THEN CAST(far <= 0 AS INTEGER) END), 6) AS avoided_bad_trade_rate,
+    count(*) FILTER (WHERE classification IN ('Avoid', 'Avoid Chase') AND far > 0.02) AS false_negatives, round(avg(far), 6) AS average_forward_abnormal_return
+FROM classed CROSS JOIN base GROUP BY classification"""
+LAB_SUMMARY = """SELECT count(*) AS sample_size, round(avg(CAST(far > 0 AS INTEGER)), 6) AS sample_positive_rate, round(avg(far), 6) AS average_forward_abnormal_return, round(median(far), 6) AS median_forward_abnormal_return,
+    count(*) FILTER (WHERE classification = 'Tradeable' AND far <= 0) AS false_positives, count(*) FILTER (WHERE classification IN ('Avoid', 'Avoid Chase') AND far > 0.02) AS false_negatives,
+    count(*) FILTER (WHERE classification = 'Avoid Chase') AS avoid_chase_count FROM classed"""
+LAB_OUTCOMES = """SELECT c.ticker, classification, (SELECT day FROM sessions WHERE n = 6) AS horizon_end, 'matured' AS status, round(raw, 6) AS raw_return, round(far, 6) AS forward_abnormal_return,
+    round(low / first - 1, 6) AS max_drawdown, round(high / first - 1, 6) AS max_runup, true AS beta_fallback_used, 'demo' AS price_source, 'synthetic' AS price_adjustment
+FROM classed c JOIN (SELECT symbol, CAST(min(p) AS DOUBLE) AS low, CAST(max(p) AS DOUBLE) AS high, CAST(max(p) FILTER (WHERE n = 1) AS DOUBLE) AS first FROM series WHERE n <= 6 GROUP BY symbol) w ON w.symbol = c.ticker"""
 THESIS = extras.THESIS_SQL
 MATURITY_STREAM = """SELECT event_type, CAST(ts AS DATE) AS session_date, count(*) AS n FROM events GROUP BY ALL"""
-del news

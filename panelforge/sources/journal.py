@@ -31,6 +31,27 @@ def load_records(spark: SparkSession, path: str) -> DataFrame:
     return parse_lines(spark.read.text(path))
 
 
+DECISION = (
+    "decision_id string, created_at string, ticker string, theme string, event_type string, planned_action string, instrument_type string, horizon_days int, market_expectation string, "
+    "entry_thesis string, risk_thesis string, max_loss double, invalidation_rule string, confidence string, position_size double, notes string, status string"
+)
+
+
+def typed_records(records: DataFrame) -> DataFrame:
+    """``saved_at``, ``decision``, ``flags`` and ``evaluation`` as typed structs of the known keys; other keys are left out.
+
+    A flag that is absent is false; the two notes on an evaluation are always true.
+    """
+    from panelforge.functions.pretrade import FLAGS
+
+    get = lambda path, kind: F.try_variant_get("record", path, kind)
+    decision = [get(f"$.decision.{f.split()[0]}", f.split()[1]).alias(f.split()[0]) for f in DECISION.split(", ")]
+    flags = [F.coalesce(get(f"$.evaluation.flags.{name}", "boolean"), F.lit(False)).alias(name) for name in FLAGS]
+    reasons = F.coalesce(get("$.evaluation.reasons", "array<string>"), F.array().cast("array<string>"))
+    evaluation = F.struct(get("$.evaluation.verdict", "string").alias("verdict"), reasons.alias("reasons"), F.lit(True).alias("heuristic_only"), F.lit(True).alias("not_financial_advice"))
+    return records.select(get("$.saved_at", "string").alias("saved_at"), F.struct(*decision).alias("decision"), F.struct(*flags).alias("flags"), evaluation.alias("evaluation"))
+
+
 def journal_view(records: DataFrame) -> DataFrame:
     """``saved_at``, ``ticker`` and ``verdict``, '' where absent."""
     part = lambda path: F.coalesce(F.try_variant_get("record", path, "string"), F.lit(""))

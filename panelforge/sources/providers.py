@@ -94,14 +94,19 @@ class CSVProvider:
 class FetchProvider:
     """End-of-day prices from an injected ``fetch(symbols, start, end)`` that gives rows of symbol, date and close.
 
-    The upstream end is exclusive, so one day is added to it.
+    The upstream end is exclusive, so one day is added to it. A ``fetch`` given by name, ``module:function``, runs in the
+    executors, one partition a symbol (:class:`panelforge.sources.feeds.Prices`); a function runs on the driver.
     """
 
-    def __init__(self, spark: SparkSession, fetch: Callable, name: str = "eod", adjustment: str = "auto_adjusted"):
+    def __init__(self, spark: SparkSession, fetch: Callable | str, name: str = "eod", adjustment: str = "auto_adjusted"):
         self.spark, self.fetch, self.name, self.adjustment = spark, fetch, name, adjustment
 
     def get_history(self, symbols: Sequence[str], start, end) -> PriceBundle:
         wanted = prices.canonical_symbols(symbols)
+        if isinstance(self.fetch, str):
+            from panelforge.sources.feeds import read_prices
+
+            return assemble(prices.normalise(read_prices(self.spark, self.fetch, wanted, start, end)), wanted, start, end, self.name, self.adjustment)
         day = lambda x: x if isinstance(x, dt.date) else dt.date.fromisoformat(str(x)[:10])
         rows = [(s, str(d), None if p is None else str(p), i) for i, (s, d, p) in enumerate(self.fetch(wanted, day(start), day(end) + dt.timedelta(days=1)))]
         raw = self.spark.createDataFrame(rows, "symbol string, date string, adjusted_close string, ordinal long")

@@ -17,6 +17,18 @@ OUTCOMES = (
 )
 
 
+# What the tables of snapshots, outcomes and groups show.
+SNAPSHOT_COLUMNS = ["ticker", "theme", "classification", "score", "horizon_days", "benchmark", "sector_proxy", "price_at_creation", "rule_version", "created_at"]
+OUTCOME_COLUMNS = [
+    "ticker", "classification", "horizon_days", "raw_return", "market_return", "beta", "beta_fallback_used", "combined_abnormal_return", "trade_hit", "watch_followthrough",
+    "avoided_bad_trade", "false_negative", "max_drawdown", "max_runup", "data_quality_flag",
+]
+GROUP_COLUMNS = [
+    "horizon_days", "classification", "sample_size", "sample_positive_rate", "base_rate", "trade_hit_rate", "excess_trade_hit_rate", "watch_followthrough_rate", "avoided_bad_trade_rate",
+    "false_negatives", "average_forward_abnormal_return",
+]
+
+
 def with_schema(df: DataFrame, schema: str) -> DataFrame:
     """The declared columns, absent ones as NULL, others dropped: older and wider tables load alike."""
     empty = df.sparkSession.createDataFrame([], schema)
@@ -30,9 +42,12 @@ def canonical_snapshots(df: DataFrame) -> DataFrame:
 
 
 def latest_outcomes(batches: DataFrame, order: str = "batch_seq") -> DataFrame:
-    """For each signal the whole row of its last batch. An aggregate combines before the shuffle."""
+    """For each signal the whole row of its last batch. An aggregate combines before the shuffle.
+
+    Of several rows of one batch the greatest by the hash of its columns counts, so that reruns agree.
+    """
     columns = [c for c in batches.columns if c not in ("signal_id", order)]
-    last = batches.groupBy("signal_id").agg(F.max_by(F.struct(*columns), order).alias("row"))
+    last = batches.groupBy("signal_id").agg(F.max_by(F.struct(*columns), F.struct(order, F.xxhash64(*columns))).alias("row"))
     return last.select("signal_id", "row.*")
 
 
@@ -40,6 +55,18 @@ def snapshots_with_outcomes(snapshots: DataFrame, outcomes: DataFrame) -> DataFr
     return snapshots.join(outcomes.withColumnRenamed("signal_id", "id"), "id", "left")
 
 
+def in_order(records: DataFrame) -> DataFrame:
+    """As they were created: by time, then id."""
+    return records.orderBy("created_at", "id")
+
+
+def display(records: DataFrame, columns: list[str]) -> DataFrame:
+    """Those of the columns that the records have, in the order given; a frame without columns gets them all as text."""
+    if not records.columns:
+        return records.sparkSession.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
+    return records.select(*[c for c in columns if c in records.columns])
+
+
 def matured_records(snapshots: DataFrame, outcomes: DataFrame) -> DataFrame:
     return snapshots.join(outcomes.where("is_matured").withColumnRenamed("signal_id", "id"), "id")
 

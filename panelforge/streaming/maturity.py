@@ -24,3 +24,13 @@ def matured_stream(signals: DataFrame, calendar: DataFrame, sessions: DataFrame)
     placed = dated.join(sessions.withColumnRenamed("day", "_day"), "_day", "left").withColumn("_ord", F.col("n_le") + F.col("horizon_days"))
     ends = calendar.select(F.col("ord").alias("_ord"), F.col("session_date").alias("horizon_end"))
     return placed.join(ends, "_ord", "left").drop("_day", "_ord", "n_le").withColumn("is_matured", F.col("horizon_end").isNotNull())
+
+
+def run_once(stream: DataFrame, path: str) -> DataFrame:
+    """Process what a stream has now into a table at ``path``, with the stream's own checkpoint beside it, and read that table.
+
+    Another run goes on where this one ended, so each signal is written once.
+    """
+    writer = stream.writeStream.format("parquet").option("path", f"{path}/table").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    writer.start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/table")
