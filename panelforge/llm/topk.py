@@ -7,8 +7,10 @@ all tasks. A candidate whose score reaches the cutoff has at least cutoff / list
 from there on are sufficient. Phase 3 drops those candidates whose known entries, with the threshold for each unknown
 one, stay under the cutoff, works out the missing local scores of the rest exactly, and ranks them.
 
-Queries go out in waves of at most ``wave`` vectors, so what is broadcast has a fixed bound whatever the number of queries;
-candidates stay where they are read. Nothing is left out: the cutoffs are safe and ties are kept.
+Queries go out in waves of at most ``wave`` vectors. With more than one, a wave's result is written to the shared folder and
+its broadcasts are destroyed before the next one's are made, so what is broadcast has a fixed bound whatever the number
+of queries; candidates stay where they are read. The cutoffs are safe, and of what reaches them a batch hands on each query's
+``k`` best by score and id, so equal vectors don't multiply.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import let_workers_import
+from .common import let_workers_import, shared_checkpoint
 from .vectors import matrix_runs
 
 ROWS = 2048
@@ -69,6 +71,25 @@ def best_local(q_ids: np.ndarray, ids: np.ndarray, lists: Lists, k: int) -> Iter
         yield rows[good], columns[good], scores[rows[good], columns[good]]
 
 
+def excess(score: int) -> str:
+    """Text that orders scores beyond 64 bits, which a long column cannot tell apart; '1' for all others."""
+    if -(2**63) <= score < 2**63:
+        return "1"
+    digits = f"{abs(score):x}"
+    text = f"{len(digits):04x}{digits}"
+    return "2" + text if score > 0 else "0" + "".join(f"{15 - int(c, 16):x}" for c in text)
+
+
+def first_of_each(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's ``k`` highest scores; ties go to the smaller id."""
+    if scores.dtype == object:
+        order = np.array(sorted(range(len(rows)), key=lambda i: (rows[i], -scores[i], ids[i])), dtype=np.int64)
+    else:
+        order = np.lexsort((ids, -scores, rows))
+    sorted_rows = rows[order]
+    return order[np.arange(len(order)) - np.searchsorted(sorted_rows, sorted_rows) < k]
+
+
 def sufficient(q_ids: np.ndarray, ids: np.ndarray, lists: Lists, cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Phases 2 and 3 in one batch: rows of query and candidate, and exact scores, of all that reach the cutoff."""
     m = len(lists.blocks)
@@ -112,7 +133,8 @@ def exact_top_k(
     candidates are all rows but those with the query's own id; with fewer than ``k``, all are returned. Vectors that are
     null or empty, or hold a null or non-finite component, take no part, nor do rows with a null id; vectors
     of different lengths have no score. Repeated candidate rows each count; a query id that repeats counts once for each
-    different vector. An empty table gives an empty result.
+    different vector. Scores beyond 64 bits rank by their exact values and are written as the nearest long. An empty table
+    gives an empty result.
     """
     spark = df.sparkSession
     let_workers_import(spark)
@@ -131,7 +153,12 @@ def exact_top_k(
         chosen = queries.where(part == number).orderBy("id", "vector").toArrow()
         groups = [(ids, quantised(v, scale)) for ids, v in _by_length(chosen)]
         if groups:
-            results.append(_one_wave(spark, rows, groups, k, scale, lists))
+            result, sent = _one_wave(spark, rows, groups, k, scale, lists)
+            if parts > 1:
+                result = shared_checkpoint(result)
+                for broadcast in sent:
+                    broadcast.destroy()
+            results.append(result)
     schema = "query_id long, rank int, vec_id long, score long"
     if not results:
         return spark.createDataFrame([], schema)
@@ -150,7 +177,7 @@ def _by_length(batch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield ids[rows], vectors
 
 
-def _one_wave(spark, rows: DataFrame, groups: list[tuple[np.ndarray, np.ndarray]], k: int, scale: float, lists: int) -> DataFrame:
+def _one_wave(spark, rows: DataFrame, groups: list[tuple[np.ndarray, np.ndarray]], k: int, scale: float, lists: int) -> tuple[DataFrame, list]:
     sent = spark.sparkContext.broadcast(groups)
 
     def batches_of(batches: Iterator[pa.RecordBatch]):
@@ -200,13 +227,16 @@ def _one_wave(spark, rows: DataFrame, groups: list[tuple[np.ndarray, np.ndarray]
         for group, start, q_ids, ids, local in batches_of(batches):
             r, c, s = sufficient(q_ids, ids, local, cut.value[group][start : start + len(q_ids)])
             if len(r):
-                whole = [max(-(2**63), min(2**63 - 1, int(x))) for x in s]
+                best = first_of_each(r, s, ids[c], k)
+                r, c, s = r[best], c[best], s[best]
+                exact = [int(x) for x in s]
+                whole = [max(-(2**63), min(2**63 - 1, x)) for x in exact]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(r), group, np.int64)), pa.array(r.astype(np.int64) + start), pa.array(q_ids[r]), pa.array(ids[c]), pa.array(whole, pa.int64())],
-                    names=["group", "query", "query_id", "vec_id", "score"],
+                    [pa.array(np.full(len(r), group, np.int64)), pa.array(r.astype(np.int64) + start), pa.array(q_ids[r]), pa.array(ids[c]), pa.array(whole, pa.int64()), pa.array(map(excess, exact), pa.string())],
+                    names=["group", "query", "query_id", "vec_id", "score", "excess"],
                 )
 
-    found = rows.mapInArrow(collect, "group long, query long, query_id long, vec_id long, score long")
-    order = Window.partitionBy("group", "query").orderBy(F.desc("score"), "vec_id")
+    found = rows.mapInArrow(collect, "group long, query long, query_id long, vec_id long, score long, excess string")
+    order = Window.partitionBy("group", "query").orderBy(F.desc("score"), F.desc("excess"), "vec_id")
     found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), [sent, cut]

@@ -220,7 +220,8 @@ def test_a_crowd_below_the_threshold_hides_no_pair(spark):
 
 
 def test_top_k_matches_brute_force(spark):
-    rows = vector_rows(4) + [(3000, [0.5] * 16), (3001, [0.5] * 16), (3002, [0.5] * 16), (100, [1e9] * 16), (3100, [0.0] * 16)]
+    rows = vector_rows(4) + [(3000, [0.5] * 16), (3001, [0.5] * 16), (3002, [0.5] * 16), (100, [1e9] * 16), (3100, [0.0] * 16), (3201, [2e9] * 16), (3202, [1.5e9] * 16), (3203, [-3e9] * 16), (3204, [-2e9] * 16)]
+    rows += [(3300 + i, [0.5] * 16) for i in range(40)]
     odd = [(6000, None), (6100, [float("inf")] * 16), (6200, [None] * 16), (6300, [1.0]), (6400, [2.0]), (None, [1.0] * 16)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
     out = topk.exact_top_k(df, F.col("vec_id") % 100 == 0, k=7, wave=8).collect()
@@ -230,7 +231,7 @@ def test_top_k_matches_brute_force(spark):
         if q % 100 == 0:
             scores = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i) for i, w in usable if i != q and len(w) == len(v))
             expected |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:7])}
-    assert {tuple(r) for r in out} == {(q, n, i, min(s, 2**63 - 1)) for q, n, i, s in expected}
+    assert {tuple(r) for r in out} == {(q, n, i, max(-(2**63), min(s, 2**63 - 1))) for q, n, i, s in expected}
     assert topk.exact_top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
