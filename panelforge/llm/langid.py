@@ -5,8 +5,12 @@ Texts are lower-cased; runs of anything but letters become one space. Every docu
 many different characters precede an n-gram. A language's n-grams and contexts stand in sorted arrays of 64-bit
 hashes (four characters of 16 bits each, so different n-grams of the first 65,536 code points never clash), with
 their interpolated probabilities and back-off weights beside them. The language with the lowest cross-entropy per
-character wins. A text whose cross-entropy lies well over what its language's training text has, by the spread of
-that language's characters and the text's length, is marked as rejected.
+character wins.
+
+Rejection is calibrated on text that its model has not seen: models of nine tenths of the training documents (by a hash of
+their text) score the rest. How far a text lies over its language's own cross-entropy is measured in standard errors of
+its length; the limit of a language is what only a share ``reject`` of its calibration texts exceeds, or of all
+languages' together where it has too few. A text over its language's limit is marked as rejected.
 
 Every n-gram of every language stays in the model, whose arrays grow with the distinct n-grams of the corpus.
 """
@@ -27,6 +31,10 @@ from .common import add_columns, let_workers_import, row_groups, shared_checkpoi
 ORDER = 4
 GROUP_BYTES = 1_000_000
 UNKNOWN = "und"
+#: One in so many training documents calibrates; a language with fewer of them than FEWEST takes the limit of all together.
+PARTS = 10
+FEWEST = 20
+DEFAULT_LIMIT = 8.0
 
 _LETTERS: list[np.ndarray] = []
 
@@ -81,6 +89,11 @@ class Model:
     floor: float
     mean: float
     spread: float
+    limit: float = DEFAULT_LIMIT
+
+    def excess(self, entropy: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Standard errors by which texts of so many characters lie over the language's own cross-entropy."""
+        return (entropy - self.mean) * np.sqrt(size) / max(self.spread, 1e-9)
 
     def log_probability(self, grams: np.ndarray) -> np.ndarray:
         """Natural logarithms for packed 4-grams: the longest known n-gram, with the weights of the contexts over it."""
@@ -138,26 +151,33 @@ def kneser_ney(grams: np.ndarray, counts: np.ndarray, symbols: int) -> Model:
     return model
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, Model]:
-    """A model for each language of ``df``, from all its rows; rows with a null language or text are left out."""
+def train(df: DataFrame, text: str = "text", lang: str = "lang", reject: float = 0.005) -> dict[str, Model]:
+    """A model for each language of ``df``, from all its rows; rows with a null language or text are left out.
+
+    ``reject`` is the share of calibration texts over a language's limit.
+    """
     let_workers_import(df.sparkSession)
     rows = df.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null and text is not null")
+    aside = F.pmod(F.xxhash64("text"), F.lit(PARTS)) == 0
+    rows = rows.withColumn("aside", aside)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[tuple[str, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def merged(parts):
             grams, which = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
             return grams, np.bincount(which, weights=np.concatenate([c for _, c in parts]), minlength=len(grams)).astype(np.int64)
 
         def out() -> Iterator[pa.RecordBatch]:
-            for name, parts in held.items():
+            for (name, apart), parts in held.items():
                 grams, counts = merged(parts)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams)), pa.array(grams.view(np.int64)), pa.array(counts)], names=["lang", "gram", "n"])
+                none = np.zeros(len(grams), np.int64)
+                both = (none, counts) if apart else (counts, none)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams)), pa.array(grams.view(np.int64)), *map(pa.array, both)], names=["lang", "gram", "n", "aside"])
             held.clear()
 
         for batch in batches:
-            names = batch.column(0).to_pylist()
+            names = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
             _, offsets = text_bytes(batch.column(1))
             for start, end in row_groups(offsets, GROUP_BYTES):
                 texts = batch.column(1)[start:end].to_pylist()
@@ -172,30 +192,73 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, Mo
                 yield from out()
         yield from out()
 
-    counted = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(count, "lang string, gram long, n long, aside long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("aside").alias("aside"))
     counted = shared_checkpoint(counted)
     names = sorted(row["lang"] for row in counted.select("lang").distinct().collect())
     # One language at a time, so that the names never stand beside the n-grams.
     stored = {}
     for name in names:
-        own = counted.where(F.col("lang") == name).select("gram", "n").toArrow()
-        stored[name] = own.column("gram").to_numpy().view(np.uint64), own.column("n").to_numpy()
-    last = [np.unique(grams & np.uint64(0xFFFF)) for grams, _ in stored.values()]
+        own = counted.where(F.col("lang") == name).select("gram", "n", "aside").toArrow()
+        stored[name] = own.column("gram").to_numpy().view(np.uint64), own.column("n").to_numpy(), own.column("aside").to_numpy()
+    last = [np.unique(grams & np.uint64(0xFFFF)) for grams, *_ in stored.values()]
     symbols = len(np.unique(np.concatenate(last))) if last else 0
-    return {name: kneser_ney(*stored.pop(name), symbols) for name in names}
+    seen = {name: kneser_ney(grams[n > 0], n[n > 0], symbols) for name, (grams, n, _) in stored.items() if n.any()}
+    limits = calibrate(rows.where("aside").select("lang", "text"), seen, reject)
+    models = {}
+    for name in names:
+        grams, n, apart = stored.pop(name)
+        models[name] = kneser_ney(grams, n + apart, symbols)
+        models[name].limit = limits.get(name, limits.get(None, DEFAULT_LIMIT))
+    return models
+
+
+def calibrate(rows: DataFrame, models: dict[str, Model], reject: float) -> dict[str | None, float]:
+    """The limit of each language with enough of ``rows`` (texts that the models have not seen), and under None that of all.
+
+    A limit is the share ``1 - reject`` of the texts' excess, to a thousandth of their number, but no less than none at all.
+    """
+    if not models:
+        return {}
+    sent = rows.sparkSession.sparkContext.broadcast(models)
+
+    def compute():
+        own: dict[str, Model] = sent.value
+
+        def function(columns):
+            names, texts = (c.to_pylist() for c in columns)
+            out: list[float | None] = [None] * len(texts)
+            for name in sorted(set(names) & set(own)):
+                chosen = [i for i, other in enumerate(names) if other == name]
+                grams, first = grams_of([texts[i] for i in chosen])
+                sizes = np.diff(first)
+                full = np.flatnonzero(sizes)
+                if not len(full):
+                    continue
+                sums = np.add.reduceat(own[name].log_probability(grams), first[:-1][full])
+                values = own[name].excess(-sums / sizes[full], sizes[full])
+                for i, value in zip(full.tolist(), values.tolist(), strict=True):
+                    out[chosen[i]] = value
+            return [out]
+
+        return function
+
+    scored = add_columns(rows, ["lang"], ["lang", "text"], T.StructType([T.StructField("excess", T.DoubleType())]), compute)
+    limit = F.percentile_approx("excess", 1 - reject, 10_000).alias("limit")
+    found = scored.where("excess is not null").rollup("lang").agg(F.count("*").alias("n"), limit, F.grouping("lang").alias("all"))
+    return {None if row["all"] else row["lang"]: max(0.0, row["limit"]) for row in found.collect() if row["all"] or row["n"] >= FEWEST}
 
 
 OUTPUT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
 
 def identify(
-    df: DataFrame, models: dict[str, Model], text: str = "text", carry: Iterable[str] = ("doc_id",), tolerance: float = 4.0, margin: float = 0.5
+    df: DataFrame, models: dict[str, Model], text: str = "text", carry: Iterable[str] = ("doc_id",)
 ) -> DataFrame:
     """Add ``lang_pred``, ``score`` (0 to 1: how far the winner is ahead), ``cross_entropy`` and ``rejected``.
 
     Whole texts count. A text that is null or has no letter gets ``und``, score 0, a null cross-entropy and is
     rejected, as does any text if there is no model. Of equal languages the first by name wins. A text is rejected,
-    too, if its cross-entropy is over its language's own by more than ``margin`` nats and ``tolerance`` standard errors.
+    too, if it is over its language's limit.
     One row for each input row, repeated rows included.
     """
     names = sorted(models)
@@ -225,7 +288,7 @@ def identify(
                         langs.append(names[best[i]])
                         scores.append(float(1 / lead[i]))
                         entropies.append(value)
-                        rejected.append(value > model.mean + margin + tolerance * model.spread / size**0.5)
+                        rejected.append(bool(model.excess(value, size) > model.limit))
                     else:
                         langs.append(UNKNOWN)
                         scores.append(0.0)

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -283,6 +284,71 @@ def test_language_models_are_distributions():
         assert 0.3 < total <= 1.0001
 
 
+def brute_kneser_ney(texts, symbols):
+    """Interpolated Kneser-Ney by its formulas, from dictionaries of strings: log probability of a character after its context."""
+    counts = Counter()
+    for text in texts:
+        clean = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        line = re.sub(" +", " ", clean)
+        padded = "   " + line
+        for i in range(4, len(padded)):
+            counts[padded[i - 3 : i + 1]] += 1  # nothing before a text is a space, too
+    levels = [counts]
+    for n in (3, 2, 1):
+        levels.append(Counter(gram[-n:] for gram in levels[-1]))
+    levels.reverse()
+    tables = []
+    for level in levels:
+        ones, twos = (sum(v == k for v in level.values()) for k in (1, 2))
+        discount = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
+        totals, kinds = Counter(), Counter()
+        for gram, n in level.items():
+            totals[gram[:-1]] += n
+            kinds[gram[:-1]] += 1
+        tables.append((level, discount, totals, kinds))
+
+    def probability(gram):
+        if not gram:
+            return 1 / (symbols + 1)
+        level, discount, totals, kinds = tables[len(gram) - 1]
+        context = gram[:-1]
+        if not totals[context]:
+            return probability(gram[1:])
+        return max(level[gram] - discount, 0) / totals[context] + discount * kinds[context] / totals[context] * probability(gram[1:])
+
+    return counts, probability
+
+
+def test_models_match_brute_force_kneser_ney():
+    rng = random.Random(14)
+    texts = [" ".join("".join(rng.choices("abcde", weights=[5, 4, 3, 2, 1], k=rng.randint(1, 6))) for _ in range(rng.randint(1, 12))) for _ in range(40)] + ["Ab, ba! 12 ab", "é"]
+    grams, _ = langid.grams_of(texts)
+    keys, counts = np.unique(grams, return_counts=True)
+    model = langid.kneser_ney(keys, counts, 7)
+    expected, probability = brute_kneser_ney(texts, 7)
+    pack = lambda gram: sum((0 if c == " " else ord(c)) << 16 * i for i, c in enumerate(reversed(gram)))
+    assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == {pack(gram): n for gram, n in expected.items()}
+    probes = ["abcd", "aaaa", "ab a", "xyzz", "cdea", " abz", "zzza", "é a ", *list(expected)[::7]]
+    found = model.log_probability(np.array([pack(g) for g in probes], dtype=np.uint64))
+    assert np.allclose(found, [np.log(probability(g)) for g in probes])
+
+
+def test_rejection_is_calibrated_on_unseen_text(spark):
+    rng = random.Random(15)
+    sounds = {"aa": ["ka", "lo", "mi", "ta"], "bb": ["sch", "ung", "ich", "en"]}
+    say = lambda lang: " ".join("".join(rng.choices(sounds[lang], k=rng.randint(1, 4))) for _ in range(rng.randint(5, 60)))
+    rows = [(i, say(lang), lang) for i, lang in enumerate(["aa", "bb"] * 400)]
+    models = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len({m.limit for m in models.values()}) == 2
+    more = [(i, say(("aa", "bb")[i % 2])) for i in range(400)] + [(1000 + i, "".join(rng.choices("qxzwvy", k=60))) for i in range(50)]
+    out = {r["doc_id"]: r["rejected"] for r in langid.identify(spark.createDataFrame(more, "doc_id long, text string"), models).collect()}
+    # Some 40 texts calibrate a language, so a share of about 1 in 40 may pass the greatest of them.
+    assert sum(out[i] for i in range(400)) <= 28 and all(out[1000 + i] for i in range(50))
+    repeated = spark.createDataFrame([(1, "kalo mi", "x"), (1, "kalo mi", "x"), (1, None, None)], "doc_id long, text string, lang_pred string")
+    found = langid.identify(repeated, models, carry=["doc_id", "lang_pred"]).collect()
+    assert sorted(r["lang_pred"] for r in found) == ["aa", "aa", "und"]
+
+
 def test_languages_are_told_apart(spark):
     rng = random.Random(3)
     sounds = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "ung", "ich"], "cc": ["que", "eau", "oir"]}
