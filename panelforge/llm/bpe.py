@@ -30,8 +30,10 @@ from pyspark.sql import types as T
 
 from .common import add_columns, row_groups, text_bytes
 
-#: Distinct pieces and segments whose encoding a worker remembers from one group of texts to the next.
+#: Distinct pieces and segments whose encoding a worker remembers from one group of texts to the next, and the bytes of
+#: these and of their encodings.
 CACHE_PIECES = 300_000
+CACHE_BYTES = 64_000_000
 #: Bytes of text that are encoded together.
 GROUP_BYTES = 2_000_000
 #: Token pairs whose compatibility a worker remembers.
@@ -129,7 +131,9 @@ class PieceEncoder:
 
     def append(self, data: bytes) -> None:
         """Add bytes at the end; what is stored for earlier prefixes stays valid."""
-        self._extend(self.data + data, len(self.data))
+        text = self.data + data
+        extend(self.vocabulary, text, len(self.data), self.last, self.size)
+        self.data = text
 
     def splice(self, start: int, end: int, data: bytes) -> int:
         """Replace bytes ``start`` to ``end``. Returns how many prefixes were computed anew.
@@ -143,7 +147,7 @@ class PieceEncoder:
         self.last, self.size = old_last[:start], old_size[:start]
         agreed, at = 0, start
         while at < len(text):
-            self._extend(text[: at + 1], at)
+            extend(self.vocabulary, text, at, self.last, self.size, at + 1)
             same = at >= start + len(data) and self.last[at] == old_last[at - shift]
             agreed = agreed + 1 if same else 0
             at += 1
@@ -154,21 +158,17 @@ class PieceEncoder:
         self.data = text
         return at - start
 
-    def _extend(self, text: bytes, start: int) -> None:
-        extend(self.vocabulary, text, start, self.last, self.size)
-        self.data = text
-
     def tokens(self) -> list[int]:
         return read_back(self.last, self.size)
 
 
-def extend(vocabulary: Vocabulary, text: bytes, start: int, last: list[int], size: list[int]) -> None:
-    """Add to ``last`` and ``size`` the valid last token and its length for the prefixes that end from ``start`` on."""
+def extend(vocabulary: Vocabulary, text: bytes, start: int, last: list[int], size: list[int], stop: int | None = None) -> None:
+    """Add to ``last`` and ``size`` the valid last token and its length for the prefixes that end from ``start`` on, up to ``stop``."""
     compatible, known = vocabulary.compatible, vocabulary.pairs.get
     begin = max(0, start - vocabulary.longest)
     done = start - begin - 1
     # The automaton gives the tokens that end at each byte, longest first.
-    for end, (length, token) in vocabulary.automaton.iter(text[begin:].decode("latin-1")):
+    for end, (length, token) in vocabulary.automaton.iter(text[begin:stop].decode("latin-1")):
         if end <= done:
             continue
         before = begin + end - length
@@ -241,6 +241,7 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.pieces: dict[str, bytes] = {}
         self.segments: dict[str, bytes] = {}
+        self.held = 0  # bytes of both
         size = max(vocabulary.tokens) + 1
         self.table: list[bytes] = [vocabulary.tokens.get(i, b"") for i in range(size)]
         self.gaps = len(vocabulary.tokens) < size
@@ -251,13 +252,18 @@ class Encoder:
         for memory in (known, pieces):
             if len(memory) > CACHE_PIECES:
                 for old in list(memory)[: len(memory) - CACHE_PIECES // 2]:  # the oldest go
-                    del memory[old]
+                    self.held -= len(old) + len(memory.pop(old))
+        if self.held > CACHE_BYTES:
+            known.clear()
+            pieces.clear()
+            self.held = 0
         split = [text.split(" ") for text in texts]
         new = {s for segments in split for s in segments[1:] if s not in known}
         new = {s: self.find(" " + s) for s in new if not _touches_space(s)}
         self._learn(p for found in new.values() for p in found)
         for segment, found in new.items():
-            known[segment] = b"".join([pieces[p] for p in found])
+            known[segment] = packed = b"".join([pieces[p] for p in found])
+            self.held += len(segment) + len(packed)
         out = []
         for text, (head, *rest) in zip(texts, split, strict=True):
             try:
@@ -288,7 +294,8 @@ class Encoder:
     def _learn(self, pieces: Iterable[str]) -> None:
         new = {p.encode("utf-8", "surrogatepass"): p for p in pieces if p not in self.pieces}
         for data, ids in encode_pieces(self.vocabulary, new).items():
-            self.pieces[new[data]] = _pack(ids)
+            self.pieces[new[data]] = packed = _pack(ids)
+            self.held += len(new[data]) + len(packed)
 
     def packed(self, text: str) -> bytes:
         return self.packed_many([text])[0]

@@ -62,6 +62,17 @@ def test_bpe_edit_near_the_start_keeps_most_prefixes(encoder):
     assert own.splice(10, 11, b"x") < 400
 
 
+def test_bpe_memory_is_bounded_by_bytes(encoder, monkeypatch):
+    own = bpe.Encoder(encoder.vocabulary, public_tokenizers.PATTERN)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 50_000)
+    rng = random.Random(3)
+    for _ in range(40):
+        text = " ".join("".join(rng.choices("abcdefgh", k=rng.choice([5, 2000]))) for _ in range(5))
+        assert own.decode(own.encode(text)) == text.encode()
+        assert own.encode(text) == encoder.encode(text)
+        assert own.held == sum(len(k) + len(v) for memory in (own.segments, own.pieces) for k, v in memory.items()) < 50_000 + 40_000
+
+
 def test_bpe_query_handles_odd_rows(spark, encoder):
     rows = [(1, None, "a"), (1, None, "a"), (2, "", "b"), (3, LONG, None), (None, "a  b\n", "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
