@@ -103,7 +103,7 @@ HOT_KEYS = 500
 HOT_ROWS = 1000
 
 
-def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, key: str | list[str], n: str, total: int) -> DataFrame:
     """Inner join of ``left`` with ``right``, which has each ``key`` once and in ``n`` how many of the ``total`` rows of ``left`` have it.
 
     A key with more than its share of rows would be one task's work. There are fewer than ``HOT_KEYS`` of these, as their
@@ -115,7 +115,7 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, total: int
         return left.join(right.drop(n), key)
     hot = right.where(F.col(n) > limit).drop(n)
     few = left.join(F.broadcast(hot), key)
-    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(n) <= limit).drop(n), key)
+    rest = left.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(right.where(F.col(n) <= limit).drop(n), key)
     return few.unionByName(rest)
 
 

@@ -1,29 +1,29 @@
 """Personal data: patterns, and information-theoretic sanitisation of what else reveals them.
 
 Base entities (e-mail and IP addresses, payment cards, phone numbers) are found by pattern in whole texts. Then
-corpus co-occurrence says which other terms reveal them. A term occurs in the context of an entity kind if its document
-has an entity of that kind (or, with a ``window``, if it stands within so many words of one). Over all documents, and over
-the terms outside entities only,
+corpus co-occurrence says which other terms reveal them. Protected are each single entity, such as one person's
+address wherever it stands, and each kind of them. A term is in the context of an entity if it stands within ``window`` terms
+of it. Over all documents, and over the terms outside entities only,
 
-    information(kind)   = -log2 P(a word is in a context of the kind)
-    disclosure(term, kind) = log2 P(in a context of the kind | the word is the term) + information(kind),
+    information(entity) = -log2 P(a term is in the entity's context)
+    disclosure(term, entity) = log2 P(in the entity's context | the term) + information(entity),
 
-the pointwise mutual information of the two. A term that occurs in contexts alone discloses all of the kind's
+the pointwise mutual information of the two. A term that occurs in that context alone discloses all of the entity's
 information. Terms whose disclosure is at least ``alpha`` times the information exceed the threshold, however rare they
-are (unless ``support`` asks for more documents). Where they stand in the context of an entity in a document,
+are (unless ``support`` asks for more documents). Where they stand in the context of the entity in a document,
 sanitising replaces them: by the kind's general name below full disclosure, by nothing at full disclosure.
 Documents without an entity are left alone.
 
-Counting: the terms of contexts are counted exactly first. A Bloom filter of a fixed
-size (``filter_bits``), made of the terms with enough support, then says which words of the corpus need a total count
-at all; words that pass by chance are counted, too, and change nothing. So what is broadcast has a fixed bound and
-every count covers all documents.
+Counting: documents with an entity are written to the shared folder once. Their terms and entities are counted exactly; a
+Bloom filter of a fixed size (``filter_bits``), made of the terms with enough support, then says which words of the corpus
+need a total count at all; words that pass by chance are counted, too, and change nothing. So what is broadcast has a
+fixed bound and every count covers all documents. What discloses stays a table: a document's terms and entities are joined
+with it, and what they find goes to the document, whose number is its own.
 """
 
 from __future__ import annotations
 
 import bisect
-import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, in_parts, let_workers_import, shared_checkpoint
+from .common import add_columns, in_parts, join_counted, let_workers_import, shared_checkpoint, shared_table
 
 KINDS = ("email", "ip", "card", "phone")
 #: An address is four parts of such a run: digits are taken whole, so matches are the fours from its beginning on.
@@ -44,10 +44,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: E-mail addresses are searched from their at sign: from every possible first character, a long word would take
 #: time with the square of its length.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TERM = re.compile(r"[^\W_]+")
-#: Terms of a broadcast table; beyond that many the terms are joined.
-BROADCAST_TERMS = 200_000
+#: Terms on each side of an entity that are its context.
+WINDOW = 100
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -108,23 +107,30 @@ def outside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str
     return pieces
 
 
-def context_terms(text: str, spans: list[tuple[int, int, int]], window: int | None = None) -> list[tuple[int, int, str, int]]:
-    """(start, end, term, kind number) of the terms of the text, or of those within ``window`` words of an entity.
+def entity_id(text: str, span: tuple[int, int, int]) -> int:
+    """A number for the entity itself, however it is written; the numbers of the kinds are 0 to 3."""
+    import xxhash
+
+    start, kind, end = span
+    value = text[start:end].lower() if kind < 2 else "".join(c for c in text[start:end] if "0" <= c <= "9")
+    return xxhash.xxh3_64_intdigest(f"{kind}:{value}".encode()) >> 1 | 4  # a positive long
+
+
+def context_terms(text: str, spans: list[tuple[int, int, int]], window: int = WINDOW) -> list[tuple[int, int, str, int, int]]:
+    """(start, end, term, entity, kind number) of the terms within ``window`` terms of an entity, and the same for its kind.
 
     Terms are the lower-cased runs of letters and digits outside all entities that are not numbers.
     """
     terms = [(at + m.start(), at + m.end(), m.group().lower()) for at, piece in outside(text, spans) for m in TERM.finditer(piece) if not m.group().isdecimal()]
-    if window is None:
-        kinds = sorted({kind for _, kind, _ in spans})
-        return [(a, b, term, kind) for a, b, term in terms for kind in kinds]
-    words = [m.span() for m in WORD.finditer(text)]
-    begins, ends, starts = [a for a, _ in words], [b for _, b in words], [a for a, _, _ in terms]
-    found = set()
-    for start, kind, end in spans:
-        low = begins[max(0, bisect.bisect_right(ends, start) - window)]
-        high = ends[min(len(ends), bisect.bisect_left(begins, end) + window) - 1]
-        found.update((*term, kind) for term in terms[bisect.bisect_left(starts, low) : bisect.bisect_left(starts, high)])
-    return sorted(found)
+    starts = [a for a, _, _ in terms]
+    near: dict[tuple[int, int], set[int]] = {}
+    for span in spans:
+        start, kind, end = span
+        # Terms do not overlap entities: so many begin before this one, and so many before its end.
+        low, high = max(0, bisect.bisect_left(starts, start) - window), bisect.bisect_left(starts, end) + window
+        for entity in (kind, entity_id(text, span)):
+            near.setdefault((entity, kind), set()).update(range(low, min(high, len(terms))))
+    return sorted((*terms[i], entity, kind) for (entity, kind), places in near.items() for i in places)
 
 
 def term_hashes(terms: list[str]) -> np.ndarray:
@@ -144,36 +150,53 @@ def values_of(batch: pa.RecordBatch) -> Iterator[str]:
     return (value for part in in_parts(batch) for value in part.column(0).to_pylist())
 
 
+def entity_documents(df: DataFrame, text: str, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` with an entity, each with a number ``uid``, as a table in the shared folder; and the other rows.
+
+    Both have ``text`` and the columns of ``carry`` as ``k0``, ``k1`` and so on.
+    """
+    named = [f"k{i}" for i in range(len(carry))]
+    plain = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(carry, named, strict=True)], F.col(f"`{text}`").alias("text"))
+
+    def compute():
+        return lambda columns: [[bool(value) and bool(base_spans(value)) for value in columns[0].to_pylist()]]
+
+    marked = add_columns(plain, [*named, "text"], ["text"], T.StructType([T.StructField("has", T.BooleanType())]), compute)
+    own, _ = shared_table(marked.where("has").drop("has").withColumn("uid", F.monotonically_increasing_id()))
+    return own, marked.where("not has").drop("has")
+
+
 def disclosing_terms(
-    df: DataFrame, window: int | None = None, alpha: float = 0.9, support: int = 1, text: str = "text", filter_bits: int = 1 << 23
+    df: DataFrame, window: int = WINDOW, alpha: float = 0.9, support: int = 1, text: str = "text", filter_bits: int = 1 << 23, own: DataFrame | None = None
 ) -> DataFrame:
-    """``term``, ``kind`` (its number), ``disclosure`` and ``full`` of the terms over the threshold.
+    """``term``, ``entity``, ``kind`` (its number), ``disclosure``, ``full`` and ``documents`` of the terms over the threshold.
 
-    ``full`` says that the term stands in contexts of the kind alone. Counts cover all documents. An empty table, or
-    one without entities, gives an empty result.
+    ``full`` says that the term stands in the entity's contexts alone, ``documents`` how many have it there. Counts cover all
+    documents; ``own`` are those with an entity, if they are known. An empty table, or one without entities, gives an
+    empty result.
     """
     spark = df.sparkSession
     let_workers_import(spark)
     texts = df.select(F.col(f"`{text}`").alias("text")).where("text is not null")
+    own = entity_documents(df, text, [])[0] if own is None else own
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter[tuple[str, int]] = Counter()
-            documents: Counter[tuple[str, int]] = Counter()
+            counts: Counter[tuple[str, int, int]] = Counter()
+            documents: Counter[tuple[str, int, int]] = Counter()
             for value in values_of(batch):
-                if spans := base_spans(value):
-                    own = Counter((term, kind) for _, _, term, kind in context_terms(value, spans, window))
-                    counts.update(own)
-                    documents.update(own.keys())
+                found = Counter((term, entity, kind) for _, _, term, entity, kind in context_terms(value, base_spans(value), window))
+                counts.update(found)
+                documents.update(found.keys())
             if counts:
-                terms, kinds = zip(*counts, strict=True)
+                terms, entities, kinds = zip(*counts, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(terms), pa.array(kinds, pa.int32()), pa.array(counts.values(), pa.int64()), pa.array([documents[k] for k in counts], pa.int64())],
-                    names=["term", "kind", "n", "documents"],
+                    [pa.array(terms), pa.array(entities, pa.int64()), pa.array(kinds, pa.int32()), pa.array(counts.values(), pa.int64()), pa.array([documents[k] for k in counts], pa.int64())],
+                    names=["term", "entity", "kind", "n", "documents"],
                 )
 
-    near = texts.mapInArrow(contexts, "term string, kind int, n long, documents long")
-    near = shared_checkpoint(near.groupBy("term", "kind").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents")))
+    near = own.select("text").mapInArrow(contexts, "term string, entity long, kind int, n long, documents long")
+    near = shared_checkpoint(near.groupBy("term", "entity", "kind").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents")))
     wanted = near.where(F.col("documents") >= support)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +211,7 @@ def disclosing_terms(
     for row in wanted.select("term").coalesce(8).mapInArrow(fill, "bits binary").toLocalIterator():
         bits |= np.frombuffer(row["bits"], dtype=np.uint8)
     if not bits.any():  # no term has the support, so none can exceed the threshold
-        return spark.createDataFrame([], "term string, kind int, disclosure double, full boolean")
+        return spark.createDataFrame([], "term string, entity long, kind int, disclosure double, full boolean, documents long")
     sent = spark.sparkContext.broadcast(bits)
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,15 +239,15 @@ def disclosing_terms(
     counted = shared_checkpoint(counted)
     row = counted.where("term is null").select("total").first()
     words = max(1, row["total"] if row else 0)
-    # One row for each kind.
-    inside = {row["kind"]: row["n"] for row in near.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    information = F.lit(0.0)
-    for kind, n in inside.items():
-        information = F.when(F.col("kind") == kind, -math.log2(min(1.0, n / words)) if n else 0.0).otherwise(information)
-    scored = wanted.join(counted.where("term is not null"), "term").withColumn("information", information)
+    # A common word is near many entities and a common entity near many words: neither is one task's work.
+    rows = wanted.count()
+    by_term = counted.join(wanted.groupBy("term").agg(F.count("*").alias("rows")), "term")
+    by_entity = near.groupBy("entity").agg(F.sum("n").alias("inside"), F.count_if(F.col("documents") >= support).alias("rows"))
+    by_entity = by_entity.select("entity", (-F.log2(F.least(F.lit(1.0), F.col("inside") / words))).alias("information"), "rows")
+    scored = join_counted(join_counted(wanted, by_term, "term", "rows", rows), by_entity, "entity", "rows", rows)
     scored = scored.withColumn("disclosure", F.log2(F.least(F.lit(1.0), F.col("n") / F.col("total"))) + F.col("information"))
     scored = scored.where((F.col("disclosure") >= alpha * F.col("information")) & (F.col("information") > 0))
-    return shared_checkpoint(scored.select("term", "kind", "disclosure", (F.col("n") >= F.col("total")).alias("full")))
+    return shared_checkpoint(scored.select("term", "entity", "kind", "disclosure", (F.col("n") >= F.col("total")).alias("full"), "documents"))
 
 
 SPANS = T.StructType(
@@ -252,80 +275,68 @@ def sanitise(text: str, spans: list[tuple[int, int, int]], terms: dict[tuple[int
 
 
 def find_personal_data(
-    df: DataFrame, window: int | None = None, alpha: float = 0.9, support: int = 1, text: str = "text", carry: Iterable[str] = ("doc_id",), with_text: bool = True
+    df: DataFrame, window: int = WINDOW, alpha: float = 0.9, support: int = 1, text: str = "text", carry: Iterable[str] = ("doc_id",), with_text: bool = True
 ) -> DataFrame:
     """Add ``n_email``, ``n_ip``, ``n_card``, ``n_phone``, ``base_spans``, ``spans`` and ``sanitised`` to each row.
 
     Spans are written kind:start:end, by start and then kind as in :data:`KINDS` with ``term`` last, joined by commas;
-    offsets are code points, ends exclusive. ``sanitised`` is left out unless ``with_text``; of a null text it is null.
+    offsets are code points, ends exclusive. A term that discloses any entity fully is removed, else generalised to the first
+    kind that it discloses. ``sanitised`` is left out unless ``with_text``; of a null text it is null.
     Null and empty texts have no spans. One row for each input row, repeated rows included, which count as often
-    as they stand in the corpus. An empty table gives an empty one.
+    as they stand in the corpus. Carried columns of these names are replaced. An empty table gives an empty one.
     """
-    carry = list(carry)
-    terms = disclosing_terms(df, window, alpha, support, text)
-    if terms.count() > BROADCAST_TERMS:
-        return _joined(df, terms, window, text, carry, with_text)
-    listed = {(r["term"], r["kind"]): r["full"] for r in terms.collect()}
-    sent = df.sparkSession.sparkContext.broadcast(listed)
-    return add_columns(df, carry, [text], SPANS if with_text else T.StructType(SPANS.fields[:-1]), _marker(lambda: sent.value, window, with_text))
+    added = SPANS if with_text else T.StructType(SPANS.fields[:-1])
+    names = {f.name.lower() for f in added}
+    carry = [c for c in dict.fromkeys(carry) if c.lower() not in names]
+    own, others = entity_documents(df, text, carry)
+    terms = disclosing_terms(df, window, alpha, support, text, own=own)
 
-
-def _marker(known, window: int | None, with_text: bool):
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in in_parts(batch):
+                uids, found, entities = [], [], []
+                for uid, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    for term, entity in {(term, entity) for _, _, term, entity, _ in context_terms(value, base_spans(value), window)}:
+                        uids.append(uid)
+                        found.append(term)
+                        entities.append(entity)
+                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(found, pa.string()), pa.array(entities, pa.int64())], names=["uid", "term", "entity"])
+
+    # The rows of a pair are as many as the documents that have it.
+    rows = terms.agg(F.sum("documents")).first()[0] or 0
+    held = own.select("uid", "text").mapInArrow(entries, "uid long, term string, entity long")
+    chosen = join_counted(held, terms.select("term", "entity", "full", "documents"), ["term", "entity"], "documents", rows)
+    chosen = chosen.groupBy("uid").agg(F.collect_list(F.struct("term", "entity", "full")).alias("terms"))
+    named = [f"k{i}" for i in range(len(carry))]
+    marked = add_columns(own.join(chosen, "uid", "left"), named, ["text", "terms"], added, _marker(window, with_text))
+    plain = others.select(
+        *named, *[F.lit(0).cast("long").alias(f"n_{kind}") for kind in KINDS], F.lit("").alias("base_spans"), F.lit("").alias("spans"), *([F.col("text").alias("sanitised")] if with_text else [])
+    )
+    both = marked.unionByName(plain)
+    return both.select(*[F.col(k).alias(c) for k, c in zip(named, carry, strict=True)], *[f.name for f in added])
+
+
+def _marker(window: int, with_text: bool):
     def compute():
-        listed = known()
-
         def function(columns):
             counts: list[list[int]] = [[] for _ in KINDS]
             base, every, clean = [], [], []
-            own_terms = columns[1].to_pylist() if len(columns) > 1 else None
-            for i, value in enumerate(columns[0].to_pylist()):
-                spans = base_spans(value) if value else []
+            for value, own in zip(columns[0].to_pylist(), columns[1].to_pylist(), strict=True):
+                spans = base_spans(value)
+                known = {(t["term"], t["entity"]): t["full"] for t in own or ()}
                 terms: dict[tuple[int, int], str] = {}
-                if spans:
-                    own = listed if own_terms is None else {(t["term"], t["kind"]): t["full"] for t in own_terms[i] or ()}
-                    for a, b, term, kind in context_terms(value, spans, window):
-                        full = own.get((term, kind))
-                        if full is not None:
-                            terms[a, b] = "" if full else f"[{KINDS[kind].upper()} CONTEXT]"
+                for a, b, term, entity, kind in sorted(context_terms(value, spans, window), key=lambda t: (t[0], t[4])) if known else ():
+                    full = known.get((term, entity))
+                    if full is not None:
+                        terms[a, b] = "" if full or terms.get((a, b)) == "" else terms.get((a, b), f"[{KINDS[kind].upper()} CONTEXT]")
                 for kind, column in enumerate(counts):
                     column.append(sum(k == kind for _, k, _ in spans))
                 base.append(written(spans))
                 every.append(written([*spans, *((a, 4, b) for a, b in terms)]))
                 if with_text:
-                    clean.append(value if not spans else sanitise(value, spans, terms))
+                    clean.append(sanitise(value, spans, terms))
             return [*counts, base, every, clean] if with_text else [*counts, base, every]
 
         return function
 
     return compute
-
-
-def _joined(df: DataFrame, terms: DataFrame, window: int | None, text: str, carry: list[str], with_text: bool) -> DataFrame:
-    """For more terms than are broadcast: a document's context terms are joined with the list.
-
-    Documents with an entity are numbered by a hash of their columns; equal documents get equal terms anyway.
-    """
-    import xxhash
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for value in batch.column(0).to_pylist():
-                spans = base_spans(value) if value else []
-                key = xxhash.xxh3_128_digest(value.encode("utf-8", "surrogatepass")) if spans else b""
-                rows += {(key, term, kind) for _, _, term, kind in context_terms(value, spans, window)} if spans else ()
-            if rows:
-                keys, names, kinds = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(names), pa.array(kinds, pa.int32())], names=["key", "term", "kind"])
-
-    def keyed():
-        def function(columns):
-            return [[xxhash.xxh3_128_digest(v.encode("utf-8", "surrogatepass")) if v and base_spans(v) else None for v in columns[0].to_pylist()]]
-
-        return function
-
-    near = df.select(F.col(f"`{text}`").alias("text")).mapInArrow(entries, "key binary, term string, kind int").distinct()
-    own = near.join(terms.select("term", "kind", "full"), ["term", "kind"]).groupBy("key").agg(F.collect_list(F.struct("term", "kind", "full")).alias("own_terms"))
-    marked = add_columns(df, dict.fromkeys([*carry, text]), [text], T.StructType([T.StructField("pii_key", T.BinaryType())]), keyed)
-    marked = marked.join(own.withColumnRenamed("key", "pii_key"), "pii_key", "left").withColumnRenamed("own_terms", "pii_terms")
-    return add_columns(marked, carry, [text, "pii_terms"], SPANS if with_text else T.StructType(SPANS.fields[:-1]), _marker(dict, window, with_text))
