@@ -199,21 +199,22 @@ def link_prints(prints: DataFrame, radius: int, most: int = SHARD_PRINTS) -> Dat
 def near_duplicates(
     df: DataFrame, radius: int = 3, text: str = "text", doc_id: str = "doc_id", carry: Iterable[str] | None = None
 ) -> DataFrame:
-    """``carry`` columns (the id alone, if None), ``fingerprint`` (16 lowercase hex digits) and ``component_id``.
+    """``carry`` columns (the id alone, if None), ``fingerprint`` (16 lowercase hex digits), ``component_id`` and ``group_print``.
 
     ``component_id`` is the least id that links of fingerprints reach, the document's own included; ids that are null
-    don't count, and a group of null ids alone has a null one. One row for each input row, repeated rows and
+    don't count, and a group of null ids alone has a null one. ``group_print`` is the group's least fingerprint, which names it
+    even where ids repeat. One row for each input row, repeated rows and
     ids included. Null, empty and blank texts have fingerprint zero and are linked like any other.
     """
     carry = list(dict.fromkeys([doc_id, *(carry or [])]))
-    marked = shared_checkpoint(add_fingerprints(df, text, [c for c in carry if c.lower() != "component_id"]))
+    marked = shared_checkpoint(add_fingerprints(df, text, [c for c in carry if c.lower() not in ("component_id", "group_print")]))
     prints = shared_checkpoint(marked.groupBy("fingerprint").agg(F.min(doc_id).alias("least"), F.count("*").alias("copies")))
     groups = connected_components(link_prints(prints.select("fingerprint"), radius))
     groups = prints.join(groups.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     groups = shared_checkpoint(groups.select("fingerprint", "least", "copies", F.coalesce("component", "fingerprint").alias("component")))
     least = groups.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     total = groups.agg(F.count("*").alias("n"), F.sum("copies").alias("rows")).first()
-    named = join_counted(groups, least, "component", "n", total["n"]).select("fingerprint", "component_id", "copies")
+    named = join_counted(groups, least, "component", "n", total["n"]).select("fingerprint", "component_id", F.col("component").alias("group_print"), "copies")
     hexed = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
     joined = join_counted(marked, named, "fingerprint", "copies", total["rows"] or 0)
-    return joined.select(*[c for c in marked.columns if c != "fingerprint"], hexed.alias("fingerprint"), "component_id")
+    return joined.select(*[c for c in marked.columns if c != "fingerprint"], hexed.alias("fingerprint"), "component_id", "group_print")

@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 pytest.importorskip("public_tokenizers")
@@ -54,6 +55,35 @@ def test_stages(spark, folder):
     assert sorted(r["decoded_sha256"] for r in encoded) == sorted(hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in mixed)
 
 
+def test_stages_take_empty_tables_and_other_columns(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+    clashing = ["score", "fingerprint", "spans", "uid", "times", "epoch", "ids", "copies", "block", "k0", "row"]
+    more = docs.select("*", *[F.lit("own").alias(c) for c in clashing])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, folder)
+        assert out.columns == more.columns, name
+        assert out.where(" or ".join(f"{c} <> 'own'" for c in clashing if c not in ("score", "fingerprint", "spans"))).count() == 0, name
+
+
+def test_ids_that_repeat_in_two_groups_stay_in_both(spark):
+    texts = ["one two three four five six seven", "completely other words that share nothing with it at all"]
+    rows = [(1, texts[0], "en", "s", 1), (1, texts[1], "en", "s", 1), (2, texts[0], "en", "s", 1), (3, texts[1], "en", "s", 1), (None, "a third text of its own", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted((str(a), b) for a, b, *_ in (rows[0], rows[1], rows[4]))
+
+
+def test_equal_rows_are_mixed_as_often_as_they_are_taken(spark):
+    docs = spark.createDataFrame([(1, "a b c", "en", "s", 5)] * 4 + [(2, "d e", "en", "t", 3)] * 3, "doc_id long, text string, lang string, source string, n_chars long")
+    from panelforge.llm import mixing
+
+    taken = mixing.mix(docs)[0].collect()
+    expected = sum(-(-r["taken"] // r["size"]) for r in taken)
+    assert corpus_pipeline.mix_sources(spark, docs, "").count() == expected
+
+
 def test_run_gives_the_same_rows(spark, folder):
     rows = [sorted(map(str, corpus_pipeline.run(spark, folder).collect())) for _ in range(2)]
     assert rows[0] == rows[1] and rows[0]
