@@ -24,18 +24,25 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.classify_documents(docs, net, carry=docs.columns).where("predicted = 1").select(docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Each whole ``row``, with what stages read of it and keys by which equal rows meet; other columns may have any name."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    own_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    return docs.select(F.struct(*columns).alias("row"), "doc_id", "text", "source", F.xxhash64(*columns).alias("row_key"), own_id.alias("id_key"))
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup: of each group the document with the least id stays.
 
     Of several rows with that id, or of a group whose ids are all null, one stays: the first by the hash of its columns.
+    An id that repeats in several groups stays in each.
     """
-    marked = docs.withColumn("row_key", F.xxhash64(*docs.columns)).withColumn("id_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
-    groups = simhash.near_duplicates(marked, carry=["row_key", "id_key"]).where("doc_id <=> component_id")
-    # A group is named by its least id, or by its fingerprint where it has none.
-    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("none "), "fingerprint"))
-    first = groups.groupBy(name.alias("name")).agg(F.min(F.struct("id_key", "row_key")).alias("first")).select("first.id_key", "first.row_key")
+    marked = keyed(docs)
+    groups = simhash.near_duplicates(marked, carry=["row_key", "id_key"])
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "id_key", "row_key")).alias("first")
+    first = groups.groupBy("group_print").agg(least).select("first.id_key", "first.row_key")
     # Rows that are equal in all columns have one key; the join's partitioning serves to keep one of them.
-    return marked.join(first, ["id_key", "row_key"], "left_semi").dropDuplicates(["id_key", "row_key"]).select(docs.columns)
+    return marked.join(first, ["id_key", "row_key"], "left_semi").dropDuplicates(["id_key", "row_key"]).select("row.*")
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +53,16 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: a document stands once for each epoch in which the mix takes words of it, whole."""
-    taken, _ = mixing.mix(docs.withColumn("row_key", F.xxhash64(*docs.columns)), doc_id="row_key")
-    times = taken.where("taken > 0").groupBy("doc_id").agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).alias("times"), F.count("*").alias("rows"))
-    times = times.select(F.col("doc_id").alias("row_key"), F.ceil(F.col("times") / F.col("rows")).cast("int").alias("times"))
-    marked = docs.withColumn("row_key", F.xxhash64(*docs.columns)).join(times, "row_key")
-    return marked.withColumn("epoch", F.explode(F.sequence(F.lit(1), "times"))).select(docs.columns)
+    """Mixing: a document stands once for each epoch in which the mix takes words of it, whole.
+
+    Rows that are equal in all columns stand together as often as the mix takes words of any of them.
+    """
+    marked = keyed(docs)
+    taken, _ = mixing.mix(marked, doc_id="row_key")
+    times = taken.where("taken > 0").groupBy(F.col("doc_id").alias("row_key")).agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("times"))
+    # The join's partitioning serves to keep one of equal rows.
+    chosen = marked.join(times, "row_key").dropDuplicates(["row_key"])
+    return chosen.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,15 +86,22 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``. Stages are written to the folder that executors share."""
+    """All stages over ``documents``. Stages are written to the folder that executors share.
+
+    Null and empty texts are documents like any other, but the mix takes none that has no word. Columns beyond those of
+    ``documents`` are carried by all stages but the last. An empty table gives an empty one.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import atexit
+        import shutil
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="pipeline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     own = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):
         path = f"{own}/{number}"
