@@ -47,6 +47,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
+def shuffle_order(doc_id: Column, text: Column, seed: int) -> Column:
+    """60 bits of the MD5 of the id and the text, by which a source's documents are shuffled."""
+    key = F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("none")), F.lit("|"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def cyclic_weights(source_rank: Column) -> Column:
     """1, 2, 3 and again, by the place of a source."""
     return (F.pmod(source_rank - 1, F.lit(3)) + 1).cast("double")
@@ -95,7 +101,7 @@ def mix(
         F.col(f"`{doc_id}`").alias("doc_id"),
         F.col(f"`{source}`").alias("source"),
         word_count(F.col(f"`{text}`")).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("order"),
+        shuffle_order(F.col(f"`{doc_id}`"), F.col(f"`{text}`"), seed).alias("order"),
     )
     key = F.when(F.col("source").isNull(), F.lit("none")).otherwise(F.concat(F.lit("is "), F.col("source").cast("string")))
     docs = shared_checkpoint(docs.withColumn("key", key))

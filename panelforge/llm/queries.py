@@ -82,6 +82,40 @@ def oracle_sql() -> dict[str, str]:
 
 
 ORACLES = {
+    # Targets by the rising level; of its shuffled stream a source gives whole epochs and then the words up to its target.
+    "op4_mixing": r"""
+        WITH docs AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                CAST('0x' || substr(md5('5|' || coalesce(CAST(doc_id AS VARCHAR), 'none') || '|' || coalesce(text, '')), 1, 15) AS BIGINT) AS ord
+            FROM documents),
+        sizes AS (SELECT source, sum(size) AS source_size FROM docs GROUP BY source),
+        weighed AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0 AS most FROM sizes),
+        levels AS (
+            SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+                / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            FROM weighed),
+        plan AS (
+            SELECT source, CAST(source_size AS BIGINT) AS source_size, least(most, weight * max(CASE WHEN level * weight <= most THEN level END) OVER ()) AS target FROM levels),
+        takes AS (SELECT *, CAST(round(target) AS BIGINT) // nullif(source_size, 0) AS epochs, CAST(round(target) AS BIGINT) AS take FROM plan),
+        placed AS (
+            SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ord % greatest(512, (SELECT (count(*) + 999999) // 1000000 FROM docs)), ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+            FROM docs)
+        SELECT p.doc_id, p.size, t.source_size, t.target,
+            CAST(CASE WHEN p.size = 0 THEN 0 ELSE t.epochs * p.size + greatest(0, least(p.size, t.take - t.epochs * t.source_size - p.at)) END AS BIGINT) AS taken
+        FROM placed p JOIN takes t ON t.source IS NOT DISTINCT FROM p.source""",
+    # All pairs, and all that links reach. The operator finds a pair right at the threshold with a probability just under 1.
+    "op9_vectors": """
+        WITH RECURSIVE usable AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS MATERIALIZED (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.9),
+        reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+        least AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+        counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT e.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, least(e.vec_id, coalesce(l.m, e.vec_id)) AS component_id, e.vec_id <= coalesce(l.m, e.vec_id) AS kept
+        FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN least l ON l.a = e.vec_id""",
     # Brute force over all pairs of a query and a candidate.
     "op5_topk": """
         WITH usable AS (
