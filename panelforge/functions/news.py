@@ -18,27 +18,44 @@ def field(item: Column, *names: str) -> Column:
     return F.try_variant_get(item, "$." + ".".join(names), "string")
 
 
-def news_time(value: Column) -> Column:
-    """Text as it is, without white space at its ends; epoch seconds as UTC; else NULL."""
-    kind = F.schema_of_variant(value)
-    text = strip(F.try_variant_get(value, "$", "string"))
-    seconds = F.try_variant_get(value, "$", "double")
+#: Where items of both shapes keep each text.
+TEXTS = {
+    "_title": ("title",),
+    "_content_title": ("content", "title"),
+    "_publisher": ("publisher",),
+    "_provider": ("content", "provider", "displayName"),
+    "_link": ("link",),
+    "_canonical": ("content", "canonicalUrl", "url"),
+    "_click": ("content", "clickThroughUrl", "url"),
+}
+
+
+def news_time(kind: Column, text: Column, seconds: Column) -> Column:
+    """From the schema, text and number of a variant: text as it is, without white space at its ends; epoch seconds as UTC; else NULL."""
+    text = strip(text)
     utc = F.when(seconds.between(-62_135_596_800, 253_402_300_799), F.concat(iso_seconds(F.timestamp_seconds(F.floor(seconds))), F.lit("+00:00")))
     numeric = kind.rlike("^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|DOUBLE|FLOAT)")
     return F.when(kind == "STRING", F.when(text != "", text)).when(numeric, utc)
 
 
-def news_fields(item: Column) -> Column:
-    """Struct of title, publisher, link and timestamp. Empty text and 0 count as missing."""
-    published = F.try_variant_get(item, "$.providerPublishTime", "variant")
-    text = F.try_variant_get(published, "$", "string")
-    given = F.when(F.coalesce(~text.isin("", "0", "0.0", "false"), F.lit(False)), published)
-    moment = F.coalesce(given, F.try_variant_get(item, "$.content.pubDate", "variant"))
-    return F.struct(
-        first_given(field(item, "title"), field(item, "content", "title")).alias("title"),
-        first_given(field(item, "publisher"), field(item, "content", "provider", "displayName")).alias("publisher"),
-        first_given(field(item, "link"), field(item, "content", "canonicalUrl", "url"), field(item, "content", "clickThroughUrl", "url")).alias("link"),
-        news_time(moment).alias("timestamp"),
+def news_fields(objects: DataFrame, carry: list[str], item: str = "item") -> DataFrame:
+    """``carry``, title, publisher, link and timestamp. Empty text and 0 count as missing.
+
+    Each value is read from the variant once, into a column of its own that the optimizer doesn't repeat.
+    """
+    value = F.col(item)
+    texts = [field(value, *path).alias(name) for name, path in TEXTS.items()]
+    times = [F.try_variant_get(value, path, "variant").alias(name) for name, path in (("_published", "$.providerPublishTime"), ("_date", "$.content.pubDate"))]
+    read = objects.select(*carry, *texts, *times).withColumn("_given", F.try_variant_get("_published", "$", "string"))
+    given = F.coalesce(~F.col("_given").isin("", "0", "0.0", "false"), F.lit(False))
+    moment = read.withColumn("_moment", F.coalesce(F.when(given, F.col("_published")), F.col("_date")))
+    parts = {"_kind": F.schema_of_variant("_moment"), "_text": F.try_variant_get("_moment", "$", "string"), "_seconds": F.try_variant_get("_moment", "$", "double")}
+    return moment.withColumns(parts).select(
+        *carry,
+        first_given(F.col("_title"), F.col("_content_title")).alias("title"),
+        first_given(F.col("_publisher"), F.col("_provider")).alias("publisher"),
+        first_given(F.col("_link"), F.col("_canonical"), F.col("_click")).alias("link"),
+        news_time(F.col("_kind"), F.col("_text"), F.col("_seconds")).alias("timestamp"),
     )
 
 
@@ -51,7 +68,7 @@ def normalise_news(df: DataFrame, raw: str = "raw", carry: list[str] | None = No
     parsed = df.select(*carry, F.try_variant_get(F.try_parse_json(F.col(raw)), "$", "array<variant>").alias("items"))
     items = parsed.select(*carry, F.posexplode("items").alias("position", "item"))
     objects = items.where(F.schema_of_variant("item").startswith("OBJECT"))
-    return objects.select(*carry, "position", news_fields(F.col("item")).alias("f")).select(*carry, "position", "f.*")
+    return news_fields(objects, [*carry, "position"])
 
 
 def headlines(news: DataFrame, key: str) -> DataFrame:
