@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, langid, lm, mixing, pii, quality, simhash, topk, vectors
+from . import bpe, clusters, html, langid, lm, mixing, negatives, pii, quality, secret, simhash, topk, vectors
 from .common import is_fold, not_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,25 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = secret.find_secrets(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_text=False)
+    counts = [f"n_{kind}" for kind in secret.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    relabelled = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(relabelled, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Query]:
     return {name: function for name, function in globals().items() if name.startswith("op") and callable(function)}
 
@@ -81,6 +100,28 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
+def clustering_sql(k: int = 40, rounds: int = 5) -> str:
+    """The statement of op12: each round's assignments and centroids are tables of their own."""
+    steps = [
+        """WITH kept AS (
+            SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM kept QUALIFY c < {k})",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+            SELECT n, any_value(vec_id) AS vec_id, any_value(v) AS v, min((d, c)) AS best
+            FROM (SELECT k.n, k.vec_id, k.v, c.c, list_inner_product(k.v, k.v) - 2 * list_inner_product(k.v, c.v) + list_inner_product(c.v, c.v) AS d FROM kept k CROSS JOIN c{i} c) GROUP BY n)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (SELECT c, j, floor(sum(x) / count(*)) AS x FROM (SELECT best[2] AS c, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{i}) GROUP BY c, j)""")
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+            SELECT o.c, coalesce(m.v, o.v) AS v FROM c{i} o LEFT JOIN (SELECT c, list(x ORDER BY j) AS v FROM m{i} GROUP BY c) m ON m.c = o.c)""")
+    return ",\n        ".join(steps) + f"""
+        SELECT a.vec_id, CAST(best[2] AS INTEGER) AS cluster, CAST(best[1] AS BIGINT) AS distance, CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia,
+            CAST(sum(best[1]) OVER () AS BIGINT) AS inertia, sha256(list_aggregate(list_transform(f.v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), 'string_agg', ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN c{rounds} f ON f.c = best[2]"""
+
+
 ORACLES = {
     # Targets by the rising level; of its shuffled stream a source gives whole epochs and then the words up to its target.
     "op4_mixing": r"""
@@ -116,6 +157,25 @@ ORACLES = {
         counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
         SELECT e.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, least(e.vec_id, coalesce(l.m, e.vec_id)) AS component_id, e.vec_id <= coalesce(l.m, e.vec_id) AS kept
         FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN least l ON l.a = e.vec_id""",
+    # Every round over all pairs of a vector and a centroid.
+    "op12_clusters": clustering_sql(),
+    # Brute force over all pairs of an anchor and another row.
+    "op13_negatives": """
+        WITH usable AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        anchors AS (SELECT DISTINCT vec_id, label, v FROM usable WHERE vec_id % 100 = 0),
+        pairs AS MATERIALIZED (
+            SELECT a.vec_id AS anchor_id, a.v AS anchor, o.vec_id, o.label = a.label AS same, CAST(list_inner_product(a.v, o.v) AS BIGINT) AS score
+            FROM anchors a JOIN usable o ON o.vec_id <> a.vec_id AND len(o.v) = len(a.v)),
+        positives AS (
+            SELECT *, row_number() OVER (PARTITION BY anchor_id, anchor ORDER BY score DESC, vec_id) AS n FROM pairs WHERE same QUALIFY n <= 5),
+        ranked AS (
+            SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.anchor, p.n ORDER BY o.score DESC, o.vec_id) AS INTEGER) AS rank,
+                o.vec_id AS negative_id, p.score AS positive_score, o.score AS negative_score
+            FROM positives p JOIN pairs o ON o.anchor_id = p.anchor_id AND o.anchor = p.anchor AND NOT o.same AND 80 * p.score <= 100 * o.score AND 100 * o.score <= 100 * p.score)
+        SELECT * FROM ranked WHERE rank <= 5""",
     # Brute force over all pairs of a query and a candidate.
     "op5_topk": """
         WITH usable AS (
