@@ -38,6 +38,12 @@ CACHE_BYTES = 64_000_000
 GROUP_BYTES = 2_000_000
 #: Token pairs whose compatibility a worker remembers.
 CACHE_PAIRS = 1_500_000
+#: Patterns under which a blank with no white space beside it always begins a piece.
+BLANK_BEGINS = (
+    r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s",
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+)
 
 
 class Vocabulary:
@@ -124,16 +130,16 @@ class PieceEncoder:
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
         self.vocabulary = vocabulary
-        self.data = b""
+        self.data = bytearray()
         self.last: list[int] = []
         self.size: list[int] = []
         self.append(data)
 
     def append(self, data: bytes) -> None:
         """Add bytes at the end; what is stored for earlier prefixes stays valid."""
-        text = self.data + data
-        extend(self.vocabulary, text, len(self.data), self.last, self.size)
-        self.data = text
+        start = len(self.data)
+        self.data += data
+        extend(self.vocabulary, self.data, start, self.last, self.size)
 
     def splice(self, start: int, end: int, data: bytes) -> int:
         """Replace bytes ``start`` to ``end``. Returns how many prefixes were computed anew.
@@ -230,15 +236,17 @@ def _pack(ids: list[int]) -> bytes:
 class Encoder:
     """Text to ids and back.
 
-    A blank with no white space beside it always begins a piece, so what lies between two such blanks is
-    encoded on its own, blank included, and remembered (``segments``), as are pieces.
+    Under a pattern of :data:`BLANK_BEGINS`, what lies between two blanks that begin pieces is encoded on its own, blank
+    included, and remembered (``segments``), as are pieces. Under any other pattern a text is split whole.
     """
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         import regex
 
         self.vocabulary = vocabulary
-        self.find = regex.compile(pattern).findall
+        matches = regex.compile(pattern).finditer
+        self.find = lambda text: [m.group() for m in matches(text)]  # whole matches, also of a pattern with groups
+        self.cuts = pattern in BLANK_BEGINS
         self.pieces: dict[str, bytes] = {}
         self.segments: dict[str, bytes] = {}
         self.held = 0  # bytes of both
@@ -257,6 +265,8 @@ class Encoder:
             known.clear()
             pieces.clear()
             self.held = 0
+        if not self.cuts:
+            return [self._chunk(text) for text in texts]
         split = [text.split(" ") for text in texts]
         new = {s for segments in split for s in segments[1:] if s not in known}
         new = {s: self.find(" " + s) for s in new if not _touches_space(s)}
