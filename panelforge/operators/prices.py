@@ -1,17 +1,19 @@
-"""Price panels: normalisation, windows, coverage, and as-of look-ups over a day spine.
+"""Price panels: normalisation, windows, coverage, and as-of look-ups in packed series.
 
 A panel has ``symbol``, ``session_date`` and ``adjusted_close``, one row for each symbol and session.
 
-As-of look-ups don't sort probes with prices, which would put all probes of a symbol into one task. Instead each
-price row is spread over the days up to the symbol's next one (:class:`Market`). A look-up is then one equality join
-on symbol and day, whatever the number of probes.
+As-of look-ups don't sort probes with prices, which would put all probes of a symbol into one task, nor do they join each price
+that a probe needs. A :class:`Market` keeps one row for each symbol: its sessions in order as arrays, and for each day how many of
+them there are up to it. All prices, betas and extremes that a probe needs of a symbol are then read from the arrays by number, after
+one equality join on the symbol.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from panelforge.functions import scalars
+from panelforge.sources.shared import stored
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -100,67 +102,124 @@ def after_day(ts: Column) -> Column:
 
 
 def beyond(df: DataFrame) -> tuple:
-    """A day before the first and a day after the last session, between which all look-ups are moved."""
-    row = df.agg(F.date_sub(F.min("session_date"), 1).alias("low"), F.date_add(F.max("session_date"), 1).alias("high")).first()
-    return row["low"], row["high"]
+    """A day before the first and a day after the last session, between which all look-ups are moved, and how many symbols there are."""
+    row = df.agg(F.date_sub(F.min("session_date"), 1).alias("low"), F.date_add(F.max("session_date"), 1).alias("high"), F.countDistinct("symbol").alias("n")).first()
+    return row["low"], row["high"], row["n"]
 
 
-def spread(rows: DataFrame, keys: list[str], high) -> DataFrame:
-    """Each row once for every ``day`` from its session to the day before the next one of its keys, the last up to ``high``."""
-    order = Window.partitionBy(*keys).orderBy("session_date")
-    last = F.coalesce(F.date_sub(F.lead("session_date").over(order), 1), F.lit(high))
-    return rows.withColumn("_last", last).withColumn("day", F.explode(F.sequence("session_date", "_last"))).drop("_last")
+class Series:
+    """The packed series of one symbol as columns, and what is read from it; NULL where there is nothing.
+
+    A place is the number of a day from :meth:`Market.place`; sessions are numbered from 0.
+    """
+
+    def __init__(self, dates: Column, prices: Column, betas: Column, lows: Column, highs: Column, upto: Column):
+        self.dates, self.prices, self.betas, self.lows, self.highs, self.upto = dates, prices, betas, lows, highs, upto
+
+    def sessions_before(self, place: Column) -> Column:
+        """How many sessions there are strictly before the day."""
+        return F.when(place.isNotNull(), F.coalesce(F.get(self.upto, place - 1), F.lit(0)))
+
+    def on_or_after(self, place: Column) -> Column:
+        return F.get(self.prices, self.sessions_before(place))
+
+    def on_or_before(self, place: Column) -> Column:
+        return F.get(self.prices, F.get(self.upto, place) - 1)
+
+    def on(self, place: Column) -> Column:
+        return F.when(F.get(self.upto, place) > self.sessions_before(place), self.on_or_before(place))
+
+    def beta_before(self, place: Column) -> Column:
+        """The beta of the last joint session strictly before the day."""
+        return F.get(self.betas, self.sessions_before(place) - 1)
+
+    def ahead(self, place: Column, horizon: Column) -> Column:
+        """The day of the so many-th session strictly after the day."""
+        return F.get(self.dates, F.get(self.upto, place) + horizon - 1)
+
+    def extremes(self, start: Column, end: Column) -> tuple[Column, Column, Column]:
+        """First, lowest and highest price from one day to another, both included: two look-ups, however many sessions lie between."""
+        first, last = self.sessions_before(start), F.get(self.upto, end) - 1
+        good = (start <= end) & (first <= last)
+        level = F.length(F.bin(last - first + 1)) - 1  # of the longest run that is kept and fits
+        second = last - F.call_function("shiftleft", F.lit(1), level) + 1
+        of = lambda table, better: F.when(good, better(F.get(F.get(table, level), first), F.get(F.get(table, level), second)))
+        return F.when(good, F.get(self.prices, first)), of(self.lows, F.least), of(self.highs, F.greatest)
 
 
 class Market:
-    """A panel with what look-ups need of it, made once and kept: the day spine and the benchmark's calendar.
+    """A panel with what look-ups need of it, made once and kept.
 
-    The spine has for each symbol and ``day`` the prices ``p_after`` (first from the day on) and ``p_before`` (last up to it)
-    and ``beta_before``, the beta of the last joint session strictly before the day. All tables here grow with symbols
-    and days alone, not with signals. They are cached, and computed again from the panel if an executor is lost.
+    ``series`` has a row for each symbol: ``dates`` and ``prices`` of its sessions, ``betas`` (of the last session up to each that the
+    benchmark shares), ``lows`` and ``highs`` (for each k the extremes of the 2**k sessions from each on) and ``upto`` (for each
+    day from ``low`` to ``high`` the number of sessions up to it). ``sessions`` and ``calendar`` are the benchmark's calendar as tables.
+    All of these grow with symbols and days alone, not with signals. The series are written to the shared folder, and all is cached, so
+    a lost executor costs a read. The series are broadcast while they are at most :data:`SENT` bytes; else look-ups shuffle by symbol.
     """
 
+    #: Bytes of all series that a join may broadcast.
+    SENT = 64_000_000
+
     def __init__(self, panel: DataFrame, benchmark: str, lookback: int = 120):
         from .returns import rolling_betas
 
         self.benchmark = benchmark
         self.panel = panel.select("symbol", "session_date", "adjusted_close").persist()
-        self.low, self.high = beyond(self.panel)
+        self.low, self.high, symbols = beyond(self.panel)
         self.calendar = session_calendar(self.panel, benchmark).persist()
+        self.n_days = (self.high - self.low).days + 1 if self.low else 0
         betas = rolling_betas(self.panel, benchmark, lookback).select("symbol", "session_date", F.struct("beta").alias("joint"))
-        first = self.panel.select("symbol").distinct().select("symbol", F.lit(self.low).cast("date").alias("session_date"), F.lit(None).cast("double").alias("adjusted_close"))
-        rows = self.panel.unionByName(first).join(betas, ["symbol", "session_date"], "left")
+        rows = self.panel.where("adjusted_close is not null").join(betas, ["symbol", "session_date"], "left")
         order = Window.partitionBy("symbol").orderBy("session_date")
-        so_far = F.last("joint", ignorenulls=True)
-        rows = rows.select(
-            "symbol", "session_date", F.col("adjusted_close").alias("p"), F.lead("adjusted_close").over(order).alias("p_next"),
-            so_far.over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("here"), so_far.over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
-        )
-        on_session = F.col("day") == F.col("session_date")
-        self.spine = (
-            spread(rows, ["symbol"], self.high)
-            .select(
-                "symbol", "day", F.when(on_session & F.col("p").isNotNull(), F.col("p")).otherwise(F.col("p_next")).alias("p_after"), F.col("p").alias("p_before"),
-                F.when(on_session, F.col("earlier.beta")).otherwise(F.col("here.beta")).alias("beta_before"),
-            )
-            .persist()
-        )
+        so_far = F.last("joint", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.select("symbol", "session_date", F.col("adjusted_close").alias("p"), so_far["beta"].alias("beta"), F.col("adjusted_close").alias("low0"), F.col("adjusted_close").alias("high0"))
+        # Twice as long a run from a session on is that run and the one that follows it.
+        levels = max(1, self.n_days.bit_length())
+        for k in range(levels - 1):
+            later = lambda name, k=k: F.lead(f"{name}{k}", 1 << k).over(order)
+            rows = rows.select("*", F.least(f"low{k}", later("low")).alias(f"low{k + 1}"), F.greatest(f"high{k}", later("high")).alias(f"high{k + 1}"))
+        held = F.sort_array(F.collect_list(F.struct("session_date", *[c for c in rows.columns if c not in ("symbol", "session_date")])))
+        packed = rows.groupBy("symbol").agg(held.alias("held"))
+        every = lambda name: F.transform("held", lambda x: x[name])
+        following = F.transform("held", lambda x, i: F.date_diff(F.coalesce(F.get("held", i + 1)["session_date"], F.date_add(F.lit(self.high), 1)), x["session_date"]))
+        before = F.array_repeat(F.lit(0), F.date_diff(F.get("held", F.lit(0))["session_date"], F.lit(self.low)))
+        upto = F.concat(before, F.flatten(F.transform(following, lambda n, i: F.array_repeat(i + 1, n))))
+        table = lambda name: F.array(*[every(f"{name}{k}") for k in range(levels)])
+        series = packed.select("symbol", every("session_date").alias("dates"), every("p").alias("prices"), every("beta").alias("betas"), table("low").alias("lows"), table("high").alias("highs"), upto.alias("upto"))
+        # Written, so that the plans of look-ups do not repeat how they were made.
+        self.series = stored(series, "series").persist()
+        self.sent = (symbols or 0) * self.n_days * (24 + 16 * levels) <= self.SENT
         start = self.calendar.sparkSession.createDataFrame([(self.low, 0)], "session_date date, ord int")
         self.sessions = spread(self.calendar.unionByName(start), [], self.high).select("day", F.col("ord").alias("n_le")).persist()
 
     def release(self) -> None:
-        for kept in (self.panel, self.calendar, self.spine, self.sessions):
+        for kept in (self.panel, self.calendar, self.series, self.sessions):
             kept.unpersist()
 
-    def look_up(self, probes: DataFrame, symbol: str, day: str, **columns: str) -> DataFrame:
-        """Add columns of the spine at ``symbol`` and ``day``: ``name="p_after"``; NULL where there is none."""
-        inside = F.when(F.col(day).isNotNull(), F.greatest(F.least(F.col(day), F.lit(self.high)), F.lit(self.low)))
-        spine = self.spine.select(F.col("symbol").alias("_s"), F.col("day").alias("_d"), *[F.col(c).alias(name) for name, c in columns.items()])
-        return probes.join(spine, (F.col(symbol) == F.col("_s")) & (inside == F.col("_d")), "left").drop("_s", "_d")
+    def place(self, day: Column) -> Column:
+        """The number of a day, moved into the calendar; NULL of NULL."""
+        return F.when(day.isNotNull(), F.date_diff(F.greatest(F.least(day, F.lit(self.high)), F.lit(self.low)), F.lit(self.low)))
+
+    def own(self) -> Series:
+        """The benchmark's series: one row, read once by each query as scalars, as long as the calendar."""
+        row = self.series.where(F.col("symbol") == self.benchmark)
+        return Series(*[row.select(c).scalar() for c in ("dates", "prices", "betas", "lows", "highs", "upto")])
+
+    def read(self, probes: DataFrame, symbol: str, columns: Callable[[Series], dict[str, Column]]) -> DataFrame:
+        """``probes`` with the ``columns`` that are made of the series of ``symbol``; of a symbol without one all are NULL."""
+        names = ("dates", "prices", "betas", "lows", "highs", "upto")
+        series = self.series.select(F.col("symbol").alias("_s"), *[F.col(c).alias(f"_{c}") for c in names])
+        joined = probes.join(F.broadcast(series) if self.sent else series, F.col(f"`{symbol}`") == F.col("_s"), "left")
+        made = columns(Series(*[F.col(f"_{c}") for c in names]))
+        return joined.select(*[F.col(f"`{c}`") for c in probes.columns if c not in made], *[c.alias(name) for name, c in made.items()])
 
     def horizon_end(self, keys: DataFrame, created: str = "created_day", horizon: str = "horizon_days") -> DataFrame:
         """Add ``horizon_end``: the so many-th session strictly after the day; NULL if the calendar ends before."""
-        inside = F.when(F.col(created).isNotNull(), F.greatest(F.least(F.col(created), F.lit(self.high)), F.lit(self.low)))
-        placed = keys.join(self.sessions.withColumnRenamed("day", "_d"), inside == F.col("_d"), "left").withColumn("_ord", F.col("n_le") + F.col(horizon))
-        ends = self.calendar.select(F.col("ord").alias("_o"), F.col("session_date").alias("horizon_end"))
-        return placed.join(ends, F.col("_ord") == F.col("_o"), "left").drop("_ord", "_o", "_d", "n_le")
+        return keys.withColumn("horizon_end", self.own().ahead(self.place(F.col(created)), F.col(horizon)))
+
+
+def spread(rows: DataFrame, keys: list[str], high) -> DataFrame:
+    """Each row once for every ``day`` from its session to the day before the next one of its keys, the last up to ``high``."""
+    order = Window.partitionBy(*keys).orderBy("session_date")
+    last = F.coalesce(F.date_sub(F.lead("session_date").over(order), 1), F.lit(high))
+    return rows.withColumn("_last", last).withColumn("day", F.explode(F.sequence("session_date", "_last"))).drop("_last")

@@ -6,6 +6,8 @@ than signals, so look-ups run over the keys and signals take the results by one
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from panelforge.functions import scalars
 from panelforge.operators import prices
 from pyspark.sql import Column, DataFrame
@@ -23,9 +25,12 @@ def raw_returns(keys: DataFrame, market: prices.Market, symbol: str, start: str,
 
     The two prices are found independently, so a span without a session gives a backward return.
     """
-    found = market.look_up(keys, symbol, start, _p_start="p_after")
-    found = market.look_up(found, symbol, end, _p_end="p_before")
-    return found.withColumn(out, scalars.ratio_less_one(F.col("_p_end"), F.col("_p_start"))).drop("_p_start", "_p_end")
+    first, last = market.place(F.col(start)), market.place(F.col(end))
+    return market.read(keys, symbol, lambda own: {out: moved(own, first, last)})
+
+
+def moved(own: prices.Series, first: Column, last: Column) -> Column:
+    return scalars.ratio_less_one(own.on_or_before(last), own.on_or_after(first))
 
 
 def rolling_betas(panel: DataFrame, benchmark: str, lookback: int = LOOKBACK) -> DataFrame:
@@ -56,18 +61,31 @@ def combined(ret: Column, beta: Column, market: Column, sector: Column, weight:
     return F.when(sector.isNull(), beta_adjusted(ret, beta, market)).otherwise(ret - (1 - weight) * beta * market - weight * sector)
 
 
-def abnormal_returns(keys: DataFrame, market: prices.Market, ticker: str = "ticker", proxy: str = "sector_proxy", start: str = "start_day", end: str = "end_day") -> DataFrame:
-    """Add the abnormal-return record to each key.
+def abnormal_returns(
+    keys: DataFrame,
+    market: prices.Market,
+    ticker: str = "ticker",
+    proxy: str = "sector_proxy",
+    start: str = "start_day",
+    end: str = "end_day",
+    more: Callable[[prices.Series], dict[str, Column]] | None = None,
+) -> DataFrame:
+    """Add the abnormal-return record to each key, and what ``more`` reads of the ticker's series.
 
     Without a ticker return only the market's is given; without a market return only the ticker's. The beta is that of the
     last joint session before ``start``, so no later price counts; a missing one is 1 and flagged.
-    ``data_quality_flag`` is 'ok' or the flags joined by commas.
+    ``data_quality_flag`` is 'ok' or the flags joined by commas. Prices are joined twice: the ticker's and the proxy's; the market's
+    are scalars.
     """
-    found = market.look_up(keys, ticker, start, _p_start="p_after", beta_estimate="beta_before")
-    found = market.look_up(found, ticker, end, _p_end="p_before")
-    found = found.withColumn("raw_return", scalars.ratio_less_one(F.col("_p_end"), F.col("_p_start"))).drop("_p_start", "_p_end")
-    found = raw_returns(found.withColumn("_market", F.lit(market.benchmark)), market, "_market", start, end, "market_return").drop("_market")
-    found = raw_returns(found, market, proxy, start, end, "_sector")
+    first, last = market.place(F.col(start)), market.place(F.col(end))
+    found = market.read(keys, ticker, lambda own: {"raw_return": moved(own, first, last), "beta_estimate": own.beta_before(first)} | (more(own) if more else {}))
+    found = market.read(found, proxy, lambda own: {"_sector": moved(own, first, last)})
+    found = found.withColumn("market_return", moved(market.own(), first, last))
+    return record(found, proxy)
+
+
+def record(found: DataFrame, proxy: str = "sector_proxy") -> DataFrame:
+    """The abnormal-return record from ``raw_return``, ``market_return``, ``_sector`` and ``beta_estimate``."""
     raw, market_return, sector = F.col("raw_return"), F.col("market_return"), F.col("sector_return")
     good = raw.isNotNull() & market_return.isNotNull()
     beta = F.when(good, F.coalesce("beta_estimate", F.lit(1.0)))
@@ -89,12 +107,16 @@ def calculation_method(raw: Column, market: Column, sector: Column) -> Column:
     return F.when(raw.isNull() | market.isNull(), METHODS[0]).when(sector.isNotNull(), METHODS[1]).otherwise(METHODS[2])
 
 
+def moves_within(own: prices.Series, start: Column, end: Column) -> dict[str, Column]:
+    """``max_drawdown`` and ``max_runup`` against the first price from one place to another; NULL without a session there."""
+    first, low, high = own.extremes(start, end)
+    return {"max_drawdown": scalars.ratio_less_one(low, first), "max_runup": scalars.ratio_less_one(high, first)}
+
+
 def drawdown_runup(keys: DataFrame, market: prices.Market, symbol: str = "ticker", start: str = "start_day", end: str = "end_day") -> DataFrame:
-    """Add ``max_drawdown`` and ``max_runup`` against the first price in the window; NULL without a session in it."""
-    days = keys.select(symbol, start, end).distinct().where(f"`{start}` <= `{end}`")
-    days = days.withColumn("_day", F.explode(F.sequence(start, end)))
-    held = market.panel.select(F.col("symbol").alias(symbol), F.col("session_date").alias("_day"), "adjusted_close")
-    ranges = days.join(held, [symbol, "_day"]).groupBy(symbol, start, end)
-    ranges = ranges.agg(F.min("adjusted_close").alias("_low"), F.max("adjusted_close").alias("_high"), F.min_by("adjusted_close", "_day").alias("_first"))
-    moves = ranges.select(symbol, start, end, scalars.ratio_less_one(F.col("_low"), F.col("_first")).alias("max_drawdown"), scalars.ratio_less_one(F.col("_high"), F.col("_first")).alias("max_runup"))
-    return keys.join(moves, [symbol, start, end], "left")
+    """Add ``max_drawdown`` and ``max_runup`` against the first price in the window; NULL without a session in it.
+
+    A window is two look-ups in the tables of extremes, so no row is made for its sessions. A window that begins after the
+    last session, or ends before the first, has none.
+    """
+    return market.read(keys, symbol, lambda own: moves_within(own, market.place(F.col(start)), market.place(F.col(end))))

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from panelforge.functions import news, pretrade, rules, scalars
 from panelforge.operators import extras, metrics, prices, returns, snapshot
 from panelforge.sources import journal, store
+from panelforge.sources.shared import fresh_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +73,12 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.universe_cohort(adapter.nations(spark, sf_dir).drop("n_nationkey"), dates, adapter.market(spark, sf_dir))
 
 
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The partials of the cohort's base rates on all dates of the signals."""
+    dates = adapter.signals(spark, sf_dir).select("created_at", "horizon_days")
+    return pipeline.cohort_counts(adapter.nations(spark, sf_dir).drop("n_nationkey"), dates, adapter.market(spark, sf_dir))
+
+
 # Panels
 
 
@@ -128,13 +135,15 @@ def j6_horizon_end(spark, sf_dir):
 
 @query(Q.WITH_KEYS + Q.ASOF_AFTER)
 def j4_asof_on_after(spark, sf_dir):
-    found = adapter.market(spark, sf_dir).look_up(keys(spark, sf_dir), "ticker", "start_day", price="p_after")
+    market = adapter.market(spark, sf_dir)
+    found = market.read(keys(spark, sf_dir), "ticker", lambda own: {"price": own.on_or_after(market.place(F.col("start_day")))})
     return rounded(found.select("ticker", "created_day", "price").distinct())
 
 
 @query(Q.WITH_KEYS + Q.ASOF_BEFORE)
 def j5_asof_on_before(spark, sf_dir):
-    found = adapter.market(spark, sf_dir).look_up(keys(spark, sf_dir), "ticker", "end_day", price="p_before")
+    market = adapter.market(spark, sf_dir)
+    found = market.read(keys(spark, sf_dir), "ticker", lambda own: {"price": own.on_or_before(market.place(F.col("end_day")))})
     return rounded(found.select("ticker", "end_day", "price").distinct())
 
 
@@ -296,12 +305,12 @@ def q4_universe_cohort(spark, sf_dir):
 
 @query(Q.WITH_GROUPS + "SELECT horizon_days, classification, round(base_rate, 6) AS base_rate FROM base")
 def j11_base_rate(spark, sf_dir):
-    return rounded(metrics.base_rates(metrics.matured(evaluated(spark, sf_dir)), cohort(spark, sf_dir)))
+    return rounded(metrics.base_rates(metrics.matured(evaluated(spark, sf_dir)), counts(spark, sf_dir)))
 
 
 @query(Q.WITH_GROUPS + Q.GROUPS)
 def a5_group_metrics(spark, sf_dir):
-    return rounded(metrics.group_metrics(evaluated(spark, sf_dir), cohort(spark, sf_dir)))
+    return rounded(metrics.group_metrics(evaluated(spark, sf_dir), counts(spark, sf_dir)))
 
 
 @query(Q.WITH_OUTCOMES + Q.SUMMARY)
@@ -326,13 +335,13 @@ def p19_flagged_tickers(spark, sf_dir):
 
 @query(Q.WITH_GROUPS + Q.CHART)
 def p17_p18_excess_chart(spark, sf_dir):
-    groups = metrics.group_metrics(evaluated(spark, sf_dir), cohort(spark, sf_dir)).where("excess_trade_hit_rate is not null")
+    groups = metrics.group_metrics(evaluated(spark, sf_dir), counts(spark, sf_dir)).where("excess_trade_hit_rate is not null")
     return rounded(groups.select("horizon_days", "classification", (F.col("excess_trade_hit_rate") * 100).alias("excess_hit_rate_pct"), scalars.percent(F.col("trade_hit_rate")).alias("label")))
 
 
 @query(Q.WITH_GROUPS + Q.FIRST_GROUP)
 def p15_first_group(spark, sf_dir):
-    groups = metrics.group_metrics(evaluated(spark, sf_dir), cohort(spark, sf_dir))
+    groups = metrics.group_metrics(evaluated(spark, sf_dir), counts(spark, sf_dir))
     return rounded(groups.where("classification = 'Avoid Chase'").orderBy("horizon_days").limit(1).select("horizon_days", "avoided_bad_trade_rate"))
 
 
@@ -588,17 +597,13 @@ def p14_typed_records(spark, sf_dir):
 @query(Q.WITH_KEYS + "SELECT s.id, k.end_day AS horizon_end, k.end_day IS NOT NULL AS is_matured FROM signals s LEFT JOIN keys k USING (ticker, created_day, horizon_days)")
 def stream_matured_signals(spark, sf_dir):
     """Orders as a stream, each signal with its maturity, written by one run of the stream."""
-    import tempfile
-    import uuid
-
     from panelforge.streaming.maturity import matured_stream, run_once
 
     schema = adapter.table(spark, sf_dir, "orders").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
     market = adapter.market(spark, sf_dir)
     matured = matured_stream(adapter.signals_of(spark, sf_dir, stream).select("id", "created_at", "horizon_days"), market.calendar, market.sessions)
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    return run_once(matured.select("id", "horizon_end", "is_matured"), f"{folder}/stream-{uuid.uuid4().hex}")
+    return run_once(matured.select("id", "horizon_end", "is_matured"), fresh_path(spark, "stream"))
 
 
 @query(Q.MATURITY_STREAM)
