@@ -10,8 +10,9 @@ import uuid
 from collections.abc import Callable
 
 from panelforge.llm import bpe, mixing, pii, quality, simhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,11 +25,28 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.classify_documents(docs, net, carry=docs.columns).where("predicted = 1").select(docs.columns)
 
 
+def written(column: Column, kind: T.DataType) -> Column:
+    """Text that differs wherever the values differ; null of a null."""
+    if isinstance(kind, T.BinaryType):
+        return F.hex(column)
+    if isinstance(kind, T.ArrayType):
+        return F.to_json(F.transform(column, lambda x: written(x, kind.elementType)))
+    if isinstance(kind, T.StructType):
+        return F.when(column.isNotNull(), F.to_json(F.array(*[written(column.getField(f.name), f.dataType) for f in kind])))
+    if isinstance(kind, T.MapType):
+        return written(F.array_sort(F.map_entries(column)), T.ArrayType(T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])))
+    return column.cast("string")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """Each whole ``row``, with what stages read of it and keys by which equal rows meet; other columns may have any name."""
+    """Each whole ``row``, with what stages read of it and keys by which equal rows meet; other columns may have any name.
+
+    ``row_key`` is the SHA-256 of all columns as a JSON array, where a null is told from every value and from a null of another column.
+    """
     columns = [F.col(f"`{c}`") for c in docs.columns]
+    texts = [written(column, field.dataType) for column, field in zip(columns, docs.schema, strict=True)]
     own_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
-    return docs.select(F.struct(*columns).alias("row"), "doc_id", "text", "source", F.xxhash64(*columns).alias("row_key"), own_id.alias("id_key"))
+    return docs.select(F.struct(*columns).alias("row"), "doc_id", "text", "source", F.sha2(F.to_json(F.array(*texts)), 256).alias("row_key"), own_id.alias("id_key"))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
