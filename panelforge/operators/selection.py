@@ -53,7 +53,7 @@ def medians(rows: DataFrame, keys: Sequence[str], value: str, out: str = "median
     counted = stored(plain.groupBy(*named, "v").agg(F.count("*").alias("n")), "values")
     ahead = Window.partitionBy(*[f"_{n}" for n in named]).orderBy("part")
     held = counted.where("v is not null")
-    state = held.groupBy(*named).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("total"))
+    state = held.groupBy(*named).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("total")).where("total is not null")
     # The ranks, from 0, of the one or two values in the middle, of those in the range.
     state = state.select(*named, "low", "high", F.floor((F.col("total") - 1) / 2).alias("first"), F.floor(F.col("total") / 2).alias("second"), F.lit(None).cast("double").alias("found"))
     state = stored(_ended(state), "ranges")

@@ -606,6 +606,23 @@ def stream_matured_signals(spark, sf_dir):
     return run_once(matured.select("id", "horizon_end", "is_matured"), fresh_path(spark, "stream"))
 
 
+@query(Q.WITH_OUTCOMES + "SELECT id, status, horizon_end FROM outcomes")
+def stream_tracked_maturity(spark, sf_dir):
+    """Orders and line items as two streams: signals wait in state for the sessions that end their horizons."""
+    from panelforge.streaming import maturity, tracker
+
+    def stream(name):
+        return spark.readStream.schema(adapter.table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+    signals = adapter.signals_of(spark, sf_dir, stream("orders")).select("id", "created_at", "horizon_days")
+    with tracker.state_in_rocksdb(spark):
+        matured = maturity.run_once(tracker.track(signals, stream("lineitem").select(F.col("l_shipdate").alias("session_date"))), fresh_path(spark, "tracked"))
+    priced = adapter.market(spark, sf_dir).series.select(F.col("symbol").alias("ticker"), F.lit(True).alias("priced"))
+    found = adapter.signals(spark, sf_dir).select("id", "ticker").join(matured, "id", "left").join(priced, "ticker", "left")
+    status = F.when(F.col("priced").isNull(), "missing_prices").when(F.col("horizon_end").isNull(), "insufficient_calendar").otherwise("matured")
+    return found.select("id", status.alias("status"), "horizon_end")
+
+
 @query(Q.MATURITY_STREAM)
 def stream_maturity(spark, sf_dir):
     from panelforge.streaming.maturity import maturity_counts
