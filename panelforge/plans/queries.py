@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from panelforge.functions import news, pretrade, rules, scalars
 from panelforge.operators import extras, metrics, prices, returns, snapshot
-from panelforge.sources import journal, store
+from panelforge.sources import journal, log, results, store
 from panelforge.sources.shared import fresh_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -289,6 +289,17 @@ def s13_latest_outcome_upsert(spark, sf_dir):
     return store.latest_outcomes(batches)
 
 
+@query(Q.UPSERT)
+def s13_outcome_log(spark, sf_dir):
+    """The same batches through the log: upserts one by one, compacted on the way, and read back."""
+    lines = adapter.table(spark, sf_dir, "lineitem")
+    rows = lines.groupBy(F.col("l_orderkey").alias("signal_id"), "l_linenumber").agg(F.min("l_discount").alias("forward_return"), F.min(F.col("l_returnflag") == "R").alias("hit"))
+    own = log.LatestLog(spark, fresh_path(spark, "log"), "signal_id bigint, forward_return double, hit boolean", "signal_id", buckets=8, batches=3)
+    for number in range(1, 8):  # an order has seven lines at most
+        own.append(rows.where(F.col("l_linenumber") == number))
+    return own.read()
+
+
 @query(Q.WITH_OUTCOMES + Q.PROVENANCE)
 def j14_provenance(spark, sf_dir):
     market = adapter.market(spark, sf_dir)
@@ -313,6 +324,18 @@ def a5_group_metrics(spark, sf_dir):
     return rounded(metrics.group_metrics(evaluated(spark, sf_dir), counts(spark, sf_dir)))
 
 
+@query(Q.WITH_OUTCOMES + "SELECT 'all' AS run_id, id, ticker, horizon_days, classification, status, horizon_end, round(forward_return, 6) AS forward_return, round(far, 6) AS forward_abnormal_return, trade_hit FROM outcomes")
+def v17_stored_outcomes(spark, sf_dir):
+    """Outcomes written by run and horizon, some horizons twice, and read again."""
+    tables = results.ResultTables(spark, fresh_path(spark, "results"))
+    own = evaluated(spark, sf_dir)
+    tables.write("outcomes", "all", own)
+    tables.write("outcomes", "other", own.where("horizon_days = 1"))
+    tables.write("outcomes", "all", own.where("horizon_days in (1, 5)"))
+    columns = ["run_id", "id", "ticker", "horizon_days", "classification", "status", "horizon_end", "forward_return", "forward_abnormal_return", "trade_hit"]
+    return rounded(tables.read("outcomes", "all").select(columns))
+
+
 @query(Q.WITH_OUTCOMES + Q.SUMMARY)
 def a6_summary_metrics(spark, sf_dir):
     return rounded(metrics.summary_metrics(evaluated(spark, sf_dir)))

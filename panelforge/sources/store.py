@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from panelforge.functions import rules, scalars
+from panelforge.sources import log
+from panelforge.sources.shared import hadoop_path, stored
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -87,42 +89,42 @@ def provenance(records: DataFrame, metadata: DataFrame, source: str, adjustment:
 
 
 class SignalStore:
-    """Both tables under one folder. Files are only added; a read takes the latest outcome of each signal."""
+    """Both tables under one folder. Snapshots are only added; outcomes are a log of which the latest row of each signal counts."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, batches: int = log.BATCHES):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        path = f"{self.path}/{name}"
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.option("mergeSchema", True).parquet(path)
+        self.log = log.LatestLog(spark, f"{self.path}/signal_outcomes", OUTCOMES, "signal_id", batches=batches)
 
     def snapshots(self) -> DataFrame:
-        return with_schema(self._read("signal_snapshots", SNAPSHOTS), SNAPSHOTS)
+        path = f"{self.path}/signal_snapshots"
+        folder, files = hadoop_path(self.spark, path)
+        if not files.exists(folder):
+            return self.spark.createDataFrame([], SNAPSHOTS)
+        return with_schema(self.spark.read.option("mergeSchema", True).parquet(path), SNAPSHOTS)
 
     def outcomes(self) -> DataFrame:
-        raw = self._read("signal_outcomes", OUTCOMES + ", batch_seq bigint")
-        return with_schema(latest_outcomes(with_schema(raw, OUTCOMES + ", batch_seq bigint")), OUTCOMES)
+        return self.log.read()
 
     def insert(self, signals: DataFrame) -> None:
         """Append signals; ids go on from the highest one, in the order of time and ticker.
 
-        Numbering counts each creation day first and numbers within it, so a large batch is not one task's.
+        Rows are dealt out by ranges of that order, however many one day has, and numbered by what ranges before their own hold and
+        their place in it; rows that are equal in all of the order may stand in any. The ranges are written first, as numbers must not change
+        if a task runs again. Numbers go on from what was read, so inserts come one after another.
         """
         start = self.snapshots().agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).first()["n"]
-        rows = canonical_snapshots(signals.drop("id")).withColumn("_day", F.to_date("created_at"))
-        days = rows.groupBy("_day").agg(F.count("*").alias("_n"))
-        days = days.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(F.col("_day").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-        order = [F.col(c) for c in ("created_at", "ticker", "horizon_days", "classification", "score", "price_at_creation")]
-        numbered = rows.withColumn("_row", F.row_number().over(Window.partitionBy("_day").orderBy(*order)))
-        numbered = numbered.join(days.withColumnRenamed("_day", "_d"), F.col("_day").eqNullSafe(F.col("_d")))
+        order = ["created_at", "ticker", "horizon_days", "classification", "score", "price_at_creation"]
+        rows = with_schema(canonical_snapshots(signals.drop("id")), SNAPSHOTS)
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        ranged = stored(rows.withColumn("_tie", F.rand()).repartitionByRange(parts, *order, "_tie").withColumn("_part", F.spark_partition_id()), "ranged")
+        sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+        # One row for each range.
+        sizes = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        place = F.row_number().over(Window.partitionBy("_part").orderBy(*order, "_tie"))
+        numbered = ranged.withColumn("_row", place).join(F.broadcast(sizes), F.col("_part") == F.col("_p"))
         numbered = numbered.withColumn("id", F.lit(start) + F.col("_before") + F.col("_row"))
         with_schema(numbered, SNAPSHOTS).write.mode("append").parquet(f"{self.path}/signal_snapshots")
 
     def upsert(self, outcomes: DataFrame) -> None:
         """Replace whole outcome rows: a later batch wins."""
-        last = self._read("signal_outcomes", OUTCOMES + ", batch_seq bigint").agg(F.max("batch_seq")).first()[0]
-        batch = with_schema(outcomes, OUTCOMES).withColumn("batch_seq", F.lit((last or 0) + 1).cast("bigint"))
-        batch.write.mode("append").parquet(f"{self.path}/signal_outcomes")
+        self.log.append(with_schema(outcomes, OUTCOMES))
