@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from panelforge.operators import metrics, prices
 from panelforge.plans import pipeline, report
-from panelforge.sources import feeds, store
+from panelforge.sources import clients, feeds, store
 from panelforge.sources.providers import get_price_provider
 
 
@@ -72,3 +72,54 @@ def test_signals_without_a_ticker_or_time_stay(spark):
     assert done == {1: "matured", 2: "missing_prices", 3: "insufficient_calendar", 4: "missing_prices", 5: "matured"}
     release = market.release()
     assert release is None
+
+
+@pytest.fixture
+def seen(spark, tmp_path):
+    environment = spark.sparkContext.environment
+    environment["SEEN"] = os.environ["SEEN"] = str(tmp_path)
+    yield tmp_path
+    del os.environ["SEEN"]
+    environment.pop("SEEN")
+
+
+def test_only_wanted_symbols_and_days_are_fetched(spark, seen):
+    panel = feeds.read_sessions(spark, "feed_functions:seen", ["a", "b", "c", "d", "e"], "2026-01-01", "2026-12-31", partitions=2, first_wait=0.01)
+    own = panel.where("symbol in ('A', 'C', 'E') and session_date >= '2026-03-02' and session_date < '2026-03-05' and adjusted_close > 0")
+    rows = sorted(map(tuple, own.collect()))
+    assert rows == [(s, dt.date(2026, 3, d), d - 2.0) for s in "ACE" for d in (3, 4)]
+    assert {f.name for f in seen.iterdir()} == {f"{s} 2026-03-02 2026-03-05" for s in "ACE"}
+    assert panel.rdd.getNumPartitions() == 2
+    assert panel.where("symbol = 'Z'").count() == 0 and panel.where("session_date > '2027-01-01'").count() == 0
+
+
+def test_clients_are_asked_once_and_again_after_errors(spark, seen):
+    rows = [(i, f"text {i % 6}") for i in range(40)] + [(90, "never this"), (91, None)]
+    df = spark.createDataFrame(rows, "id int, prompt string").repartition(5)
+    cache = str(seen / "cache" / "answers")
+    (seen / "cache").mkdir()
+    ask = lambda: {r["id"]: (r["answer"], r["error"]) for r in clients.ask(df, "feed_functions:flaky", cache=cache, tasks=3, first_wait=0.01).collect()}
+    first = ask()
+    assert len(first) == len(rows) and all(first[i] == (f"TEXT {i % 6}", None) for i in range(40))
+    assert first[90] == (None, "ValueError: no answer") and first[91] == (None, None)
+    calls = lambda: sum(f.is_file() for f in seen.iterdir())
+    assert calls() == 13  # each text twice, and the one that fails for good once
+    assert ask() == first and calls() == 14
+    assert clients.ask(df.limit(0), "feed_functions:flaky").count() == 0
+
+
+def test_pace_and_retry():
+    now, slept = [0.0], []
+
+    def sleep(seconds):
+        slept.append(seconds)
+        now[0] += seconds
+
+    pace = clients.Pace(4.0, clock=lambda: now[0], sleep=sleep)
+    for _ in range(5):
+        pace.wait()
+    assert now[0] == pytest.approx(1.0)
+    slept.clear()
+    with pytest.raises(OSError):
+        clients.with_retry(lambda: (_ for _ in ()).throw(OSError("down")), 4, 1.0, sleep=sleep)
+    assert len(slept) == 3 and 0.75 <= slept[0] <= 1.25 and 3 <= slept[2] <= 5
