@@ -83,10 +83,36 @@ def missing_symbols(panel: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(panel.select("symbol").distinct(), "symbol", "left_anti")
 
 
-def simple_returns(panel: DataFrame) -> DataFrame:
-    """``ret``: the change to the symbol's previous own session; a previous price of zero gives none."""
-    before = F.lag("adjusted_close").over(Window.partitionBy("symbol").orderBy("session_date"))
-    return panel.withColumn("ret", scalars.ratio_less_one(F.col("adjusted_close"), before))
+def simple_returns(panel: DataFrame, period: str | None = None) -> DataFrame:
+    """``ret``: the change to the symbol's previous own session; a previous price of zero gives none.
+
+    ``period`` is for series of so many rows that one symbol's are too many for a task (:func:`in_blocks`).
+    """
+    if period is None:
+        before = F.lag("adjusted_close").over(Window.partitionBy("symbol").orderBy("session_date"))
+        return panel.withColumn("ret", scalars.ratio_less_one(F.col("adjusted_close"), before))
+    before = F.lag("adjusted_close").over(Window.partitionBy("symbol", "_block").orderBy("_number"))
+    blocks = in_blocks(panel, ["symbol"], "session_date", 1, period)
+    return blocks.withColumn("ret", scalars.ratio_less_one(F.col("adjusted_close"), before)).where("_own").select(*panel.columns, "ret")
+
+
+def in_blocks(rows: DataFrame, keys: list[str], time: str, reach: int, period: str, size: int = 4096) -> DataFrame:
+    """``rows`` in blocks of ``size`` consecutive rows of their keys, each with the ``reach`` rows before it: for windows over long series.
+
+    A series of many rows, such as minute bars, is then no one task's sort: rows are numbered within a ``period`` (a unit of
+    date_trunc that has few of them) after the counts of earlier periods, and windows run by ``_block`` in the order of ``_number``. ``_own`` says
+    that a row is of the block itself; the others serve its first windows and are left out of the result. ``reach`` is at most ``size``.
+    """
+    placed = rows.withColumn("_period", F.date_trunc(period, F.col(time)))
+    sizes = placed.groupBy(*keys, "_period").agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_period").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(*keys, "_period", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_period").orderBy(time)) - 1
+    numbered = placed.withColumn("_within", within).join(sizes, [*keys, "_period"]).withColumn("_number", F.col("_before") + F.col("_within")).drop("_within", "_before", "_period")
+    block = F.expr(f"_number div {size}")
+    serves = F.col("_number") % size >= size - reach
+    blocks = F.explode(F.when(serves, F.array(block, block + 1)).otherwise(F.array(block)))
+    return numbered.withColumn("_block", blocks).withColumn("_own", F.col("_block") == block)
 
 
 def session_calendar(panel: DataFrame, benchmark: str) -> DataFrame:

@@ -33,19 +33,27 @@ def moved(own: prices.Series, first: Column, last: Column) -> Column:
     return scalars.ratio_less_one(own.on_or_before(last), own.on_or_after(first))
 
 
-def rolling_betas(panel: DataFrame, benchmark: str, lookback: int = LOOKBACK) -> DataFrame:
+def rolling_betas(panel: DataFrame, benchmark: str, lookback: int = LOOKBACK, period: str | None = None) -> DataFrame:
     """``beta`` of each symbol over its last ``lookback`` sessions that the benchmark shares, up to the session itself.
 
-    NULL with fewer than min(lookback, 30) joint returns or a constant benchmark.
+    NULL with fewer than min(lookback, 30) joint returns or a constant benchmark. A window's moments are taken about its own
+    means. With ``period`` (a unit of date_trunc, for long series such as minute bars) a symbol's windows run block by block, each block
+    with the rows that its first windows reach back to; the figures are the same.
     """
-    returns = prices.simple_returns(panel).where("ret is not null")
+    returns = prices.simple_returns(panel, period).where("ret is not null")
     market = returns.where(F.col("symbol") == benchmark).select("session_date", F.col("ret").alias("market_ret"))
     joint = returns.where(F.col("symbol") != benchmark).join(market, "session_date")
-    frame = Window.partitionBy("symbol").orderBy("session_date").rowsBetween(-(lookback - 1), 0)
+    if period is None:
+        order = Window.partitionBy("symbol").orderBy("session_date")
+    else:
+        joint = prices.in_blocks(joint, ["symbol"], "session_date", lookback - 1, period, max(4096, 4 * lookback))
+        order = Window.partitionBy("symbol", "_block").orderBy("_number")
+    frame = order.rowsBetween(-(lookback - 1), 0)
     variance = F.var_samp("market_ret").over(frame)
     enough = F.count("*").over(frame) >= min(lookback, FEWEST)
     beta = F.when(enough & (variance > 0), F.covar_samp("ret", "market_ret").over(frame) / variance)
-    return joint.select("symbol", "session_date", beta.alias("beta"), F.count("*").over(frame).alias("n_joint"))
+    made = joint.withColumn("beta", beta).withColumn("n_joint", F.count("*").over(frame))
+    return (made if period is None else made.where("_own")).select("symbol", "session_date", "beta", "n_joint")
 
 
 def beta_adjusted(ret: Column, beta: Column, market: Column) -> Column:

@@ -103,3 +103,23 @@ def test_medians_of_nan_no_keys_and_no_rows(spark):
     assert selection.medians(df.limit(0), ["k"], "v").count() == 0
     plan = selection.medians(df, ["k"], "v")._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "median" not in plan.replace("as median", "").replace("median#", "") and "percentile" not in plan
+
+
+def test_betas_of_minute_bars_by_blocks_equal_those_of_one_sort(spark):
+    rng = random.Random(11)
+    start, rows = dt.datetime(2026, 1, 1, 9, 30), []
+    for symbol, n in (("M", 9000), ("A", 9000), ("B", 40)):
+        price = 100.0
+        for i in range(n):
+            price *= 1 + rng.gauss(0, 0.001)
+            if symbol == "M" or rng.random() < 0.9:
+                rows.append((symbol, start + dt.timedelta(minutes=i), price))
+    panel = spark.createDataFrame(rows, "symbol string, session_date timestamp_ntz, adjusted_close double")
+    found = lambda **how: {(r["symbol"], r["session_date"]): (r["beta"], r["n_joint"]) for r in returns.rolling_betas(panel, "M", **how).collect()}
+    one, blocks = found(), found(period="hour")
+    assert set(one) == set(blocks) and len(one) > 7000
+    for key, (beta, n) in one.items():
+        assert blocks[key][1] == n and (blocks[key][0] is None) == (beta is None)
+        assert beta is None or round(blocks[key][0], 6) == round(beta, 6)
+    plan = returns.rolling_betas(panel, "M", period="hour")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_block" in plan
