@@ -9,10 +9,10 @@ A line's weight is the length of its text outside links.
 
 Then, over the lines, the weights of ``block`` lines in a row are summed. The article surges where a sum passes the
 threshold and dives where sums come to nothing; all lines from the last dive before a surge to the next one after it are
-kept, however short, and each surge of a page counts. The sums run over all lines of every page. A line inside an ``article``
-or ``main`` element weighs a share of the threshold more, so that ``block`` short lines there make a surge; lines outside keep
-their weight, and text that stands beside such an element is found as on any page. On a page without a surge the
-lines around the highest sum are kept.
+kept, however short, and each surge of a page counts. The sums run over all lines of every page. The edge of an ``article`` or ``main``
+element is a dive: what touches the article there does not join its run. A line inside weighs a share of the threshold more, so that
+``block`` short lines there make a surge; lines outside keep their weight, and text beside such an element is found as on any page if it has
+a surge of its own, of two lines at least where the page has one inside. On a page without a surge the lines around the highest sum are kept.
 
 Text that the browser would not show as the article's is dropped; nothing else is dropped or cut. A page is read once, from
 its beginning to its end, whatever is wrong with its tags.
@@ -234,6 +234,22 @@ def kept_lines(weights: np.ndarray, block: int, threshold: int) -> tuple[np.ndar
     return kept, surging
 
 
+def between_edges(weights: np.ndarray, inside: np.ndarray, block: int, threshold: int) -> np.ndarray | None:
+    """The lines that surges keep, where no run passes from the inside of an article to the outside; None if nothing surges."""
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    found = []
+    for start, end in zip([0, *edges], [*edges, len(weights)], strict=True):
+        kept, surging = kept_lines(weights[start:end], block, threshold)
+        if surging:
+            found.append((bool(inside[start]), start + np.flatnonzero(kept)))
+    if not found:
+        return None
+    # Beside an article a single line is a teaser or a notice.
+    article = any(main for main, _ in found)
+    kept = [rows for main, rows in found if main or not article or np.count_nonzero(weights[rows]) > 1]
+    return np.concatenate(kept)
+
+
 def main_text(html: str, block: int = BLOCK, threshold: int = THRESHOLD) -> str:
     """The kept lines of a page, joined by line feeds."""
     lines, suspects = page_lines(html)
@@ -246,10 +262,15 @@ def main_text(html: str, block: int = BLOCK, threshold: int = THRESHOLD) -> str:
     for number, (around, holds, _) in enumerate(suspects):
         out[number] = bool(number) and (out[around] or not holds)
 
+    inside = np.array([main for _, _, main, _ in lines], dtype=bool)
+
     def run() -> tuple[np.ndarray, bool]:
         good = np.flatnonzero(~out[own])
-        kept, surging = kept_lines(weights[good], block, threshold)
-        return good[kept], surging
+        runs = between_edges(weights[good], inside[good], block, threshold)
+        if runs is not None:
+            return good[runs], True
+        kept, _ = kept_lines(weights[good], block, threshold)
+        return good[kept], False
 
     chosen, surging = run()
     if not surging and out.any() and not any(lines[i][2] for i in chosen):

@@ -64,6 +64,16 @@ def test_bpe_edit_near_the_start_keeps_most_prefixes(encoder):
     assert own.splice(10, 11, b"x") < 400
 
 
+def test_bpe_splits_whole_texts_under_other_patterns():
+    ranks = {bytes([i]): i for i in range(256)} | {b"a ": 256, b"a b": 257, b" b": 258}
+    own = bpe.Encoder(bpe.Vocabulary(ranks), r"[\s\S]+")
+    assert own.encode("a b") == [257] and own.encode("xa bx") == [120, 257, 120] and own.encode("a  b") == [256, 258]
+    cut = bpe.Encoder(bpe.Vocabulary(ranks), public_tokenizers.PATTERN)
+    assert cut.encode("a b") == [97, 258]
+    grouped = bpe.Encoder(bpe.Vocabulary(ranks), r"(a)( b)|.")
+    assert grouped.encode("a bx") == [257, 120]
+
+
 def test_bpe_memory_is_bounded_by_bytes(encoder, monkeypatch):
     own = bpe.Encoder(encoder.vocabulary, public_tokenizers.PATTERN)
     monkeypatch.setattr(bpe, "CACHE_BYTES", 50_000)
@@ -493,6 +503,17 @@ def test_the_story_is_found(page):
     assert html.main_text(PAGE.format(main=page)) == STORY
 
 
+def test_furniture_that_touches_the_article_stays_out():
+    article = f"<article><h1>Head</h1><p>{PARAGRAPH}</p><p>Short.</p></article>"
+    own = "\n".join(["Head", PARAGRAPH, "Short."])
+    assert html.main_text(article + "<div>Copyright 2024 Example Media Ltd. All rights reserved worldwide.</div><p>Follow us now</p>") == own
+    teaser = "A teaser of ninety characters or so, which says what another page of the same site is about."
+    assert html.main_text(f"<div class='col-3'>{teaser}</div>{article}") == own
+    assert html.main_text(f"<div class='col-3'>{teaser}</div><div>x</div>{article}<p>Follow us now</p>") == "\n".join([teaser, "x", own])
+    # A body outside the element is no furniture.
+    assert html.main_text(f"{article}{FIVE}") == own + "\n" + "\n".join(STORY.split("\n")[1:])
+
+
 def test_names_with_other_words_say_nothing():
     names = ["side-by-side", "search-results", "reply-to-critics", "shareholders", "load"]
     page = "<article>" + "".join(f'<div class="{n}">{n} {PARAGRAPH}</div>' for n in names) + "<div class='cookieNotice'>no</div></article>"
