@@ -51,7 +51,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     models = langid.train(documents.where(not_fold(documents.doc_id, 4, 2)))
     found = langid.identify(documents, models)
-    return found.select("doc_id", is_fold(found.doc_id, 4, 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", is_fold(found.doc_id, 4, 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
