@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
+mixing = pytest.importorskip("panelforge.llm.mixing")
 pytest.importorskip("public_tokenizers")
 
 
@@ -87,3 +88,23 @@ def test_equal_rows_are_mixed_as_often_as_they_are_taken(spark):
 def test_run_gives_the_same_rows(spark, folder):
     rows = [sorted(map(str, corpus_pipeline.run(spark, folder).collect())) for _ in range(2)]
     assert rows[0] == rows[1] and rows[0]
+
+
+def test_rows_that_differ_in_where_a_null_stands_are_different_rows(spark, tmp_path):
+    text = "a b c d e"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, more array<string>, extra struct<a:int,b:binary>, spans map<string,int>"
+    rows = [
+        (1, text, "web", None, 9, ["x"], (1, b"1"), {"a": 1}), (1, text, None, "web", 9, ["x"], (1, b"1"), {"a": 1}), (1, text, None, "web", 9, ["x", None], (1, b"1"), {"a": 1}),
+        (1, text, None, "web", 9, ["x"], (None, b"1"), {"a": 1}), (1, text, None, "web", 9, ["x"], (1, b"1"), None), (1, text, None, "web", 9, None, None, {"a": None}),
+        (1, text, None, "null", 9, ["x"], (1, b"1"), {"a": 1}),
+    ]
+    docs = spark.createDataFrame([*rows, rows[0]], schema)
+    keys = [r["row_key"] for r in corpus_pipeline.keyed(docs).collect()]
+    assert len(set(keys)) == len(rows)
+    mixed = {repr(r) for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect()}
+    known = {r["row_key"]: repr(r["row"]) for r in corpus_pipeline.keyed(docs).collect()}
+    taken, _ = mixing.mix(corpus_pipeline.keyed(docs), doc_id="row_key")
+    assert mixed == {known[r["doc_id"]] for r in taken.where("taken > 0").collect()} and len(mixed) > 2
+    # The two rows of the same values, in different columns, from a source that is taken whole.
+    pair = spark.createDataFrame(rows[:2], schema)
+    assert len(corpus_pipeline.mix_sources(spark, pair, str(tmp_path)).select("lang", "source").distinct().collect()) == 2
