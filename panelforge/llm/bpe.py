@@ -49,9 +49,11 @@ BLANK_BEGINS = (
 class Vocabulary:
     """Ranks of byte strings with what the encoder derives from them."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], cache_pairs: int = CACHE_PAIRS):
         import ahocorasick
 
+        self.cache_pairs = cache_pairs
+
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the ranks lack {len(missing)} of the 256 single bytes")
@@ -76,10 +78,10 @@ class Vocabulary:
         self.pairs: dict[int, bool] = {}  # by left << 32 | right
 
     @classmethod
-    def parse(cls, data: bytes) -> Vocabulary:
+    def parse(cls, data: bytes, cache_pairs: int = CACHE_PAIRS) -> Vocabulary:
         """From the content of a file with lines of a base64 token, a blank and its rank."""
         lines = (line.split() for line in data.splitlines() if line.strip())
-        return cls({base64.b64decode(token): int(rank) for token, rank in lines})
+        return cls({base64.b64decode(token): int(rank) for token, rank in lines}, cache_pairs)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the joined bytes of two tokens gives the two tokens.
@@ -108,7 +110,7 @@ class Vocabulary:
                 until, left = left, of_left[1]
             else:
                 break
-        if len(self.pairs) >= CACHE_PAIRS:
+        if len(self.pairs) >= self.cache_pairs:
             self.pairs.clear()
         self.pairs[key] = good
         return good
@@ -240,9 +242,11 @@ class Encoder:
     included, and remembered (``segments``), as are pieces. Under any other pattern a text is split whole.
     """
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str):
+    def __init__(self, vocabulary: Vocabulary, pattern: str, cache_pieces: int | None = None, cache_bytes: int | None = None):
         import regex
 
+        self.cache_pieces, self.cache_bytes = cache_pieces, cache_bytes
+
         self.vocabulary = vocabulary
         matches = regex.compile(pattern).finditer
         self.find = lambda text: [m.group() for m in matches(text)]  # whole matches, also of a pattern with groups
@@ -257,11 +261,12 @@ class Encoder:
     def packed_many(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         known, pieces = self.segments, self.pieces
+        most = CACHE_PIECES if self.cache_pieces is None else self.cache_pieces
         for memory in (known, pieces):
-            if len(memory) > CACHE_PIECES:
-                for old in list(memory)[: len(memory) - CACHE_PIECES // 2]:  # the oldest go
+            if len(memory) > most:
+                for old in list(memory)[: len(memory) - most // 2]:  # the oldest go
                     self.held -= len(old) + len(memory.pop(old))
-        if self.held > CACHE_BYTES:
+        if self.held > (CACHE_BYTES if self.cache_bytes is None else self.cache_bytes):
             known.clear()
             pieces.clear()
             self.held = 0
@@ -322,14 +327,14 @@ class Encoder:
         return data
 
 
-_ENCODERS: dict[tuple[bytes, str], Encoder] = {}
+_ENCODERS: dict[tuple[bytes, str, float], Encoder] = {}
 
 
-def encoder(data: bytes, pattern: str) -> Encoder:
-    """The encoder of a rank file's content, made once in each Python process."""
-    key = (hashlib.sha256(data).digest(), pattern)
+def encoder(data: bytes, pattern: str, memory: float = 1.0) -> Encoder:
+    """The encoder of a rank file's content, made once in each Python process; ``memory`` is the share of what it may remember by default."""
+    key = (hashlib.sha256(data).digest(), pattern, memory)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(Vocabulary.parse(data), pattern)
+        _ENCODERS[key] = Encoder(Vocabulary.parse(data, int(CACHE_PAIRS * memory)), pattern, int(CACHE_PIECES * memory), int(CACHE_BYTES * memory))
     return _ENCODERS[key]
 
 
@@ -344,7 +349,7 @@ OUTPUT = T.StructType(
 
 
 def encode_documents(
-    df: DataFrame, ranks_path: str, pattern: str, text: str = "text", carry: Iterable[str] = ("doc_id",), with_ids: bool = True
+    df: DataFrame, ranks_path: str, pattern: str, text: str = "text", carry: Iterable[str] = ("doc_id",), with_ids: bool = True, memory: float = 1.0
 ) -> DataFrame:
     """Encode the column ``text`` and decode the ids again.
 
@@ -352,14 +357,15 @@ def encode_documents(
     ``ids_sha256`` and ``decoded_sha256`` (lowercase hex). One row for each input row, repeated rows included;
     an empty table gives an empty table. A null or empty text has no ids and the hashes of no bytes. Texts of
     any length are encoded whole, and memory grows with the longest piece rather than with the corpus.
-    The rank file, of a fixed size, is read on the driver and sent to the workers.
+    The rank file, of a fixed size, is read on the driver and sent to the workers. ``memory`` scales what a worker remembers between
+    texts, some 300 MB by default; it costs or saves time and changes no result.
     """
     with open(ranks_path, "rb") as file:
         ranks = df.sparkSession.sparkContext.broadcast(file.read())
     added = OUTPUT if with_ids else T.StructType(OUTPUT.fields[1:])
 
     def compute():
-        own = encoder(ranks.value, pattern)
+        own = encoder(ranks.value, pattern, memory)
 
         def function(columns):
             ids, counts, hashes, decoded = [], [], [], []

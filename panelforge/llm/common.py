@@ -10,7 +10,9 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import gc
 import os
+import sys
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -149,6 +151,18 @@ def in_parts(batch: pa.RecordBatch, most: int = PART_BYTES) -> Iterator[pa.Recor
         yield batch.slice(start, step)
 
 
+def give_back() -> None:
+    """Return memory that a task has freed to the system; workers serve later tasks and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        import ctypes
+
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+        if trim is not None:
+            trim(0)
+
+
 def add_columns(
     df: DataFrame,
     carry: Iterable[str],
@@ -185,7 +199,7 @@ def add_columns(
                 arrays = list(columns[:n_kept])
                 arrays += [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(results, out_types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=out_names)
-        pa.default_memory_pool().release_unused()  # workers serve later tasks and would keep it
+        give_back()
 
     return df.select(*wanted).mapInArrow(run, schema)
 
