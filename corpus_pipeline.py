@@ -88,7 +88,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, carry=["doc_id", "lang", "source"])
+    # The workers of other stages' tasks are there, too, so this one remembers less.
+    return bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, carry=["doc_id", "lang", "source"], memory=0.25)
 
 
 STAGES: list[tuple[str, Stage]] = [
