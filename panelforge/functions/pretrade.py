@@ -44,6 +44,8 @@ FLOORS = [
 ]
 SPREAD_NOTE = "Defined-risk spread into a binary event with high expectations; risk is capped but still event-dependent."
 LOSS_NOTE = "Max loss recorded; define the exit basis. The unit is not specified as % of portfolio, so no implied price move is computed."
+IMPLIED_MOVE = ["Your inputs imply roughly a ", "% adverse move on this position (max loss ", "% of portfolio / position ", "% of portfolio). This is pure arithmetic from your own numbers, not a recommended stop."]
+NO_ENTRY = ["Planned action is '", "' (not an entry); risk escalation suppressed."]
 NO_FLAGS = "No behavioral risk flags triggered by this heuristic check."
 
 
@@ -121,8 +123,7 @@ def implied_move() -> Column:
 
 def loss_reason(is_percent: Column) -> Column:
     text = F.concat(
-        F.lit("Your inputs imply roughly a "), fixed(implied_move(), 0), F.lit("% adverse move on this position (max loss "), shortest(F.col("max_loss")),
-        F.lit("% of portfolio / position "), shortest(F.col("position_size")), F.lit("% of portfolio). This is pure arithmetic from your own numbers, not a recommended stop."),
+        F.lit(IMPLIED_MOVE[0]), fixed(implied_move(), 0), F.lit(IMPLIED_MOVE[1]), shortest(F.col("max_loss")), F.lit(IMPLIED_MOVE[2]), shortest(F.col("position_size")), F.lit(IMPLIED_MOVE[3])
     )
     return F.when(F.col("max_loss") > 0, F.when(is_percent & (F.col("position_size") > 0), text).otherwise(LOSS_NOTE))
 
@@ -131,7 +132,7 @@ def reasons(flags: Column, is_percent: Column | None = None) -> Column:
     is_percent = F.lit(False) if is_percent is None else is_percent
     prompts = F.when(is_entry() & flags["no_invalidation_rule"], F.array(*map(F.lit, PROMPTS))).otherwise(F.array().cast("array<string>"))
     spread = F.col("instrument_type").isin(SPREADS) & F.col("event_type").isin(BINARY_EVENTS) & (F.col("market_expectation") == "high")
-    held_back = F.concat(F.lit("Planned action is '"), F.col("planned_action"), F.lit("' (not an entry); risk escalation suppressed."))
+    held_back = F.concat(F.lit(NO_ENTRY[0]), F.col("planned_action"), F.lit(NO_ENTRY[1]))
     listed = F.array_compact(
         F.array(*[F.when(flags[name], reason) for name, _, reason in FLOORS], F.when(spread, SPREAD_NOTE), loss_reason(is_percent), F.when(~is_entry() & any_active(flags), held_back))
     )

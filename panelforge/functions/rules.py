@@ -39,6 +39,32 @@ THEME_PROXIES = {
 EVENT_WORDS = {"positive": ["positive", "bullish", "good", "upbeat"], "negative": ["negative", "bearish", "bad", "downbeat"]}
 SIGNAL_WORDS = {"positive": ["positive", "bullish", "good"], "negative": ["negative", "bearish", "bad"]}
 
+# What reactions and classes say.
+NO_CLAIM = "Do not make a strong causal claim."
+DAILY_CLAIM = "Daily-only evidence; use as association, not proof of intraday causality."
+TIMED_CLAIM = "Timestamped event evidence; still validate with forward tracking."
+REACTION_REASONS = {
+    "missing": "Missing abnormal return or event timestamp.",
+    "neutral": "Neutral or unknown catalyst without explicit basket/theme evidence.",
+    "small": "Abnormal return did not clear the materiality threshold.",
+    "good_up": "Positive catalyst aligned with positive abnormal return.",
+    "good_down": "Positive catalyst was met with negative abnormal return.",
+    "bad_up": "Negative catalyst was absorbed without negative abnormal return.",
+    "bad_down": "Negative catalyst aligned with negative abnormal return.",
+    "basket_up": "Abnormal return was positive with explicit basket/theme evidence.",
+    "basket_down": "Abnormal return was negative with explicit basket/theme evidence.",
+}
+CLASS_REASONS = {
+    "chase": "Positive catalyst and reaction are real, but the setup is technically overextended.",
+    "against": "Abnormal reaction argues against the bullish thesis.",
+    "absorbed": "Bad news was absorbed, but needs forward validation.",
+    "unclear": "Positive catalyst has not produced a meaningful abnormal reaction.",
+    "untested": "No testable positive validation is present.",
+    "aligned": "Catalyst, abnormal reaction, and setup score align.",
+    "weak_setup": "Positive abnormal reaction exists, but setup quality is not high enough.",
+    "none": "Rules did not find a validated setup.",
+}
+
 
 def sentiment(text: Column, words: dict[str, list[str]]) -> Column:
     value = F.lower(strip(F.coalesce(text, F.lit(""))))
@@ -75,20 +101,20 @@ def event_reaction(
     up, down = above(abnormal, 0.0), (abnormal < 0) & ~F.isnan(abnormal)
     small = (F.abs(abnormal) < threshold) & ~F.isnan(abnormal)
     claim = (
-        F.when(missing, "Do not make a strong causal claim.")
-        .when(F.lower(grain).isin("daily", "daily-only", "end_of_day"), "Daily-only evidence; use as association, not proof of intraday causality.")
-        .otherwise("Timestamped event evidence; still validate with forward tracking.")
+        F.when(missing, NO_CLAIM)
+        .when(F.lower(grain).isin("daily", "daily-only", "end_of_day"), DAILY_CLAIM)
+        .otherwise(TIMED_CLAIM)
     )
     rules = [
-        (missing, INCONCLUSIVE, "Missing abnormal return or event timestamp."),
-        ((kind == "neutral") & ~basket, INCONCLUSIVE, "Neutral or unknown catalyst without explicit basket/theme evidence."),
-        (small, NO_REACTION, "Abnormal return did not clear the materiality threshold."),
-        ((kind == "positive") & up, POSITIVE_REACTION, "Positive catalyst aligned with positive abnormal return."),
-        ((kind == "positive") & down, SELL_THE_NEWS, "Positive catalyst was met with negative abnormal return."),
-        ((kind == "negative") & at_least(abnormal, 0.0), BAD_NEWS_ABSORBED, "Negative catalyst was absorbed without negative abnormal return."),
-        ((kind == "negative") & down, NEGATIVE_REACTION, "Negative catalyst aligned with negative abnormal return."),
-        (up, POSITIVE_REACTION, "Abnormal return was positive with explicit basket/theme evidence."),
-        (F.lit(True), NEGATIVE_REACTION, "Abnormal return was negative with explicit basket/theme evidence."),
+        (missing, INCONCLUSIVE, REACTION_REASONS["missing"]),
+        ((kind == "neutral") & ~basket, INCONCLUSIVE, REACTION_REASONS["neutral"]),
+        (small, NO_REACTION, REACTION_REASONS["small"]),
+        ((kind == "positive") & up, POSITIVE_REACTION, REACTION_REASONS["good_up"]),
+        ((kind == "positive") & down, SELL_THE_NEWS, REACTION_REASONS["good_down"]),
+        ((kind == "negative") & at_least(abnormal, 0.0), BAD_NEWS_ABSORBED, REACTION_REASONS["bad_up"]),
+        ((kind == "negative") & down, NEGATIVE_REACTION, REACTION_REASONS["bad_down"]),
+        (up, POSITIVE_REACTION, REACTION_REASONS["basket_up"]),
+        (F.lit(True), NEGATIVE_REACTION, REACTION_REASONS["basket_down"]),
     ]
     return F.struct(_first(rules, 1).alias("label"), abnormal.alias("abnormal_return"), claim.alias("causal_claim"), _first(rules, 2).alias("reason"))
 
@@ -119,14 +145,14 @@ def signal_class(news: Column, reaction: Column, extended: Column, setup: Column
     positive = kind == "positive"
     unclear = reaction.isin(INCONCLUSIVE, NO_REACTION)
     rules = [
-        (positive & real & extended, "Avoid Chase", "Positive catalyst and reaction are real, but the setup is technically overextended."),
-        (reaction.isin(SELL_THE_NEWS, NEGATIVE_REACTION), "Avoid", "Abnormal reaction argues against the bullish thesis."),
-        ((kind == "negative") & (reaction == BAD_NEWS_ABSORBED), "Watch", "Bad news was absorbed, but needs forward validation."),
-        (unclear & positive, "Wait for Confirmation", "Positive catalyst has not produced a meaningful abnormal reaction."),
-        (unclear, "Avoid", "No testable positive validation is present."),
-        (positive & real & at_least(score, TRADEABLE_SCORE), "Tradeable", "Catalyst, abnormal reaction, and setup score align."),
-        (real, "Watch", "Positive abnormal reaction exists, but setup quality is not high enough."),
-        (F.lit(True), "Avoid", "Rules did not find a validated setup."),
+        (positive & real & extended, "Avoid Chase", CLASS_REASONS["chase"]),
+        (reaction.isin(SELL_THE_NEWS, NEGATIVE_REACTION), "Avoid", CLASS_REASONS["against"]),
+        ((kind == "negative") & (reaction == BAD_NEWS_ABSORBED), "Watch", CLASS_REASONS["absorbed"]),
+        (unclear & positive, "Wait for Confirmation", CLASS_REASONS["unclear"]),
+        (unclear, "Avoid", CLASS_REASONS["untested"]),
+        (positive & real & at_least(score, TRADEABLE_SCORE), "Tradeable", CLASS_REASONS["aligned"]),
+        (real, "Watch", CLASS_REASONS["weak_setup"]),
+        (F.lit(True), "Avoid", CLASS_REASONS["none"]),
     ]
     return F.struct(_first(rules, 1).alias("classification"), score.alias("score"), F.lit(RULE_VERSION).alias("rule_version"), _first(rules, 2).alias("reason"))
 

@@ -203,19 +203,6 @@ def thesis_inputs(spark, sf_dir: str) -> DataFrame:
     )
 
 
-THESIS_SQL = (
-    """WITH x AS (SELECT o_orderkey AS id, o_orderkey % 2 = 0 AS ma, CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 7 - 3) / 100.0 END AS ar, CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 10) / 10.0 END AS breadth, (o_orderkey % 20) / 10.0 AS vol,
-    o_orderkey % 101 > 75 AS rsi, o_orderkey % 17 > 10 AS far, o_orderkey % 4 = 0 AS risk, o_orderkey % 3 = 0 AS news, o_orderkey % 11 < 4 AS ev, o_orderkey % 11 < 6 AS up, o_orderkey % 13 < 3 AS down FROM orders),
-s AS (SELECT *, CAST(CASE WHEN ma THEN 2 ELSE -1 END + CASE WHEN ar > 0 THEN 2 WHEN ar <= 0 THEN -2 ELSE 0 END + CASE WHEN breadth > 0.5 THEN 2 WHEN breadth <= 0.5 THEN -1 ELSE 0 END + CASE WHEN vol > 1.2 THEN 1 ELSE 0 END
-    + CASE WHEN rsi THEN -3 ELSE 0 END + CASE WHEN far THEN -3 ELSE 0 END + CASE WHEN risk THEN -2 ELSE 0 END + CASE WHEN ev THEN 2 ELSE 0 END + CASE WHEN news AND down THEN -3 ELSE 0 END AS INTEGER) AS score, """
-    + "concat_ws('|', " + ", ".join(f"CASE WHEN {c} THEN '{t}' END" for c, t in zip(["ma", "ar > 0", "breadth > 0.5", "vol > 1.2", "ev"], FOR, strict=True)) + ") AS evidence_for, "
-    + "concat_ws('|', " + ", ".join(f"CASE WHEN {c} THEN '{t}' END" for c, t in zip(["NOT ma", "ar <= 0", "breadth <= 0.5", "rsi", "far", "risk", "news AND down"], AGAINST, strict=True)) + ") AS evidence_against FROM x),\n"
-    + "d AS (SELECT *, news AND up AND (rsi OR far) AND vol > 1.5 AS caught FROM s), c AS (SELECT *, CASE WHEN caught THEN 'Avoid Chase' WHEN score < 0 THEN 'Avoid' WHEN (rsi OR far) AND score > 0 THEN 'Avoid Chase' WHEN evidence_against <> '' AND score >= 3 THEN 'Watch' "
-    "WHEN score >= 6 THEN 'Tradeable' WHEN score >= 2 THEN 'Watch' ELSE 'Wait for Confirmation' END AS classification FROM d) SELECT id, score, classification, CASE WHEN caught THEN '" + CAUGHT + "' ELSE CASE classification "
-    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in THESIS_REASONS.items()) + " END END AS reason, evidence_for, evidence_against FROM c"
-)
-
-
 def news_feed(spark, sf_dir: str) -> DataFrame:
     """JSON lists of both shapes, with an entry that is no object, one with hardly a field, and some text that is no list."""
     key = F.col("o_orderkey").cast("string")

@@ -413,7 +413,9 @@ def v11_outcome_rule(spark, sf_dir):
 
 @query(Q.THESIS)
 def v15_thesis_score(spark, sf_dir):
-    return extras.thesis(extras.thesis_inputs(spark, sf_dir)).select("id", "score", "classification", "reason", F.array_join("evidence_for", "|").alias("evidence_for"), F.array_join("evidence_against", "|").alias("evidence_against"))
+    lists = ["evidence_for", "evidence_against", "confirmation_needed", "invalidation_signals"]
+    status = [F.col("status_by_horizon")[rules.HORIZONS[h]].alias(f"status_{h}d") for h in (1, 5, 20)]
+    return extras.thesis(extras.thesis_inputs(spark, sf_dir)).select("id", "score", "classification", "reason", *[F.array_join(c, "|").alias(c) for c in lists], *status)
 
 
 # Snapshot and news

@@ -371,5 +371,42 @@ LAB_SUMMARY = """SELECT count(*) AS sample_size, round(avg(CAST(far > 0 AS INTEG
 LAB_OUTCOMES = """SELECT c.ticker, classification, (SELECT day FROM sessions WHERE n = 6) AS horizon_end, 'matured' AS status, round(raw, 6) AS raw_return, round(far, 6) AS forward_abnormal_return,
     round(low / first - 1, 6) AS max_drawdown, round(high / first - 1, 6) AS max_runup, true AS beta_fallback_used, 'demo' AS price_source, 'synthetic' AS price_adjustment
 FROM classed c JOIN (SELECT symbol, CAST(min(p) AS DOUBLE) AS low, CAST(max(p) AS DOUBLE) AS high, CAST(max(p) FILTER (WHERE n = 1) AS DOUBLE) AS first FROM series WHERE n <= 6 GROUP BY symbol) w ON w.symbol = c.ticker"""
-THESIS = extras.THESIS_SQL
+# The sentences of a thesis, by the condition under which each is listed, and what its class says.
+THESIS_FOR = [
+    ("ma", "Ticker is above the 20D moving average."), ("ar > 0", "5D abnormal return is positive."), ("breadth > 0.5", "Basket breadth is above 50%."),
+    ("vol > 1.2", "Volume is above 1.2x its recent average."), ("ev", "Event study shows a positive abnormal reaction."),
+]
+THESIS_AGAINST = [
+    ("NOT ma", "Ticker is not above the 20D moving average."), ("ar <= 0", "5D abnormal return is negative."), ("breadth <= 0.5", "Basket breadth is not broad enough."), ("rsi", "RSI is above 75."),
+    ("far", "Price is more than 10% above the 20D moving average."), ("risk", "Macro regime is Risk-Off."), ("news AND down", "Positive news produced a negative abnormal reaction."),
+]
+THESIS_OPEN = [("ar IS NULL", "Need 5D abnormal return validation.")]
+THESIS_INVALID = [("rsi", "Overextension risk remains high."), ("far", "Wait for price to digest the move.")]
+THESIS_REASON = {
+    "Tradeable": "Rule-based evidence is broad enough and extension risk is not high.", "Watch": "Evidence is constructive but still has conflicts or missing confirmation.",
+    "Avoid Chase": "Setup has positive evidence but extension risk is high.", "Avoid": "Evidence conflicts or score is negative.", "Wait for Confirmation": "More forward-return confirmation is needed.",
+}
+
+
+def listed(pairs: list[tuple[str, str]]) -> str:
+    return "concat_ws('|', " + ", ".join(f"CASE WHEN {condition} THEN {quoted(text)} END" for condition, text in pairs) + ")"
+
+
+THESIS = f"""WITH x AS (
+    SELECT o_orderkey AS id, o_orderkey % 2 = 0 AS ma, CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 7 - 3) / 100.0 END AS ar, CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 10) / 10.0 END AS breadth,
+        (o_orderkey % 20) / 10.0 AS vol, o_orderkey % 101 > 75 AS rsi, o_orderkey % 17 > 10 AS far, o_orderkey % 4 = 0 AS risk, o_orderkey % 3 = 0 AS news, o_orderkey % 11 < 4 AS ev, o_orderkey % 11 < 6 AS up, o_orderkey % 13 < 3 AS down
+    FROM orders),
+points AS (
+    SELECT *, CASE WHEN ma THEN 2 ELSE -1 END + CASE WHEN ar > 0 THEN 2 WHEN ar <= 0 THEN -2 ELSE 0 END + CASE WHEN breadth > 0.5 THEN 2 WHEN breadth <= 0.5 THEN -1 ELSE 0 END + CASE WHEN vol > 1.2 THEN 1 ELSE 0 END
+            - CASE WHEN rsi THEN 3 ELSE 0 END - CASE WHEN far THEN 3 ELSE 0 END - CASE WHEN risk THEN 2 ELSE 0 END + CASE WHEN ev THEN 2 ELSE 0 END - CASE WHEN news AND down THEN 3 ELSE 0 END AS total,
+        NOT ma OR coalesce(ar <= 0, false) OR coalesce(breadth <= 0.5, false) OR rsi OR far OR risk OR (news AND down) AS doubted, news AND up AND (rsi OR far) AND vol > 1.5 AS caught
+    FROM x),
+classed AS (
+    SELECT *, CASE WHEN caught THEN 'Avoid Chase' WHEN total < 0 THEN 'Avoid' WHEN (rsi OR far) AND total > 0 THEN 'Avoid Chase' WHEN doubted AND total >= 3 THEN 'Watch' WHEN total >= 6 THEN 'Tradeable' WHEN total >= 2 THEN 'Watch'
+        ELSE 'Wait for Confirmation' END AS classification FROM points)
+SELECT id, CAST(total AS INTEGER) AS score, classification, CASE WHEN caught THEN 'The catalyst was positively received, but the stock is already technically extended.' ELSE CASE classification {" ".join(f"WHEN '{k}' THEN {quoted(v)}" for k, v in THESIS_REASON.items())} END END AS reason,
+    {listed(THESIS_FOR)} AS evidence_for, {listed(THESIS_AGAINST)} AS evidence_against, {listed(THESIS_OPEN)} AS confirmation_needed, {listed(THESIS_INVALID)} AS invalidation_signals,
+    CASE WHEN caught OR ev THEN 'Confirmed on 1D event reaction' ELSE 'Inconclusive on 1D event reaction' END AS status_1d,
+    CASE WHEN NOT caught AND ar > 0 THEN 'Confirmed on 5D swing horizon' ELSE 'Unconfirmed on 5D forward return' END AS status_5d, 'Still open on 20D theme horizon' AS status_20d
+FROM classed"""
 MATURITY_STREAM = """SELECT event_type, CAST(ts AS DATE) AS session_date, count(*) AS n FROM events GROUP BY ALL"""
