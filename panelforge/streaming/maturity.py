@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from panelforge.sources.log import LatestLog
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,27 @@ def maturity_counts(signals: DataFrame, time: str = "ts", kind: str = "event_typ
     return signals.groupBy(F.col(kind), F.to_date(time).alias("session_date")).agg(F.count("*").alias("n"))
 
 
+COUNTS = "name string, kind string, session_date date, n bigint"
+
+
+def count_stream(signals: DataFrame, path: str, time: str = "ts", kind: str = "event_type", late: str = "2 days") -> DataFrame:
+    """Arrivals by kind and session day of a stream, as far as it has come, kept as a table that each batch brings up to date.
+
+    Days that are over by ``late`` are forgotten, and rows that come later than that are dropped. A batch writes the counts that it changed;
+    a batch that runs again writes the same. Another run goes on where this one ended.
+    """
+    counts = LatestLog(signals.sparkSession, f"{path}/counts", COUNTS, "name")
+    # A watermark needs an instant: the time as it stands, taken for UTC's.
+    moment = F.to_timestamp(F.concat(F.col(time).cast("timestamp_ntz").cast("string"), F.lit("Z")))
+    stamped = signals.select(moment.alias("_time"), F.col(kind).alias("kind")).withWatermark("_time", late)
+    days = stamped.groupBy("kind", F.window("_time", "1 day").alias("day")).agg(F.count("*").alias("n"))
+    start = F.to_date(F.to_utc_timestamp("day.start", F.current_timezone()))
+    named = days.select(F.concat_ws("|", start.cast("string"), F.when(F.col("kind").isNull(), "").otherwise(F.concat(F.lit("is "), "kind"))).alias("name"), "kind", start.alias("session_date"), "n")
+    writer = named.writeStream.outputMode("update").foreachBatch(lambda batch, _: counts.append(batch)).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    writer.start().awaitTermination()
+    return counts.read().select(F.col("kind").alias(kind), "session_date", "n")
+
+
 def matured_stream(signals: DataFrame, calendar: DataFrame, sessions: DataFrame) -> DataFrame:
     """A stream of signals (``created_at``, ``horizon_days``) with ``horizon_end``, by joins with static calendar tables.
 

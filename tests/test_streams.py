@@ -62,3 +62,20 @@ def test_groups_come_in_the_order_of_horizon_and_class(spark):
     rows = [(h, c) for h in (20, 1, 5) for c in ("Watch", "Avoid", "Tradeable")]
     df = spark.createDataFrame(rows, "horizon_days int, classification string").repartition(4).withColumn("n", F.lit(1))
     assert [(r["horizon_days"], r["classification"]) for r in metrics.in_order(df).collect()] == sorted(rows)
+
+
+def test_counts_follow_the_stream_and_late_rows_are_dropped(spark, tmp_path):
+    schema = "ts timestamp_ntz, event_type string"
+
+    def run(rows):
+        if rows:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        read = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        return sorted((tuple(r) for r in maturity.count_stream(read, f"{tmp_path}/run").collect()), key=repr)
+
+    day = lambda d, h=0: dt.datetime(2026, 1, d, h)
+    assert run([(day(1, 5), "a"), (day(1, 6), "a"), (day(1), None), (day(2), "b")]) == [("a", DAY, 2), ("b", dt.date(2026, 1, 2), 1), (None, DAY, 1)]
+    assert run([(day(2, 3), "b"), (day(20), "a")])[0:3] == [("a", DAY, 2), ("a", dt.date(2026, 1, 20), 1), ("b", dt.date(2026, 1, 2), 2)]
+    run([(day(21), "a")])
+    assert ("a", DAY, 2) in run([(day(1, 9), "a")])  # over long ago
+    assert run([])[1] == ("a", dt.date(2026, 1, 20), 1)
