@@ -44,7 +44,7 @@ HEXADECIMAL = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 IDENTIFIERS = re.compile(
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"  # UUID
     r"|[0-9]{4}-?[0-9]{2}-?[0-9]{2}T?[0-9.]*Z?"  # day or time
-    r"|[vV]?[0-9]+(\.[0-9]+)+([.-]?(a|b|rc|alpha|beta|dev|post|pre|snapshot|SNAPSHOT|RELEASE|FINAL)[.-]?[0-9]*)*"  # version
+    r"|[vV]?[0-9]+(\.[0-9]+)+([.-]?(a|b|rc|alpha|beta|dev|post|pre|snapshot|SNAPSHOT|RELEASE|FINAL)[0-9]*([.-][0-9]+)*)*"  # version
     r"|10\.[0-9]{4,9}/[A-Za-z0-9._-]+"  # document id
     r"|[^A-Za-z]+"  # numbers
 )

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import string
+import time
 
 import numpy as np
 import pytest
@@ -99,7 +100,13 @@ def test_efficiency_tells_random_strings_from_words():
     digests = [hashlib.new(kind, bytes([i])).hexdigest() for i in range(20) for kind in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512")]
     assert not any(map(test.random, digests + [d.upper() for d in digests]))
     assert test.random(base64.b64encode(hashlib.sha256(b"k").digest()).decode())
-    # Encoding a long run piece by piece keeps time linear.
+    # No run takes time out of proportion, whatever it resembles.
+    start = time.process_time()
+    for run in ("1.1a" + "1" * 9000 + "Z", "1.1" + "a-" * 5000 + "Z", "1.1" + "a.1" * 5000 + "Z", "1" * 20_000 + "Z", "1.1" + ".1" * 9000 + "Z", "AKIA" * 5000, "token=" * 5000):
+        test.random(run)
+        secret.base_spans(run)
+        test.spans(run, [])
+    assert time.process_time() - start < 10
     assert test.of("ab" * 500_000) > 1
 
 
