@@ -203,6 +203,21 @@ def thesis_inputs(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def order_inputs(spark, sf_dir: str) -> DataFrame:
+    """Inputs of the rule tables, one row for each order, in all combinations sooner or later; some are NULL."""
+    key = F.col("o_orderkey")
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
+    part = lambda by: F.floor(key / by)
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        key.alias("id"), pick(["positive", " Bullish ", "good", "upbeat", "negative", "BEARISH", "bad", "downbeat", "mixed", "", None], key).alias("word"),
+        pick(["positive", "negative", "neutral", "mixed", "other"], part(5)).alias("news"), F.when(key % 5 != 0, (key % 41 - 20) / F.lit(200.0)).alias("ar"), F.when(key % 3 != 0, (key % 23 - 11) / F.lit(500.0)).alias("peer"),
+        pick(["low", "medium", "high"], part(2)).alias("causality"), pick(["ok", "beta_fallback_used"], part(3)).alias("quality"),
+        pick(["Tradeable", "Watch", "Wait for Confirmation", "Avoid", "Avoid Chase", "Other"], part(7)).alias("classification"), F.when(key % 4 != 0, -(key % 13) / F.lit(100.0)).alias("drawdown"),
+        pick([True, False, None], key).alias("flag"), F.when(key % 9 != 0, (key % 101).cast("double")).alias("rsi"), F.when(key % 8 != 0, (key % 61) / F.lit(100.0)).alias("return_20d"),
+        pick(["event_reaction", "trade_setup", "theme_thesis", "context", "technical_extension", "basket_confirmation", "another"], part(4)).alias("signal_type"),
+    )
+
+
 def news_feed(spark, sf_dir: str) -> DataFrame:
     """JSON lists of both shapes, with an entry that is no object, one with hardly a field, and some text that is no list."""
     key = F.col("o_orderkey").cast("string")

@@ -418,6 +418,40 @@ def v15_thesis_score(spark, sf_dir):
     return extras.thesis(extras.thesis_inputs(spark, sf_dir)).select("id", "score", "classification", "reason", *[F.array_join(c, "|").alias(c) for c in lists], *status)
 
 
+# Rule tables over the orders
+
+
+@query(Q.WITH_ORDER_INPUTS + Q.ORDER_SENTIMENTS)
+def f6_f7_order_sentiments(spark, sf_dir):
+    return extras.order_inputs(spark, sf_dir).select("id", rules.event_sentiment(F.col("word")).alias("event_sentiment"), rules.signal_sentiment(F.col("word")).alias("signal_sentiment"))
+
+
+@query(Q.WITH_ORDER_INPUTS + Q.ORDER_EXTENDED)
+def f10_order_overextended(spark, sf_dir):
+    return extras.order_inputs(spark, sf_dir).select("id", rules.overextended(F.col("flag"), F.col("rsi"), F.col("return_20d")).alias("overextended"))
+
+
+@query(Q.WITH_ORDER_INPUTS + Q.ORDER_OUTCOMES)
+def f11_order_outcomes(spark, sf_dir):
+    return extras.order_inputs(spark, sf_dir).select("id", rules.outcome(F.col("classification"), F.col("ar")).alias("o")).select("id", "o.*")
+
+
+@query(Q.WITH_ORDER_INPUTS + Q.ORDER_HORIZONS)
+def p11_order_horizons(spark, sf_dir):
+    return extras.order_inputs(spark, sf_dir).select("id", "signal_type", F.explode_outer(rules.default_horizons(F.col("signal_type"), more=True)).alias("horizon_days"))
+
+
+@query(Q.WITH_ORDER_INPUTS + Q.ORDER_LABELS)
+def v5_v8_order_labels(spark, sf_dir):
+    label = extras.basket_label(F.col("news"), F.col("ar"), F.col("peer"), F.col("causality"))
+    return extras.order_inputs(spark, sf_dir).select("id", label.alias("label"), extras.confidence(F.col("quality"), F.col("causality")).alias("confidence"))
+
+
+@query(Q.WITH_ORDER_INPUTS + Q.ORDER_DRAWDOWNS)
+def v11_order_outcomes(spark, sf_dir):
+    return extras.order_inputs(spark, sf_dir).select("id", extras.drawdown_outcome(F.col("classification"), F.col("ar"), F.col("drawdown")).alias("o")).select("id", "o.*")
+
+
 # Snapshot and news
 
 

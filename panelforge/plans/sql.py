@@ -371,6 +371,29 @@ LAB_SUMMARY = """SELECT count(*) AS sample_size, round(avg(CAST(far > 0 AS INTEG
 LAB_OUTCOMES = """SELECT c.ticker, classification, (SELECT day FROM sessions WHERE n = 6) AS horizon_end, 'matured' AS status, round(raw, 6) AS raw_return, round(far, 6) AS forward_abnormal_return,
     round(low / first - 1, 6) AS max_drawdown, round(high / first - 1, 6) AS max_runup, true AS beta_fallback_used, 'demo' AS price_source, 'synthetic' AS price_adjustment
 FROM classed c JOIN (SELECT symbol, CAST(min(p) AS DOUBLE) AS low, CAST(max(p) AS DOUBLE) AS high, CAST(max(p) FILTER (WHERE n = 1) AS DOUBLE) AS first FROM series WHERE n <= 6 GROUP BY symbol) w ON w.symbol = c.ticker"""
+# Inputs of the rule tables from the orders, and what the rules make of them.
+WITH_ORDER_INPUTS = """WITH inputs AS (SELECT o_orderkey AS id, ['positive', ' Bullish ', 'good', 'upbeat', 'negative', 'BEARISH', 'bad', 'downbeat', 'mixed', '', NULL][CAST(o_orderkey % 11 + 1 AS INTEGER)] AS word,
+    ['positive', 'negative', 'neutral', 'mixed', 'other'][CAST(o_orderkey // 5 % 5 + 1 AS INTEGER)] AS news, CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 41 - 20) / 200.0 END AS ar,
+    CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 23 - 11) / 500.0 END AS peer, ['low', 'medium', 'high'][CAST(o_orderkey // 2 % 3 + 1 AS INTEGER)] AS causality,
+    ['ok', 'beta_fallback_used'][CAST(o_orderkey // 3 % 2 + 1 AS INTEGER)] AS quality, ['Tradeable', 'Watch', 'Wait for Confirmation', 'Avoid', 'Avoid Chase', 'Other'][CAST(o_orderkey // 7 % 6 + 1 AS INTEGER)] AS classification,
+    CASE WHEN o_orderkey % 4 <> 0 THEN -(o_orderkey % 13) / 100.0 END AS drawdown, [true, false, NULL][CAST(o_orderkey % 3 + 1 AS INTEGER)] AS flag, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderkey % 101 END AS rsi,
+    CASE WHEN o_orderkey % 8 <> 0 THEN (o_orderkey % 61) / 100.0 END AS return_20d,
+    ['event_reaction', 'trade_setup', 'theme_thesis', 'context', 'technical_extension', 'basket_confirmation', 'another'][CAST(o_orderkey // 4 % 7 + 1 AS INTEGER)] AS signal_type FROM orders)
+"""
+ORDER_SENTIMENTS = """SELECT id, CASE WHEN w IN ('positive', 'bullish', 'good', 'upbeat') THEN 'positive' WHEN w IN ('negative', 'bearish', 'bad', 'downbeat') THEN 'negative' ELSE 'neutral' END AS event_sentiment,
+    CASE WHEN w IN ('positive', 'bullish', 'good') THEN 'positive' WHEN w IN ('negative', 'bearish', 'bad') THEN 'negative' ELSE 'neutral' END AS signal_sentiment FROM (SELECT id, lower(trim(coalesce(word, ''))) AS w FROM inputs)"""
+ORDER_EXTENDED = "SELECT id, coalesce(flag, false) OR coalesce(rsi >= 75, false) OR coalesce(return_20d >= 0.25, false) AS overextended FROM inputs"
+ORDER_OUTCOMES = """SELECT id, CASE WHEN ar IS NOT NULL AND classification = 'Tradeable' THEN ar > 0 END AS trade_hit, CASE WHEN ar IS NOT NULL AND classification IN ('Watch', 'Wait for Confirmation') THEN ar > 0 END AS watch_followthrough,
+    CASE WHEN ar IS NOT NULL AND classification LIKE 'Avoid%' THEN ar <= 0 END AS avoided_bad_trade, CASE WHEN ar IS NULL OR classification = 'Other' THEN NULL WHEN classification LIKE 'Avoid%' THEN ar > 0.02 ELSE false END AS false_negative FROM inputs"""
+ORDER_HORIZONS = """SELECT id, signal_type, CAST(h AS INTEGER) AS horizon_days FROM inputs LEFT JOIN (VALUES ('event_reaction', 1), ('event_reaction', 3), ('trade_setup', 5), ('theme_thesis', 20), ('context', 60),
+    ('technical_extension', 5), ('technical_extension', 20), ('basket_confirmation', 5), ('basket_confirmation', 20)) d(kind, h) ON kind = signal_type"""
+ORDER_LABELS = """SELECT id, CASE WHEN ar IS NULL THEN 'Inconclusive' WHEN news = 'positive' AND ar > 0.005 THEN 'Positive Abnormal Reaction' WHEN news = 'positive' AND ar < -0.005 THEN 'Sell the News'
+    WHEN news = 'negative' AND ar >= 0 THEN 'Bad News Absorbed' WHEN news = 'negative' AND ar < -0.005 THEN 'Negative Abnormal Reaction'
+    WHEN news IN ('neutral', 'mixed') THEN CASE WHEN abs(ar) <= 0.005 OR coalesce(abs(peer), 0) <= 0.005 THEN 'Inconclusive' WHEN ar > 0 THEN 'Positive Abnormal Reaction' ELSE 'Negative Abnormal Reaction' END
+    WHEN causality = 'low' THEN 'Inconclusive' WHEN abs(ar) <= 0.005 THEN 'No Meaningful Abnormal Reaction' ELSE 'Inconclusive' END AS label,
+    CAST(CASE WHEN quality <> 'ok' THEN 0.35 WHEN causality = 'medium' THEN 0.7 ELSE 0.5 END AS DOUBLE) AS confidence FROM inputs"""
+ORDER_DRAWDOWNS = """SELECT id, CASE WHEN ar IS NOT NULL AND classification IN ('Tradeable', 'Watch', 'Wait for Confirmation') THEN ar > 0 END AS hit, CASE WHEN ar IS NOT NULL AND classification LIKE 'Avoid%' THEN ar <= 0 OR coalesce(drawdown, 0) <= -0.05 END AS avoided_bad_trade,
+    CASE WHEN ar IS NOT NULL AND classification LIKE 'Avoid%' THEN ar >= 0.05 END AS false_negative FROM inputs"""
 # The sentences of a thesis, by the condition under which each is listed, and what its class says.
 THESIS_FOR = [
     ("ma", "Ticker is above the 20D moving average."), ("ar > 0", "5D abnormal return is positive."), ("breadth > 0.5", "Basket breadth is above 50%."),

@@ -13,7 +13,18 @@ from pyspark.sql import functions as F
 DAY = dt.date(2026, 1, 1)
 
 
+_MADE: dict = {}
+
+
 def market_of(spark, seed, symbols=("A", "B", "M"), days=70):
+    """Made once for each seed and bound of what is sent."""
+    key = seed, prices.Market.SENT
+    if key not in _MADE:
+        _MADE[key] = made_market(spark, seed, symbols, days)
+    return _MADE[key]
+
+
+def made_market(spark, seed, symbols, days):
     rng = random.Random(seed)
     held = {s: sorted(rng.sample(range(days), rng.randint(20, 50))) for s in symbols}
     rows = [(s, DAY + dt.timedelta(d), round(rng.uniform(50, 150), 2)) for s, own in held.items() for d in own]
