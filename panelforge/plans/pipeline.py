@@ -143,9 +143,10 @@ def validation_lab(provider: PriceProvider, spark) -> dict[str, DataFrame]:
     return lab_tables(bundle, signals, cohort)
 
 
-def lab_tables(bundle: PriceBundle, signals: DataFrame, cohort: DataFrame) -> dict[str, DataFrame]:
-    market = prices.Market(bundle.prices, demo.BENCHMARK)
-    first = market.panel.where(F.col("symbol") == demo.BENCHMARK).agg(F.min("session_date").cast("timestamp_ntz").alias("created_at"))
+def lab_tables(bundle: PriceBundle, signals: DataFrame, cohort: DataFrame, benchmark: str = demo.BENCHMARK) -> dict[str, DataFrame]:
+    """All signals as of the benchmark's first session: snapshots, outcomes with provenance, cohort, groups and summary."""
+    market = prices.Market(bundle.prices, benchmark)
+    first = market.panel.where(F.col("symbol") == benchmark).agg(F.min("session_date").cast("timestamp_ntz").alias("created_at"))
     dated = signals.drop("created_at").join(F.broadcast(first))
     snapshots = generate_signals(dated, market).persist()
     outcomes = evaluate_forward(snapshots, market).persist()

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from panelforge.functions import news, pretrade, rules, scalars
 from panelforge.operators import extras, metrics, prices, returns, snapshot
-from panelforge.sources import journal, log, results, store
+from panelforge.sources import journal, log, providers, results, store
 from panelforge.sources.shared import fresh_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -570,9 +570,7 @@ def u1_u2_u3_symbol_sets(spark, sf_dir):
 
 
 def lab(spark):
-    from panelforge.sources.providers import get_price_provider
-
-    return pipeline.validation_lab(get_price_provider(spark), spark)
+    return pipeline.validation_lab(providers.get_price_provider(spark), spark)
 
 
 @query(Q.WITH_LAB + Q.LAB_GROUPS)
@@ -591,6 +589,41 @@ def q7_lab_outcomes(spark, sf_dir):
     return rounded(lab(spark)["outcomes"].select(columns))
 
 
+# The lab and the providers over the tables
+
+
+def lab_over_tables(spark, sf_dir):
+    """The lab's run over the sample tables' prices, with every order as a signal of the first session."""
+    provider = providers.PanelProvider(adapter.universe(spark, sf_dir), "lines", "average")
+    symbols = [r["symbol"] for r in adapter.market(spark, sf_dir).series.select("symbol").collect()]  # as many as nations and regions
+    bundle = provider.get_history(symbols, "1900-01-01", "2100-01-01").validate()
+    return pipeline.lab_tables(bundle, adapter.signals(spark, sf_dir), adapter.nations(spark, sf_dir).drop("n_nationkey"), adapter.BENCHMARK)
+
+
+@query(Q.WITH_FIRST_DAY + Q.FIRST_DAY_GROUPS)
+def q5_lab_over_tables(spark, sf_dir):
+    return rounded(lab_over_tables(spark, sf_dir)["groups"])
+
+
+@query(Q.WITH_FIRST_DAY + Q.FIRST_DAY_OUTCOMES)
+def q7_lab_outcomes_over_tables(spark, sf_dir):
+    columns = ["id", "classification", "horizon_end", "status", "forward_return", "forward_abnormal_return", "beta_fallback_used", "price_source", "price_adjustment"]
+    return rounded(lab_over_tables(spark, sf_dir)["outcomes"].select(columns))
+
+
+@query(Q.WITH_FIRST_DAY + Q.FIRST_DAY_SUMMARY)
+def q8_lab_summary_over_tables(spark, sf_dir):
+    return rounded(lab_over_tables(spark, sf_dir)["summary"])
+
+
+@query(Q.WITH_PANEL + "SELECT symbol, session_date, round(p, 6) AS adjusted_close FROM panel WHERE symbol IN ('FRANCE', 'MKT') AND session_date BETWEEN DATE '1995-03-01' AND DATE '1996-02-28'")
+def s7_cached_history(spark, sf_dir):
+    """Two symbols of which the second request finds one in the cache, and one that has no prices."""
+    cache = providers.CachingProvider(providers.PanelProvider(adapter.universe(spark, sf_dir), "lines", "average"), spark, fresh_path(spark, "cache"), "snapshot")
+    cache.get_history(["france"], "1995-03-01", "1996-02-28")
+    return rounded(cache.get_history(["France", "MKT", "nowhere"], "1995-03-01", "1996-02-28").prices.select("symbol", "session_date", "adjusted_close"))
+
+
 # Clean series, ordered readers, displays and typed journals
 
 

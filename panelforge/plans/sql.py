@@ -371,6 +371,36 @@ LAB_SUMMARY = """SELECT count(*) AS sample_size, round(avg(CAST(far > 0 AS INTEG
 LAB_OUTCOMES = """SELECT c.ticker, classification, (SELECT day FROM sessions WHERE n = 6) AS horizon_end, 'matured' AS status, round(raw, 6) AS raw_return, round(far, 6) AS forward_abnormal_return,
     round(low / first - 1, 6) AS max_drawdown, round(high / first - 1, 6) AS max_runup, true AS beta_fallback_used, 'demo' AS price_source, 'synthetic' AS price_adjustment
 FROM classed c JOIN (SELECT symbol, CAST(min(p) AS DOUBLE) AS low, CAST(max(p) AS DOUBLE) AS high, CAST(max(p) FILTER (WHERE n = 1) AS DOUBLE) AS first FROM series WHERE n <= 6 GROUP BY symbol) w ON w.symbol = c.ticker"""
+# The lab's run over the tables: all signals on the first session, when no beta has a history.
+WITH_FIRST_DAY = WITH_SIGNALS + """, spans AS (SELECT CAST(h AS INTEGER) AS h, c.session_date AS e FROM (VALUES (1), (3), (5), (20), (60)) t(h) LEFT JOIN cal c ON c.ord = 1 + h),
+opening AS (SELECT symbol, arg_min(p, session_date) AS p FROM panel WHERE session_date >= (SELECT min(session_date) FROM cal) GROUP BY symbol),
+runs AS (
+    SELECT o.symbol, s.h, s.e, arg_max(q.p, q.session_date) / nullif(o.p, 0) - 1 AS r FROM opening o CROSS JOIN spans s JOIN panel q ON q.symbol = o.symbol AND q.session_date <= s.e GROUP BY o.symbol, s.h, s.e, o.p),
+abnormal AS (
+    SELECT n.ticker, s.h, s.e, t.r AS raw, CASE WHEN p.r IS NULL THEN t.r - m.r ELSE t.r - 0.5 * m.r - 0.5 * p.r END AS ar, n.ticker IN (SELECT symbol FROM opening) AS priced
+    FROM nations n CROSS JOIN spans s LEFT JOIN runs t ON t.symbol = n.ticker AND t.h = s.h LEFT JOIN runs m ON m.symbol = 'MKT' AND m.h = s.h LEFT JOIN runs p ON p.symbol = n.sector_proxy AND p.h = s.h),
+labelled AS (
+    SELECT s.*, CASE WHEN a.ar IS NULL OR sentiment = 'neutral' THEN 'none' WHEN abs(a.ar) < 0.01 THEN 'none' WHEN sentiment = 'positive' THEN CASE WHEN a.ar > 0 THEN 'good' ELSE 'against' END WHEN a.ar >= 0 THEN 'absorbed' ELSE 'against' END AS label
+    FROM signals s JOIN abnormal a ON a.ticker = s.ticker AND a.h = 1),
+ruled AS (
+    SELECT *, CASE WHEN label = 'good' AND rsi >= 75 THEN 'Avoid Chase' WHEN label = 'against' THEN 'Avoid' WHEN label = 'absorbed' THEN 'Watch' WHEN label = 'none' THEN CASE WHEN sentiment = 'positive' THEN 'Wait for Confirmation' ELSE 'Avoid' END
+        WHEN setup_score + CASE WHEN volume THEN 8 ELSE 0 END >= 70 THEN 'Tradeable' ELSE 'Watch' END AS classification FROM labelled),
+ended AS (
+    SELECT r.id, r.classification, r.horizon_days, a.e AS horizon_end, CASE WHEN NOT a.priced THEN 'missing_prices' WHEN a.e IS NULL THEN 'insufficient_calendar' ELSE 'matured' END AS status,
+        CASE WHEN a.priced AND a.e IS NOT NULL THEN a.raw END AS raw, CASE WHEN a.priced AND a.e IS NOT NULL THEN a.ar END AS far, CASE WHEN a.priced AND a.e IS NOT NULL THEN a.ar IS NOT NULL END AS fallback
+    FROM ruled r JOIN abnormal a ON a.ticker = r.ticker AND a.h = r.horizon_days),
+done AS (SELECT *, classification LIKE 'Avoid%' AS avoided FROM ended WHERE status = 'matured' AND far IS NOT NULL)
+"""
+FIRST_DAY_GROUPS = """, base AS (SELECT h, avg(CASE WHEN ar > 0 THEN 1.0 ELSE 0.0 END) AS rate FROM abnormal WHERE priced AND ar IS NOT NULL GROUP BY h),
+sums AS (
+    SELECT horizon_days, classification, count(*) AS sample_size, avg(CAST(far > 0 AS INTEGER)) AS up, avg(CASE WHEN classification = 'Tradeable' THEN CAST(far > 0 AS INTEGER) END) AS hit,
+        avg(CASE WHEN classification IN ('Watch', 'Wait for Confirmation') THEN CAST(far > 0 AS INTEGER) END) AS followed, avg(CASE WHEN avoided THEN CAST(far <= 0 AS INTEGER) END) AS spared,
+        count(*) FILTER (WHERE avoided AND far > 0.02) AS false_negatives, avg(far) AS mean FROM done GROUP BY ALL)
+SELECT horizon_days, classification, sample_size, round(up, 6) AS sample_positive_rate, round(rate, 6) AS base_rate, round(hit, 6) AS trade_hit_rate, round(hit - rate, 6) AS excess_trade_hit_rate, round(followed, 6) AS watch_followthrough_rate,
+    round(spared, 6) AS avoided_bad_trade_rate, false_negatives, round(mean, 6) AS average_forward_abnormal_return FROM sums LEFT JOIN base ON h = horizon_days"""
+FIRST_DAY_OUTCOMES = """SELECT id, classification, horizon_end, status, round(raw, 6) AS forward_return, round(far, 6) AS forward_abnormal_return, fallback AS beta_fallback_used, 'lines' AS price_source, 'average' AS price_adjustment FROM ended"""
+FIRST_DAY_SUMMARY = """SELECT count(*) AS sample_size, round(avg(CAST(far > 0 AS INTEGER)), 6) AS sample_positive_rate, round(avg(far), 6) AS average_forward_abnormal_return, round(median(far), 6) AS median_forward_abnormal_return,
+    count(*) FILTER (WHERE classification = 'Tradeable' AND far <= 0) AS false_positives, count(*) FILTER (WHERE avoided AND far > 0.02) AS false_negatives, count(*) FILTER (WHERE classification = 'Avoid Chase') AS avoid_chase_count FROM done"""
 # Inputs of the rule tables from the orders, and what the rules make of them.
 WITH_ORDER_INPUTS = """WITH inputs AS (SELECT o_orderkey AS id, ['positive', ' Bullish ', 'good', 'upbeat', 'negative', 'BEARISH', 'bad', 'downbeat', 'mixed', '', NULL][CAST(o_orderkey % 11 + 1 AS INTEGER)] AS word,
     ['positive', 'negative', 'neutral', 'mixed', 'other'][CAST(o_orderkey // 5 % 5 + 1 AS INTEGER)] AS news, CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 41 - 20) / 200.0 END AS ar,
