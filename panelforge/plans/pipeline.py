@@ -9,6 +9,7 @@ from panelforge.functions import rules
 from panelforge.operators import metrics, prices, returns
 from panelforge.sources import store
 from panelforge.sources.providers import PriceBundle, PriceProvider
+from panelforge.sources.shared import stored
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,9 +149,9 @@ def lab_tables(bundle: PriceBundle, signals: DataFrame, cohort: DataFrame, bench
     market = prices.Market(bundle.prices, benchmark)
     first = market.panel.where(F.col("symbol") == benchmark).agg(F.min("session_date").cast("timestamp_ntz").alias("created_at"))
     dated = signals.drop("created_at").join(F.broadcast(first))
-    snapshots = generate_signals(dated, market).persist()
-    outcomes = evaluate_forward(snapshots, market).persist()
-    members = universe_cohort(cohort, snapshots.select("created_at", "horizon_days"), market).persist()
+    snapshots = stored(generate_signals(dated, market), "snapshots")
+    outcomes = stored(evaluate_forward(snapshots, market), "outcomes")
+    members = stored(universe_cohort(cohort, snapshots.select("created_at", "horizon_days"), market), "cohort")
     if members.isEmpty():
         raise ValueError("the cohort is empty")
     return {
